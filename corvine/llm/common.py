@@ -25,7 +25,7 @@ INVERSES = tuple(pow(b, -1, 1 << 64) for b in BASES)
 class WordHasher(dict):
     """Word (bytes) -> 64-bit hash, remembered for at most `limit` words."""
 
-    limit = 1_000_000
+    limit = 150_000
 
     def __missing__(self, word: bytes) -> int:
         if len(self) >= self.limit:
@@ -125,7 +125,7 @@ def groups(values: np.ndarray) -> Iterator[tuple[int, int]]:
     return zip(cut.tolist(), [*cut[1:].tolist(), len(values)][: len(cut)], strict=True)
 
 
-def bounded(batches: Iterator[pd.DataFrame], column: str, chars: int = 16_000_000) -> Iterator[pd.DataFrame]:
+def bounded(batches: Iterator[pd.DataFrame], column: str, chars: int = 4_000_000) -> Iterator[pd.DataFrame]:
     """The rows again, in frames whose texts have about `chars` characters (or one longer text)."""
     held: list[pd.DataFrame] = []
     size = 0
