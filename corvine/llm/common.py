@@ -167,6 +167,13 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def small_batches(spark: SparkSession, rows: int = 1000) -> None:
+    """Lowers the session's rows of an Arrow batch: long texts times the default of 10,000 fill an executor's memory."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(key)) <= rows:
+        spark.conf.set(key, str(rows))
+
+
 def partitions(spark: SparkSession) -> int:
     """The session's number of shuffle partitions; operators size their buckets by it."""
     return int(spark.conf.get("spark.sql.shuffle.partitions"))

@@ -13,6 +13,7 @@ costs a bucket one entry for each batch and never one for each document.
 from __future__ import annotations
 
 import hashlib
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -20,120 +21,141 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import bounded, covered, groups, guarded, hashed_words, partitions, planes, restored, scratch, unplanes, window_hashes, window_starts, words_of, written
+from .common import bounded, covered, groups, guarded, hashed_words, partitions, planes, restored, small_batches, unplanes, window_hashes, window_starts, words_of, written
 
-RUN = "bucket int, keys binary, counts binary, places binary, hashes binary, checks binary, mark_key binary, mark_places binary"
+RUN = "bucket int, keys binary, counts binary, places binary, prints binary"
+CHECK = np.uint64(16)
 
 
 class RunIndex:
-    """Sorted immutable runs of (hash, check). add() merge-joins a new run with the held ones, then appends it."""
+    """Sorted immutable runs of prints. add() merge-joins a new run with the held ones, then appends it."""
 
     def __init__(self) -> None:
-        self.runs: list[tuple[np.ndarray, np.ndarray]] = []
+        self.runs: list[np.ndarray] = []
         self.repeated: list[np.ndarray] = []
 
     @staticmethod
-    def merge_join(run: tuple[np.ndarray, np.ndarray], held: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
-        """Which entries of the run the held one has too: equal hash, verified by an equal check."""
-        at = np.searchsorted(held[0], run[0])
-        at[at == len(held[0])] = 0
-        return (held[0][at] == run[0]) & (held[1][at] == run[1]) if len(held[0]) else np.zeros(len(run[0]), bool)
-
-    def add(self, hashes: np.ndarray, checks: np.ndarray) -> None:
-        order = np.argsort(hashes, kind="stable")
-        run = hashes[order], checks[order]
-        known = np.zeros(len(hashes), bool)
+    def merge_join(run: np.ndarray, held: np.ndarray) -> np.ndarray:
+        """Which prints of the run the held one has too: found by the hash in front, verified by the check behind it."""
+        if not len(held):
+            return np.zeros(len(run), bool)
+        at = np.minimum(np.searchsorted(held, run), len(held) - 1)
+        found = held[at] >> CHECK == run >> CHECK
+        return found & (held[at] == run)
+
+    def add(self, run: np.ndarray) -> None:
+        run = np.sort(run)
+        known = np.zeros(len(run), bool)
         for held in self.runs:
             known |= self.merge_join(run, held)
         if known.any():
-            self.repeated.append(run[0][known])
-        self.runs.append((run[0][~known], run[1][~known]))
-        while len(self.runs) > 1 and 2 * len(self.runs[-1][0]) >= len(self.runs[-2][0]):
+            self.repeated.append(run[known])
+        self.runs.append(run[~known])
+        while len(self.runs) > 1 and 2 * len(self.runs[-1]) >= len(self.runs[-2]):
             self.compact(2)
 
     def compact(self, n: int) -> None:
         """The last n runs become one."""
-        hashes = np.concatenate([r[0] for r in self.runs[-n:]])
-        checks = np.concatenate([r[1] for r in self.runs[-n:]])
-        order = np.argsort(hashes, kind="stable")
-        self.runs[-n:] = [(hashes[order], checks[order])]
+        self.runs[-n:] = [np.sort(np.concatenate(self.runs[-n:]), kind="stable")]
 
     def repeats(self) -> np.ndarray:
         return np.unique(np.concatenate(self.repeated)) if self.repeated else np.zeros(0, np.uint64)
 
 
+def _packed(key: np.ndarray, owner: np.ndarray, place: np.ndarray) -> tuple[bytes, bytes, bytes]:
+    """Places by owner (both in order), with the owner's key: the keys, how many places each has, and the steps between its places."""
+    begins = np.flatnonzero(np.r_[True, owner[1:] != owner[:-1]])
+    step = np.diff(place, prepend=0)
+    step[begins] = place[begins]
+    return key[begins].tobytes(), planes(np.diff(np.append(begins, len(owner))), "<u4"), planes(step, "<u4")
+
+
+def _unpacked(keys: bytes, counts: bytes, places: bytes) -> tuple[np.ndarray, np.ndarray]:
+    """(key, place) of each entry."""
+    count = unplanes(counts, "<u4").astype(np.int64)
+    sums = np.cumsum(unplanes(places, "<u4").astype(np.int64))
+    first = np.cumsum(count) - count
+    return np.repeat(np.frombuffer(keys, np.int64), count), sums - np.repeat(np.where(first > 0, sums[first - 1], 0), count)
+
+
 def _runs(batches: Iterator[pd.DataFrame], width: int, buckets: int) -> Iterator[pd.DataFrame]:
+    """Rows with prints go to their bucket. Rows without are marks, settled already; they go along for the ride."""
     for frame in bounded(batches, "text"):
         words, lens = hashed_words(frame["text"], words_of)
         start, text = window_starts(lens, width)
         if not len(start):
             continue
-        hashes, checks = window_hashes(words, width)[start], window_hashes(words, width, 1)[start]
+        prints, second = window_hashes(words, width)[start], window_hashes(words, width, 1)[start]
+        prints = prints >> CHECK << CHECK | second & np.uint64(0xFFFF)
+        bucket = ((second >> np.uint64(20)) % np.uint64(buckets)).astype(np.int64)
         place = start - (np.cumsum(lens) - lens)[text]
         keys = frame["key"].to_numpy(np.int64)
-        order = np.argsort(hashes, kind="stable")
-        same = np.zeros(len(hashes), bool)
-        same[1:] = (hashes[order][1:] == hashes[order][:-1]) & (checks[order][1:] == checks[order][:-1])
-        first, twice = np.empty(len(hashes), bool), np.empty(len(hashes), bool)
+        order = np.argsort(prints, kind="stable")
+        same = np.zeros(len(prints), bool)
+        same[1:] = prints[order][1:] == prints[order][:-1]
+        first, twice = np.empty(len(prints), bool), np.empty(len(prints), bool)
         first[order] = ~same
         twice[order] = same | np.append(same[1:], False)
         # Windows met twice in this batch are settled here; others still have to know that they exist.
         settled = np.flatnonzero(twice)
-        bucket = ((checks >> np.uint64(20)) % np.uint64(buckets)).astype(np.int64)
         sent = np.flatnonzero(first)
         sent = sent[np.argsort(bucket[sent], kind="stable")]
         rows = []
         for a, b in groups(bucket[sent]):
             at = sent[a:b]
-            owner = text[at]
-            begins = np.flatnonzero(np.diff(owner, prepend=-1))
-            rows.append((
-                int(bucket[at[0]]), keys[owner[begins]].tobytes(), planes(np.diff(np.append(begins, len(at))), "<u4"),
-                planes(place[at], "<u4"), hashes[at].tobytes(), planes(checks[at] & np.uint64(0xFFFF), "<u2"), None, None,
-            ))
+            rows.append((int(bucket[at[0]]), *_packed(keys[text[at]], text[at], place[at]), prints[at].tobytes()))
         if len(settled):
-            owner = text[settled]
-            for a, b in groups(owner):
-                key = keys[owner[a]]
-                rows.append((int(key) % buckets, None, None, None, None, None, key.tobytes(), planes(place[settled[a:b]], "<u4")))
-        for k in range(0, len(rows), 5000):
-            yield pd.DataFrame(rows[k : k + 5000], columns=[c.split()[0] for c in RUN.split(", ")])
-
-
-def _probe(frame: pd.DataFrame) -> pd.DataFrame:
-    """All runs of one bucket -> (key, places of the repeated windows)."""
-    marks = frame[frame["mark_key"].notna()]
-    keys, places = [np.frombuffer(b"".join(marks["mark_key"]), np.int64)], list(marks["mark_places"])
-    index, held = RunIndex(), []
-    for row in frame[frame["hashes"].notna()].itertuples():
-        hashes, checks = np.frombuffer(row.hashes, np.uint64), unplanes(row.checks, "<u2")
-        index.add(hashes, checks)
-        if row.keys:
-            held.append((row, hashes))
+            rows.append((int(bucket[settled[0]]), *_packed(keys[text[settled]], text[settled], place[settled]), None))
+        yield pd.DataFrame(rows, columns=[c.split()[0] for c in RUN.split(", ")])
+
+
+def _probe(frame: pd.DataFrame, homes: int) -> pd.DataFrame:
+    """All runs of one bucket -> places of the repeated windows, packed by the home of their documents."""
+    index, keys, places = RunIndex(), [], []
+    held = []
+    for row in frame.itertuples():
+        if row.prints is None:
+            key, place = _unpacked(row.keys, row.counts, row.places)
+            keys.append(key)
+            places.append(place)
+        else:
+            prints = np.frombuffer(row.prints, np.uint64)
+            index.add(prints)
+            if row.keys:
+                held.append((row, prints))
     repeated = index.repeats()
-    for row, hashes in held if len(repeated) else ():
-        at = np.searchsorted(repeated, hashes)
-        at[at == len(repeated)] = 0
-        hit = np.flatnonzero(repeated[at] == hashes)
-        if not len(hit):
-            continue
-        owner = np.repeat(np.frombuffer(row.keys, np.int64), unplanes(row.counts, "<u4"))[hit]
-        place = unplanes(row.places, "<u4")[hit]
-        begins = np.flatnonzero(np.diff(owner, prepend=~owner[0]))
-        keys.append(owner[begins])
-        places += [planes(place[a:b], "<u4") for a, b in zip(begins, np.append(begins[1:], len(hit)), strict=True)]
-    return pd.DataFrame({"key": np.concatenate(keys), "places": places})
+    for row, prints in held if len(repeated) else ():
+        hit = RunIndex.merge_join(prints, repeated)
+        if hit.any():
+            key, place = _unpacked(row.keys, row.counts, row.places)
+            keys.append(key[hit])
+            places.append(place[hit])
+    names = ["home", "keys", "counts", "places"]
+    if not keys:
+        return pd.DataFrame([], columns=names)
+    key, place = np.concatenate(keys), np.concatenate(places)
+    order = np.lexsort((place, key, key % homes))
+    key, place = key[order], place[order]
+    return pd.DataFrame([(int(key[a] % homes), *_packed(key[a:b], key[a:b], place[a:b])) for a, b in groups(key % homes)], columns=names)
+
+
+def _gathered(frame: pd.DataFrame) -> pd.DataFrame:
+    """All marks of one home -> one row for each document."""
+    pairs = [_unpacked(r.keys, r.counts, r.places) for r in frame.itertuples()]
+    key, place = np.concatenate([k for k, _ in pairs]), np.concatenate([p for _, p in pairs])
+    order = np.lexsort((place, key))
+    key, place = key[order], place[order]
+    return pd.DataFrame([(int(key[a]), planes(np.unique(place[a:b]), "<u4")) for a, b in groups(key)], columns=["key", "places"])
 
 
 def _cut(batches: Iterator[pd.DataFrame], width: int, with_text: bool) -> Iterator[pd.DataFrame]:
     for frame in batches:
         rows = []
-        for text, lists in zip(frame.pop("text"), frame.pop("lists"), strict=True):
+        for text, places in zip(frame.pop("text"), frame.pop("places"), strict=True):
             words = words_of(text) if text else []
             kept = words
-            if lists is not None and len(lists):
-                starts = np.unique(np.concatenate([unplanes(x, "<u4") for x in lists])).astype(np.int64)
-                gone = covered(len(words), starts, width)
+            if places is not None:
+                gone = covered(len(words), unplanes(places, "<u4").astype(np.int64), width)
                 kept = [w for w, g in zip(words, gone.tolist(), strict=True) if not g]
             joined = b" ".join(kept)
             rows.append((len(words), len(words) - len(kept), hashlib.sha256(joined).hexdigest(), joined.decode("utf-8", "surrogatepass") if with_text else None))
@@ -149,37 +171,39 @@ def _keyed(docs: DataFrame) -> DataFrame:
 def repeated_windows(docs: DataFrame, width: int = 35, index: DataFrame | None = None) -> DataFrame:
     """(key, places) of all windows of docs(doc_id, text) that also start elsewhere, or that `index` holds.
 
-    key is xxhash64(doc_id, text); a key can have several rows. index: rows of update_index().
+    key is xxhash64(doc_id, text) and has one row; places are the window's starts, by byte planes of "<u4".
+    index: rows of update_index().
     """
-    buckets = 2 * partitions(docs.sparkSession)
+    small_batches(docs.sparkSession)
+    buckets = partitions(docs.sparkSession)
     runs = _keyed(docs).select("key", "text").mapInPandas(lambda it: _runs(it, width, buckets), RUN)
     if index is not None:
-        runs = runs.unionByName(index.where(F.col("buckets") == buckets).select("bucket", "hashes", "checks"), allowMissingColumns=True)
-    return runs.groupBy("bucket").applyInPandas(_probe, "key long, places binary")
+        runs = runs.unionByName(index.where(F.col("buckets") == buckets).select("bucket", "prints"), allowMissingColumns=True)
+    marks = runs.groupBy("bucket").applyInPandas(lambda f: _probe(f, buckets), "home int, keys binary, counts binary, places binary")
+    return marks.groupBy("home").applyInPandas(_gathered, "key long, places binary")
 
 
 def update_index(docs: DataFrame, path: str, width: int = 35, keep_runs: int = 8) -> None:
     """Appends the batch's runs to the index at path; with more than keep_runs batches, all are compacted into one."""
     spark = docs.sparkSession
-    buckets = 2 * partitions(spark)
-    runs = _keyed(docs).select("key", "text").mapInPandas(lambda it: _runs(it, width, buckets), RUN).where("hashes is not null")
-    schema = "bucket int, hashes binary, checks binary"
+    small_batches(spark)
+    buckets = partitions(spark)
+    runs = _keyed(docs).select("key", "text").mapInPandas(lambda it: _runs(it, width, buckets), RUN).where("prints is not null")
 
     def merged(frame: pd.DataFrame) -> pd.DataFrame:
         index = RunIndex()
-        for row in frame.itertuples():
-            index.add(np.frombuffer(row.hashes, np.uint64), unplanes(row.checks, "<u2"))
+        for prints in frame["prints"]:
+            index.add(np.frombuffer(prints, np.uint64))
         index.compact(len(index.runs))
-        hashes, checks = index.runs[0]
-        return pd.DataFrame({"bucket": [int(frame["bucket"].iloc[0])], "hashes": [hashes.tobytes()], "checks": [planes(checks, "<u2")]})
+        return pd.DataFrame({"bucket": [int(frame["bucket"].iloc[0])], "prints": [index.runs[0].tobytes()]})
 
-    def put(df: DataFrame, to: str, mode: str) -> None:
-        stamped = df.groupBy("bucket").applyInPandas(merged, schema).withColumns({"buckets": F.lit(buckets), "batch": F.lit(to)})
+    def put(df: DataFrame, mode: str) -> None:
+        stamped = df.groupBy("bucket").applyInPandas(merged, "bucket int, prints binary").withColumns({"buckets": F.lit(buckets), "batch": F.lit(uuid.uuid4().hex)})
         stamped.write.mode(mode).parquet(path)
 
-    put(runs.select("bucket", "hashes", "checks"), scratch(spark, "batch"), "append")
+    put(runs.select("bucket", "prints"), "append")
     if read_index(spark, path).select("batch").distinct().count() > keep_runs:
-        put(written(read_index(spark, path).where(F.col("buckets") == buckets).select("bucket", "hashes", "checks"), "compact"), scratch(spark, "batch"), "overwrite")
+        put(written(read_index(spark, path).where(F.col("buckets") == buckets).select("bucket", "prints"), "compact"), "overwrite")
 
 
 def read_index(spark: SparkSession, path: str) -> DataFrame:
@@ -195,7 +219,7 @@ def substring_dedup(docs: DataFrame, width: int = 35, index: DataFrame | None =
     they lose their windows. A null doc_id is kept as it is. Further columns are ignored. An empty table
     gives an empty result.
     """
-    marks = repeated_windows(docs, width, index).groupBy("key").agg(F.collect_list("places").alias("lists"))
-    joined = _keyed(docs).join(marks.hint("shuffle_hash"), "key", "left").select("doc_id", "no_id", "text", "lists")
+    marks = repeated_windows(docs, width, index)
+    joined = _keyed(docs).join(marks.hint("shuffle_hash"), "key", "left").select("doc_id", "no_id", "text", "places")
     schema = "doc_id long, no_id boolean, n_words long, n_removed long, kept_sha256 string" + ", kept_text string" * with_text
     return restored(joined.mapInPandas(lambda it: _cut(it, width, with_text), schema))
