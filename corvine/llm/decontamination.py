@@ -185,33 +185,45 @@ class Phrases:
         return at, place - (border - lens - 1)[at], phrase, lens
 
 
-def _shards(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
-    sizes = np.array([len(t) if t else 0 for t in batch.column("text").to_pylist()]) + 64
-    part = np.cumsum(sizes) // SHARD_CHARS
-    for a, b in groups(part):
-        yield batch.slice(a, b - a)
+def _shards(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The rows again, in batches of about SHARD_CHARS characters of text (or one longer text)."""
+
+    def whole() -> pa.RecordBatch:
+        return pa.Table.from_batches(held).combine_chunks().to_batches()[0]
+
+    held: list[pa.RecordBatch] = []
+    size = 0
+    for batch in batches:
+        sizes = np.array([len(t) if t else 0 for t in batch.column("text").to_pylist()]) + 64
+        for a, b in groups(np.cumsum(sizes) // SHARD_CHARS):
+            held.append(batch.slice(a, b - a))
+            size += int(sizes[a:b].sum())
+            if size >= SHARD_CHARS:
+                yield whole()
+                held, size = [], 0
+    if held:
+        yield whole()
 
 
 def _mark(batches: Iterator[pa.RecordBatch], phrases: Phrases, names: tuple[str, str, str]) -> Iterator[pa.RecordBatch]:
     """Adds the block's spans (pairs of word numbers) and items to each row's."""
-    for batch in batches:
-        for shard in _shards(batch):
-            at, word, phrase, lens = phrases.find(shard.column("text").to_pylist())
-            spans = [list(x) for x in shard.column(names[0]).to_pylist()]
-            items = [set(x) for x in shard.column(names[1]).to_pylist()]
-            order = np.lexsort((word, at))
-            at, word, phrase = at[order], word[order], phrase[order]
-            for a, b in groups(at):
-                hit = covered(int(lens[at[a]]), np.zeros(0, np.int64), 1)
-                for size in np.unique(phrases.lens[phrase[a:b]]):
-                    hit |= covered(len(hit), word[a:b][phrases.lens[phrase[a:b]] == size], int(size))
-                spans[at[a]] += np.flatnonzero(np.diff(np.r_[0, hit.astype(np.int8), 0])).tolist()
-                items[at[a]].update(x for p in np.unique(phrase[a:b]).tolist() for x in phrases.owners[p])
-            columns = dict(zip(shard.schema.names, shard.columns, strict=True))
-            columns[names[0]] = pa.array(spans, pa.list_(pa.int32()))
-            columns[names[1]] = pa.array([sorted(x) for x in items], pa.list_(pa.string()))
-            columns[names[2]] = pa.array(lens, pa.int64())
-            yield pa.RecordBatch.from_arrays(list(columns.values()), names=list(columns))
+    for shard in _shards(batches):
+        at, word, phrase, lens = phrases.find(shard.column("text").to_pylist())
+        spans = [list(x) for x in shard.column(names[0]).to_pylist()]
+        items = [set(x) for x in shard.column(names[1]).to_pylist()]
+        order = np.lexsort((word, at))
+        at, word, phrase = at[order], word[order], phrase[order]
+        for a, b in groups(at):
+            hit = covered(int(lens[at[a]]), np.zeros(0, np.int64), 1)
+            for size in np.unique(phrases.lens[phrase[a:b]]):
+                hit |= covered(len(hit), word[a:b][phrases.lens[phrase[a:b]] == size], int(size))
+            spans[at[a]] += np.flatnonzero(np.diff(np.r_[0, hit.astype(np.int8), 0])).tolist()
+            items[at[a]].update(x for p in np.unique(phrase[a:b]).tolist() for x in phrases.owners[p])
+        columns = dict(zip(shard.schema.names, shard.columns, strict=True))
+        columns[names[0]] = pa.array(spans, pa.list_(pa.int32()))
+        columns[names[1]] = pa.array([sorted(x) for x in items], pa.list_(pa.string()))
+        columns[names[2]] = pa.array(lens, pa.int64())
+        yield pa.RecordBatch.from_arrays(list(columns.values()), names=list(columns))
 
 
 def merged(spans: list[int]) -> list[tuple[int, int]]:

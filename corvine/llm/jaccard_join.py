@@ -24,7 +24,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import BASES, bounded, guarded, hashed_words, lower_words_of, mix, window_hashes, window_starts, written
+from .common import BASES, bounded, guarded, hashed_words, lower_words_of, mix, small_batches, window_hashes, window_starts, written
 
 SKETCH = 1 << 20
 SLICES = 64
@@ -54,6 +54,17 @@ def shingle_sets(texts: list[str | None], width: int) -> list[np.ndarray]:
     return out
 
 
+def _bytes(shingles: np.ndarray) -> bytes:
+    """The upper 48 bits of each hash; within a pair of sets these still tell shingles apart."""
+    return np.ascontiguousarray((shingles >> np.uint64(16)).view(np.uint8).reshape(-1, 8)[:, :6]).tobytes()
+
+
+def _hashes(data: bytes) -> np.ndarray:
+    out = np.zeros((len(data) // 6, 8), np.uint8)
+    out[:, :6] = np.frombuffer(data, np.uint8).reshape(-1, 6)
+    return out.reshape(-1).view(np.uint64)
+
+
 def _signature(shingles: np.ndarray) -> np.ndarray:
     """512 parity bits; two sets differ in at least as many shingles as their signatures differ in bits."""
     bits = np.bincount((shingles >> np.uint64(55)).astype(np.int64), minlength=512).astype(np.uint8) & 1
@@ -71,7 +82,7 @@ def _rows(batches: Iterator[pd.DataFrame], width: int) -> Iterator[pd.DataFrame]
             carries = len(s) > 0 and digest not in seen and not none
             if carries:
                 seen.add(digest)
-            rows.append((node, len(s), digest, data if carries else None, *(_signature(s).tolist() if carries else [0] * 8)))
+            rows.append((node, len(s), digest, _bytes(s) if carries else None, *(_signature(s).tolist() if carries else [0] * 8)))
         out = pd.DataFrame(rows, columns=["node", "n_shingles", "digest", "shingles", *SIGNS])
         yield out.assign(no_id=frame["no_id"])
 
@@ -81,7 +92,7 @@ def _sketch(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     counts = np.zeros(SKETCH, np.int32)
     for frame in batches:
         for data in frame["shingles"]:
-            counts[np.frombuffer(data, np.uint64) & np.uint64(SKETCH - 1)] += 1
+            counts[_hashes(data) & np.uint64(SKETCH - 1)] += 1
     step = SKETCH // SLICES
     for k in range(SLICES):
         part = counts[k * step : (k + 1) * step]
@@ -108,7 +119,7 @@ def _entries(batches: Iterator[pd.DataFrame], levels, percent: int) -> Iterator[
     for frame in batches:
         nodes, sizes, marks, columns = [], [], [], []
         for node, digest, data in zip(frame["node"], frame["digest"], frame["shingles"], strict=True):
-            s = np.frombuffer(data, np.uint64)
+            s = _hashes(data)
             keep = len(s) - (percent * len(s) + 99) // 100 + 1
             rare = level[s & np.uint64(SKETCH - 1)]
             if keep < len(s):
@@ -116,7 +127,7 @@ def _entries(batches: Iterator[pd.DataFrame], levels, percent: int) -> Iterator[
                 s = s[np.argsort(rare, kind="stable")[:keep]]
             columns.append(s)
             nodes.append(np.full(len(s), node))
-            sizes.append(np.full(len(s), len(data) // 8, np.int32))
+            sizes.append(np.full(len(s), len(data) // 6, np.int32))
             marks.append(np.full(len(s), int.from_bytes(digest[:8], "little", signed=True)))
         if nodes:
             yield pd.DataFrame({"col": np.concatenate(columns).view(np.int64), "node": np.concatenate(nodes), "n": np.concatenate(sizes), "mark": np.concatenate(marks)})
@@ -126,7 +137,7 @@ def _overlaps(batches: Iterator[pd.DataFrame], percent: int) -> Iterator[pd.Data
     for frame in batches:
         good = []
         for a, b in zip(frame["sa"], frame["sb"], strict=True):
-            x, y = np.frombuffer(a, np.uint64), np.frombuffer(b, np.uint64)
+            x, y = np.unique(_hashes(a)), np.unique(_hashes(b))
             both = len(np.intersect1d(x, y, assume_unique=True))
             good.append(100 * both >= percent * (len(x) + len(y) - both))
         yield frame.loc[np.array(good, bool), ["a", "b"]]
@@ -137,6 +148,7 @@ class Join:
 
     def __init__(self, docs: DataFrame, width: int, percent: int) -> None:
         self.spark, self.percent = docs.sparkSession, percent
+        small_batches(self.spark)
         signs = ", ".join(f"{s} long" for s in SIGNS)
         made = guarded(docs, "text").mapInPandas(lambda it: _rows(it, width), f"node long, no_id boolean, n_shingles long, digest binary, shingles binary, {signs}")
         self.rows = written(made.withColumn("node", F.when(~F.col("no_id"), F.col("node"))).drop("no_id"), "rows")

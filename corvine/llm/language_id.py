@@ -20,7 +20,7 @@ import regex
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import bounded, guarded, restored, utf8
+from .common import bounded, guarded, restored, small_batches, utf8
 
 BUCKETS, DIM = 1 << 13, 16
 SIZES = (2, 3, 4)
@@ -136,6 +136,7 @@ def learned(docs: DataFrame, per_language: int = PER_LANGUAGE) -> Model:
 
     At most per_language documents of each language reach the driver, as bucket counts of their whole texts.
     """
+    small_batches(docs.sparkSession)
     usable = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", "lang").where("doc_id is not null and lang is not null").where(F.col("text").rlike(r"\p{L}"))
     # Ids are drawn first, so that texts of the drawn rows alone are shuffled: the ids have per_language rows a language.
     keyed = usable.withColumn("tie", F.xxhash64("text"))

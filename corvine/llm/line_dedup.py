@@ -25,7 +25,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import BASES, INVERSES, bounded, groups, guarded, hashed_words, mix, partitions, planes, powers, restored, unplanes, words_of
+from .common import BASES, INVERSES, bounded, groups, guarded, hashed_words, mix, partitions, planes, powers, restored, small_batches, unplanes, words_of
 
 SENT = "bucket int, docs binary, keys binary, counts binary, lines binary, words binary, places binary, hashes binary, checks binary, mark_key binary, mark_lines binary"
 FULL = 0xFFFFFFFF
@@ -149,6 +149,7 @@ def _keyed(docs: DataFrame) -> DataFrame:
 
 def removed_lines(docs: DataFrame, min_words: int = 8) -> DataFrame:
     """(key, lists): for each document that loses lines, lists of their numbers from 0. key is xxhash64(doc_id, text)."""
+    small_batches(docs.sparkSession)
     buckets = partitions(docs.sparkSession)
     sent = _keyed(docs).select("key", "order", "text").mapInPandas(lambda it: _send(it, min_words, buckets), SENT)
     settled = sent.groupBy("bucket").applyInPandas(lambda f: _settle(f, min_words), "key long, lines binary")

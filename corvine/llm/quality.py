@@ -16,7 +16,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bounded, covered, guarded, hashed_words, mix, restored, utf8, window_hashes, window_starts, words_of
+from .common import bounded, covered, guarded, hashed_words, mix, restored, small_batches, utf8, window_hashes, window_starts, words_of
 
 # Common words of four languages, lower case.
 COMMON = {
@@ -141,6 +141,7 @@ class References:
 
 def references(docs: DataFrame) -> References:
     """Summed over all rows of docs(text, lang): at most languages * (classes + common words) rows reach the driver."""
+    small_batches(docs.sparkSession)
     sums = docs.select("lang", "text").where("lang is not null and text is not null").mapInPandas(_profile, "lang string, kind int, place int, n long")
     rows = sums.groupBy("lang", "kind", "place").agg(F.sum("n").alias("n"))
     return References([tuple(r) for r in rows.collect()])
