@@ -29,7 +29,7 @@ from .common import BASES, bounded, guarded, hashed_words, lower_words_of, mix,
 SKETCH = 1 << 20
 SLICES = 64
 SIGNS = [f"s{k}" for k in range(8)]
-#: Up to so many row ids (16 MB) are broadcast to pick their rows before a shuffle; beyond, the join shuffles.
+#: Up to so many pairs of row ids (16 MB) are broadcast to the scan of the rows; beyond, that join shuffles.
 BROADCAST_IDS = 1_000_000
 
 
@@ -177,15 +177,19 @@ class Join:
         return pairs.where(differ * (100 + self.percent) <= allowed * (100 - self.percent)).select("a", "b")
 
     def verified(self, pairs: DataFrame) -> DataFrame:
-        """The pairs whose overlap, counted in full, reaches the similarity."""
+        """The pairs whose overlap, counted in full, reaches the similarity.
+
+        Only the first row of each pair is shuffled with its shingles, and each second row once: small sets of
+        pairs are broadcast to the scan of the rows.
+        """
         pairs = written(pairs, "pairs")
-        ids = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
-        # The number of pairs bounds the number of ids; only small sets of ids are broadcast.
-        picked = self.full.select("node", "shingles").join(F.broadcast(ids) if 2 * pairs.count() <= BROADCAST_IDS else ids, "node", "left_semi")
-        picked = written(picked, "picked")
-        sets = [picked.select(F.col("node").alias(x), F.col("shingles").alias(f"s{x}")) for x in "ab"]
+        # At 16 bytes a pair, no more than 16 MB are broadcast.
+        small = F.broadcast if pairs.count() <= BROADCAST_IDS else (lambda df: df)
+        rows = self.full.select("node", "shingles")
+        left = rows.join(small(pairs), F.col("node") == F.col("a")).select("a", "b", F.col("shingles").alias("sa"))
+        right = rows.join(small(pairs.select("b").distinct()), F.col("node") == F.col("b")).select("b", F.col("shingles").alias("sb"))
         percent = self.percent
-        return pairs.join(sets[0], "a").join(sets[1], "b").select("a", "b", "sa", "sb").mapInPandas(lambda it: _overlaps(it, percent), "a long, b long")
+        return left.join(right, "b").select("a", "b", "sa", "sb").mapInPandas(lambda it: _overlaps(it, percent), "a long, b long")
 
     def fits(self, a: str, b: str) -> F.Column:
         return F.least(a, b) * 100 >= F.greatest(a, b) * self.percent
