@@ -125,7 +125,7 @@ def groups(values: np.ndarray) -> Iterator[tuple[int, int]]:
     return zip(cut.tolist(), [*cut[1:].tolist(), len(values)][: len(cut)], strict=True)
 
 
-def bounded(batches: Iterator[pd.DataFrame], column: str, chars: int = 4_000_000) -> Iterator[pd.DataFrame]:
+def bounded(batches: Iterator[pd.DataFrame], column: str, chars: int = 3_000_000) -> Iterator[pd.DataFrame]:
     """The rows again, in frames whose texts have about `chars` characters (or one longer text)."""
     held: list[pd.DataFrame] = []
     size = 0
@@ -168,7 +168,8 @@ def written(df: DataFrame, name: str) -> DataFrame:
 
 
 def small_batches(spark: SparkSession, rows: int = 1000) -> None:
-    """Lowers the session's rows of an Arrow batch: long texts times the default of 10,000 fill an executor's memory."""
+    """Lowers the session's rows and bytes of an Arrow batch: by default, batches of long texts fill an executor's memory."""
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(8 << 20))
     key = "spark.sql.execution.arrow.maxRecordsPerBatch"
     if not 0 < int(spark.conf.get(key)) <= rows:
         spark.conf.set(key, str(rows))

@@ -195,13 +195,14 @@ class Join:
         return F.least(a, b) * 100 >= F.greatest(a, b) * self.percent
 
     def first_links(self, columns: DataFrame) -> DataFrame:
-        """Links of rows to one hub: of the first rows of their columns, the least that can be near enough."""
+        """Links of rows to one hub each: of the first rows of their columns, the one that shares most of these."""
         band = F.floor(F.log(F.col("n")) / np.log(100 / self.percent)).cast("int")
         banded = columns.withColumn("band", band)
         hubs = banded.groupBy("col", "band").agg(F.min("node").alias("hub"), F.min_by("mark", "node").alias("hub_mark"), F.min_by("n", "node").alias("hub_n"))
         pairs = banded.join(hubs, ["col", "band"]).where((F.col("hub") != F.col("node")) & (F.col("hub_mark") != F.col("mark")) & self.fits("n", "hub_n"))
-        near = self.near_enough(pairs.select(F.col("node").alias("a"), F.col("hub").alias("b")).distinct())
-        return self.verified(near.groupBy("a").agg(F.min("b").alias("b")))
+        shared = pairs.groupBy("node", "hub").agg(F.count(F.lit(1)).alias("shared"))
+        best = shared.groupBy("node").agg(F.max_by("hub", F.struct("shared", -F.col("hub"))).alias("b"))
+        return self.verified(self.near_enough(best.select(F.col("node").alias("a"), "b")))
 
     def other_links(self, columns: DataFrame, groups: DataFrame) -> DataFrame:
         """All links between rows of different groups; groups: (node, component)."""
