@@ -125,7 +125,7 @@ def groups(values: np.ndarray) -> Iterator[tuple[int, int]]:
     return zip(cut.tolist(), [*cut[1:].tolist(), len(values)][: len(cut)], strict=True)
 
 
-def bounded(batches: Iterator[pd.DataFrame], column: str, chars: int = 3_000_000) -> Iterator[pd.DataFrame]:
+def bounded(batches: Iterator[pd.DataFrame], column: str, chars: int = 2_000_000) -> Iterator[pd.DataFrame]:
     """The rows again, in frames whose texts have about `chars` characters (or one longer text)."""
     held: list[pd.DataFrame] = []
     size = 0

@@ -11,12 +11,14 @@ exactly.
 Groups need connectivity, not every pair. The first pass pairs each row only with the first row (hub) of
 its columns; rows that it links are merged. The second pass pairs, within each column, only rows of
 different merged groups, and never two rows of the column's largest group: a group of thousands of copies
-is settled by its hub, while no link between different groups is lost.
+is settled by its hub, while no link between different groups is lost. Of these pairs, the likeliest of each
+row are counted first; then all whose rows are still in different groups.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -29,6 +31,8 @@ from .common import BASES, bounded, guarded, hashed_words, lower_words_of, mix,
 SKETCH = 1 << 20
 SLICES = 64
 SIGNS = [f"s{k}" for k in range(8)]
+#: Above so many n-grams a signature says little; there, n / 20 columns more are taken, and so many more must be shared.
+LONG = 600
 #: Up to so many pairs of row ids (16 MB) are broadcast to the scan of the rows; beyond, that join shuffles.
 BROADCAST_IDS = 1_000_000
 
@@ -120,7 +124,7 @@ def _entries(batches: Iterator[pd.DataFrame], levels, percent: int) -> Iterator[
         nodes, sizes, marks, columns = [], [], [], []
         for node, digest, data in zip(frame["node"], frame["digest"], frame["shingles"], strict=True):
             s = _hashes(data)
-            keep = len(s) - (percent * len(s) + 99) // 100 + 1
+            keep = len(s) - (percent * len(s) + 99) // 100 + 1 + (len(s) // 20 if len(s) > LONG else 0)
             rare = level[s & np.uint64(SKETCH - 1)]
             if keep < len(s):
                 # The order is (level, hash); s is sorted by hash already.
@@ -167,14 +171,15 @@ class Join:
         return written(entries.join(several, "col", "left_semi"), "columns")
 
     def near_enough(self, pairs: DataFrame) -> DataFrame:
-        """Pairs (a, b) whose sizes and signatures allow the similarity."""
+        """Pairs (a, b, ...) whose sizes and signatures allow the similarity."""
+        names = pairs.columns
         one = self.full.select("node", "n_shingles", *SIGNS).dropDuplicates(["node"])
         for side in ("a", "b"):
             pairs = pairs.join(one.select(F.col("node").alias(side), *[F.col(c).alias(f"{side}_{c}") for c in ("n_shingles", *SIGNS)]), side)
         differ = sum((F.bit_count(F.col(f"a_{s}").bitwiseXOR(F.col(f"b_{s}"))) for s in SIGNS[1:]), F.bit_count(F.col("a_s0").bitwiseXOR(F.col("b_s0"))))
         # Similarity p % allows a symmetric difference of (100 - p) / (100 + p) of both sizes.
         allowed = F.col("a_n_shingles") + F.col("b_n_shingles")
-        return pairs.where(differ * (100 + self.percent) <= allowed * (100 - self.percent)).select("a", "b")
+        return pairs.where(differ * (100 + self.percent) <= allowed * (100 - self.percent)).select(*names)
 
     def verified(self, pairs: DataFrame) -> DataFrame:
         """The pairs whose overlap, counted in full, reaches the similarity.
@@ -191,6 +196,11 @@ class Join:
         percent = self.percent
         return left.join(right, "b").select("a", "b", "sa", "sb").mapInPandas(lambda it: _overlaps(it, percent), "a long, b long")
 
+    @staticmethod
+    def more(n: str) -> F.Column:
+        """Columns taken beyond those that can start a sufficient overlap, and so shared beyond the first by a near pair."""
+        return F.when(F.col(n) > LONG, F.floor(F.col(n) / 20)).otherwise(0)
+
     def fits(self, a: str, b: str) -> F.Column:
         return F.least(a, b) * 100 >= F.greatest(a, b) * self.percent
 
@@ -200,19 +210,36 @@ class Join:
         banded = columns.withColumn("band", band)
         hubs = banded.groupBy("col", "band").agg(F.min("node").alias("hub"), F.min_by("mark", "node").alias("hub_mark"), F.min_by("n", "node").alias("hub_n"))
         pairs = banded.join(hubs, ["col", "band"]).where((F.col("hub") != F.col("node")) & (F.col("hub_mark") != F.col("mark")) & self.fits("n", "hub_n"))
-        shared = pairs.groupBy("node", "hub").agg(F.count(F.lit(1)).alias("shared"))
+        shared = pairs.groupBy("node", "hub").agg(F.count(F.lit(1)).alias("shared"), F.min("n").alias("n"), F.min("hub_n").alias("hub_n"))
+        shared = shared.where(F.col("shared") * 2 > F.least(self.more("n"), self.more("hub_n")))
         best = shared.groupBy("node").agg(F.max_by("hub", F.struct("shared", -F.col("hub"))).alias("b"))
         return self.verified(self.near_enough(best.select(F.col("node").alias("a"), "b")))
 
-    def other_links(self, columns: DataFrame, groups: DataFrame) -> DataFrame:
-        """All links between rows of different groups; groups: (node, component)."""
-        named = columns.join(groups, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    def other_pairs(self, columns: DataFrame, groups: DataFrame) -> DataFrame:
+        """(a, b, shared): all pairs of rows of different groups that can be near enough; groups: (node, component)."""
+        folded = [reduce(lambda x, y: x.bitwiseXOR(y), [F.col(s) for s in SIGNS[k::2]]).alias(f"f{k}") for k in (0, 1)]
+        known = self.full.select("node", *folded).dropDuplicates(["node"]).join(groups, "node", "left")
+        named = columns.join(known, "node").withColumn("component", F.coalesce("component", "node"))
         sizes = named.groupBy("col", "component").agg(F.count(F.lit(1)).alias("size"))
         largest = sizes.groupBy("col").agg(F.max_by("component", F.struct("size", "component")).alias("largest"), F.count(F.lit(1)).alias("groups")).where("groups > 1")
-        left = named.join(largest, "col").where("component <> largest").select("col", F.col("node").alias("a"), F.col("n").alias("na"), F.col("component").alias("ca"))
-        right = named.join(largest, "col").select("col", F.col("node").alias("b"), F.col("n").alias("nb"), F.col("component").alias("cb"), (F.col("component") == F.col("largest")).alias("main"))
-        pairs = left.join(right, "col").where("ca <> cb and (main or a < b)").where(self.fits("na", "nb"))
-        return self.verified(self.near_enough(pairs.select("a", "b").distinct()))
+        left = named.join(largest, "col").where("component <> largest").select("col", *[F.col(x).alias(f"a_{x}") for x in ("node", "n", "component", "f0", "f1")])
+        right = named.join(largest, "col").select("col", *[F.col(x).alias(f"b_{x}") for x in ("node", "n", "component", "f0", "f1")], (F.col("component") == F.col("largest")).alias("main"))
+        differ = F.bit_count(F.col("a_f0").bitwiseXOR(F.col("b_f0"))) + F.bit_count(F.col("a_f1").bitwiseXOR(F.col("b_f1")))
+        near = self.fits("a_n", "b_n") & (differ * (100 + self.percent) <= (F.col("a_n") + F.col("b_n")) * (100 - self.percent))
+        pairs = left.join(right, "col").where("a_component <> b_component and (main or a_node < b_node)").where(near)
+        counted = pairs.groupBy(F.col("a_node").alias("a"), F.col("b_node").alias("b")).agg(F.count(F.lit(1)).alias("shared"), F.min("a_n").alias("a_n"), F.min("b_n").alias("b_n"))
+        return self.near_enough(counted.where(F.col("shared") > F.least(self.more("a_n"), self.more("b_n"))).select("a", "b", "shared"))
+
+    @staticmethod
+    def apart(pairs: DataFrame, groups: DataFrame) -> DataFrame:
+        """The pairs whose rows are in different groups."""
+        for side in ("a", "b"):
+            pairs = pairs.join(groups.select(F.col("node").alias(side), F.col("component").alias(f"{side}_in")), side, "left")
+        return pairs.where(F.coalesce("a_in", "a") != F.coalesce("b_in", "b")).drop("a_in", "b_in")
+
+    @staticmethod
+    def merged(groups: DataFrame, links: DataFrame) -> DataFrame:
+        return connected(written(groups.select(F.col("node").alias("a"), F.col("component").alias("b")).where("a <> b").union(links.select("a", "b")), "links"))
 
     def components(self) -> DataFrame:
         """(node, component) of every document that is linked with another one."""
@@ -220,10 +247,13 @@ class Join:
         least = twins.groupBy("digest").agg(F.min("node").alias("b"), F.max("node").alias("top")).where("b <> top").select("digest", "b")
         same = twins.select("digest", F.col("node").alias("a")).join(least, "digest").where("a <> b").select("a", "b")
         columns = self.columns()
-        first = written(same.union(self.first_links(columns)), "links")
-        groups = connected(first)
-        second = self.other_links(columns, groups)
-        return connected(written(groups.select(F.col("node").alias("a"), F.col("component").alias("b")).where("a <> b").union(second), "links"))
+        groups = connected(written(same.union(self.first_links(columns)), "links"))
+        # Each row's likeliest pair first: it settles most groups, and the other pairs within these need no count.
+        pairs = written(self.other_pairs(columns, groups), "others")
+        best = pairs.groupBy("a").agg(F.max_by("b", F.struct("shared", -F.col("b"))).alias("b"))
+        groups = self.merged(groups, self.verified(best))
+        rest = self.apart(pairs, groups).join(best, ["a", "b"], "left_anti")
+        return self.merged(groups, self.verified(rest.select("a", "b")))
 
 
 def connected(links: DataFrame) -> DataFrame:
