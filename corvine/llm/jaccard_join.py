@@ -31,8 +31,8 @@ from .common import BASES, bounded, guarded, hashed_words, lower_words_of, mix,
 SKETCH = 1 << 20
 SLICES = 64
 SIGNS = [f"s{k}" for k in range(8)]
-#: Above so many n-grams a signature says little; there, n / 20 columns more are taken, and so many more must be shared.
-LONG = 600
+#: Above so many n-grams a signature says little; there, n / 40 columns more are taken, and so many more must be shared.
+LONG = 1500
 #: Up to so many pairs of row ids (16 MB) are broadcast to the scan of the rows; beyond, that join shuffles.
 BROADCAST_IDS = 1_000_000
 
@@ -124,7 +124,7 @@ def _entries(batches: Iterator[pd.DataFrame], levels, percent: int) -> Iterator[
         nodes, sizes, marks, columns = [], [], [], []
         for node, digest, data in zip(frame["node"], frame["digest"], frame["shingles"], strict=True):
             s = _hashes(data)
-            keep = len(s) - (percent * len(s) + 99) // 100 + 1 + (len(s) // 20 if len(s) > LONG else 0)
+            keep = len(s) - (percent * len(s) + 99) // 100 + 1 + (len(s) // 40 if len(s) > LONG else 0)
             rare = level[s & np.uint64(SKETCH - 1)]
             if keep < len(s):
                 # The order is (level, hash); s is sorted by hash already.
@@ -199,7 +199,7 @@ class Join:
     @staticmethod
     def more(n: str) -> F.Column:
         """Columns taken beyond those that can start a sufficient overlap, and so shared beyond the first by a near pair."""
-        return F.when(F.col(n) > LONG, F.floor(F.col(n) / 20)).otherwise(0)
+        return F.when(F.col(n) > LONG, F.floor(F.col(n) / 40)).otherwise(0)
 
     def fits(self, a: str, b: str) -> F.Column:
         return F.least(a, b) * 100 >= F.greatest(a, b) * self.percent

@@ -10,7 +10,8 @@ deleted. Two lines with an equal variant are within the bound if
 
 equal variants with different places are two edits apart, unless another key shows them nearer. So the
 edit distance is verified from the places, and the earliest line of a key settles all its other lines:
-no pair of lines is ever formed. Keys are 64-bit hashes, guarded by 16 bits of a second hash.
+no pair of lines is ever formed. Keys are 48 bits of one hash and 16 of another, whose further bits choose
+the bucket.
 
 Each batch sends only its earliest copy of an equal line, so a frequent line costs a bucket one entry a batch.
 """
@@ -27,7 +28,7 @@ from pyspark.sql import functions as F
 
 from .common import BASES, INVERSES, bounded, groups, guarded, hashed_words, mix, partitions, planes, powers, restored, small_batches, unplanes, words_of
 
-SENT = "bucket int, docs binary, keys binary, counts binary, lines binary, words binary, places binary, hashes binary, checks binary, mark_key binary, mark_lines binary"
+SENT = "bucket int, docs binary, keys binary, counts binary, lines binary, words binary, places binary, prints binary"
 FULL = 0xFFFFFFFF
 LAST = np.iinfo(np.int64).max
 
@@ -52,8 +53,9 @@ def variants(hashes: np.ndarray, lens: np.ndarray, which: int) -> tuple[np.ndarr
 
 
 def _send(batches: Iterator[pd.DataFrame], min_words: int, buckets: int) -> Iterator[pd.DataFrame]:
+    """Rows with prints go to their bucket; rows without are lines removed already, which go along for the ride."""
     for frame in bounded(batches, "text"):
-        frame = frame.sort_values(["order", "key"], kind="stable").drop_duplicates("key")
+        frame = frame.sort_values(["order", "key"], kind="stable").drop_duplicates(["order", "key"])
         split = [(t or "").split("\n") for t in frame["text"]]
         words, lens = hashed_words((x for lines in split for x in lines), words_of)
         count = np.array([len(x) for x in split])
@@ -70,59 +72,67 @@ def _send(batches: Iterator[pd.DataFrame], min_words: int, buckets: int) -> Iter
         _, first = np.unique(full, return_index=True)
         once = np.zeros(len(full), bool)
         once[first] = True
-        rows = []
-        again = np.flatnonzero(~once)
-        for a, b in groups(doc[again]):
-            key = keys[doc[again[a]]]
-            rows.append((int(key) % buckets, *[None] * 8, key.tobytes(), planes(number[again[a:b]], "<u4")))
         line = np.repeat(np.arange(len(lens)), lens)
         place = np.arange(len(line)) - (np.cumsum(lens) - lens)[line]
         fuzzy = once[line] & (lens[line] >= min_words)
         own = np.flatnonzero(once)
         line = np.concatenate([own, line[fuzzy]])
         place = np.concatenate([np.full(len(own), FULL), place[fuzzy]])
-        hashes, checks = np.concatenate([full[own], cut[fuzzy]]), np.concatenate([full2[own], cut2[fuzzy]])
-        bucket = ((checks >> np.uint64(20)) % np.uint64(buckets)).astype(np.int64)
+        second = np.concatenate([full2[own], cut2[fuzzy]])
+        prints = np.concatenate([full[own], cut[fuzzy]]) >> np.uint64(16) << np.uint64(16) | second & np.uint64(0xFFFF)
+        bucket = ((second >> np.uint64(20)) % np.uint64(buckets)).astype(np.int64)
+
+        def lines_of(lines: np.ndarray) -> tuple[bytes, bytes, bytes]:
+            of = doc[lines]
+            return planes(np.diff(orders[of], prepend=0), "<i8"), planes(keys[of], "<u4"), planes(number[lines], "<u4")
+
+        rows = []
+        again = np.flatnonzero(~once)
+        if len(again):
+            docs_, keys_, numbers_ = lines_of(again)
+            rows.append((int(bucket[0]), docs_, keys_, None, numbers_, None, None, None))
         sent = np.lexsort((line, bucket))
         for a, b in groups(bucket[sent]):
             at = sent[a:b]
             lines = line[at]
             begins = np.flatnonzero(np.r_[True, lines[1:] != lines[:-1]])
-            first_lines = lines[begins]
+            docs_, keys_, numbers_ = lines_of(lines[begins])
             rows.append((
-                int(bucket[at[0]]), orders[doc[first_lines]].tobytes(), keys[doc[first_lines]].tobytes(), planes(np.diff(np.append(begins, len(at))), "<u2"),
-                planes(number[first_lines], "<u4"), planes(lens[first_lines], "<u4"), planes(place[at], "<u4"), hashes[at].tobytes(),
-                planes(checks[at] & np.uint64(0xFFFF), "<u2"), None, None,
+                int(bucket[at[0]]), docs_, keys_, planes(np.diff(np.append(begins, len(at))), "<u4"),
+                numbers_, planes(lens[lines[begins]], "<u4"), planes(place[at], "<u4"), prints[at].tobytes(),
             ))
-        for k in range(0, len(rows), 5000):
-            yield pd.DataFrame(rows[k : k + 5000], columns=[c.split()[0] for c in SENT.split(", ")])
+        yield pd.DataFrame(rows, columns=[c.split()[0] for c in SENT.split(", ")])
 
 
 def _settle(frame: pd.DataFrame, min_words: int) -> pd.DataFrame:
-    """All entries of a bucket -> (key, lines to remove)."""
-    marks = frame[frame["mark_key"].notna()]
-    out_keys, out_lines = [np.frombuffer(b"".join(marks["mark_key"]), np.int64)], list(marks["mark_lines"])
-    rows = list(frame[frame["hashes"].notna()].itertuples())
-    if rows:
-        count = np.concatenate([unplanes(r.counts, "<u2") for r in rows])
+    """All entries of a bucket -> (order, key, lines to remove)."""
+
+    def joined(rows: list, name: str, kind: str) -> np.ndarray:
+        return np.concatenate([unplanes(getattr(r, name), kind) for r in rows])
+
+    def documents(rows: list) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        order = np.concatenate([np.cumsum(unplanes(r.docs, "<i8")) for r in rows])
+        return order, joined(rows, "keys", "<u4").astype(np.int64), joined(rows, "lines", "<u4").astype(np.int64)
+
+    found = []
+    if marks := [r for r in frame.itertuples() if r.prints is None]:
+        found.append(documents(marks))
+    if rows := [r for r in frame.itertuples() if r.prints is not None]:
+        count = joined(rows, "counts", "<u4")
         line = np.repeat(np.arange(len(count)), count)
-        doc = np.concatenate([np.frombuffer(r.docs, np.int64) for r in rows])
-        key = np.concatenate([np.frombuffer(r.keys, np.int64) for r in rows])
-        number = np.concatenate([unplanes(r.lines, "<u4") for r in rows]).astype(np.int64)
-        size = np.concatenate([unplanes(r.words, "<u4") for r in rows])
-        place = np.concatenate([unplanes(r.places, "<u4") for r in rows])
-        hashes = np.concatenate([np.frombuffer(r.hashes, np.uint64) for r in rows])
-        checks = np.concatenate([unplanes(r.checks, "<u2") for r in rows])
+        doc, key, number = documents(rows)
+        size, place = joined(rows, "words", "<u4"), joined(rows, "places", "<u4")
+        prints = np.concatenate([np.frombuffer(r.prints, np.uint64) for r in rows])
         # Rank of each line in the order (document, its key, line): equal documents that repeat have equal ranks.
         order = np.lexsort((number, key, doc))
         new = np.r_[True, (np.diff(doc[order]) != 0) | (np.diff(key[order]) != 0) | (np.diff(number[order]) != 0)]
         rank = np.empty(len(doc), np.int64)
         rank[order] = np.cumsum(new)
         gone = np.zeros(len(doc), bool)
-        by = np.lexsort((place, checks, hashes))
-        line, place, hashes, checks = line[by], place[by], hashes[by], checks[by]
+        by = np.lexsort((place, prints))
+        line, place, prints = line[by], place[by], prints[by]
         ranks = rank[line]
-        fresh = np.r_[True, (hashes[1:] != hashes[:-1]) | (checks[1:] != checks[:-1])]
+        fresh = np.r_[True, prints[1:] != prints[:-1]]
         group = np.cumsum(fresh) - 1
         same = np.cumsum(fresh | np.r_[True, place[1:] != place[:-1]]) - 1
         earliest = np.minimum.reduceat(ranks, np.flatnonzero(np.r_[True, same[1:] != same[:-1]]))
@@ -135,25 +145,28 @@ def _settle(frame: pd.DataFrame, min_words: int) -> pd.DataFrame:
         np.minimum.at(first_cut, group[~whole], ranks[~whole])
         gone[line[~whole & (ranks > first_whole[group])]] = True  # one word inserted
         gone[line[long_whole & (ranks > first_cut[group])]] = True  # one word deleted
-        at = np.flatnonzero(gone)
-        at = at[np.argsort(key[at], kind="stable")]
-        for a, b in groups(key[at]):
-            out_keys.append(key[at[a : a + 1]])
-            out_lines.append(planes(np.unique(number[at[a:b]]), "<u4"))
-    return pd.DataFrame({"key": np.concatenate(out_keys), "lines": out_lines})
+        found.append((doc[gone], key[gone], number[gone]))
+    doc, key, number = (np.concatenate(x) for x in zip(*found, strict=True))
+    by = np.lexsort((number, key, doc))
+    doc, key, number = doc[by], key[by], number[by]
+    cut = np.cumsum(np.r_[True, (doc[1:] != doc[:-1]) | (key[1:] != key[:-1])][: len(doc)])
+    return pd.DataFrame([(int(doc[a]), int(key[a]), planes(np.unique(number[a:b]), "<u4")) for a, b in groups(cut)], columns=["order", "key", "lines"])
 
 
 def _keyed(docs: DataFrame) -> DataFrame:
-    return guarded(docs, "text", F.xxhash64("doc_id", "text").alias("key"), F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST)).alias("order"))
+    return guarded(docs, "text", F.xxhash64("doc_id", "text").bitwiseAND(0xFFFFFFFF).alias("key"), F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST)).alias("order"))
 
 
 def removed_lines(docs: DataFrame, min_words: int = 8) -> DataFrame:
-    """(key, lists): for each document that loses lines, lists of their numbers from 0. key is xxhash64(doc_id, text)."""
+    """(order, key, lists): for each document that loses lines, lists of their numbers from 0.
+
+    order is doc_id (null: the greatest long), key the lower half of xxhash64(doc_id, text).
+    """
     small_batches(docs.sparkSession)
     buckets = partitions(docs.sparkSession)
     sent = _keyed(docs).select("key", "order", "text").mapInPandas(lambda it: _send(it, min_words, buckets), SENT)
-    settled = sent.groupBy("bucket").applyInPandas(lambda f: _settle(f, min_words), "key long, lines binary")
-    return settled.groupBy("key").agg(F.collect_list("lines").alias("lists"))
+    settled = sent.groupBy("bucket").applyInPandas(lambda f: _settle(f, min_words), "order long, key long, lines binary")
+    return settled.groupBy("order", "key").agg(F.collect_list("lines").alias("lists"))
 
 
 def _numbers(lists) -> np.ndarray:
@@ -178,7 +191,7 @@ def line_dedup(docs: DataFrame, min_words: int = 8) -> DataFrame:
     Rows that repeat (equal id and text) count as one document and lose the same lines. Further columns are
     ignored; an empty table gives an empty result.
     """
-    joined = _keyed(docs).join(removed_lines(docs, min_words).hint("shuffle_hash"), "key", "left").select("doc_id", "no_id", "text", "lists")
+    joined = _keyed(docs).join(removed_lines(docs, min_words).hint("shuffle_hash"), ["order", "key"], "left").select("doc_id", "no_id", "text", "lists")
     return restored(joined.mapInPandas(_strip, "doc_id long, no_id boolean, text string"))
 
 
@@ -194,6 +207,6 @@ def _tally(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 def line_dedup_report(docs: DataFrame, min_words: int = 8) -> DataFrame:
     """doc_id, n_lines (with a word), n_removed and removed_sha256 (of the comma-joined numbers of the removed lines)."""
     lines = F.expr(r"size(filter(split(coalesce(text, ''), '\n'), x -> x rlike '[^\\x20\\x09-\\x0D]'))").cast("long")
-    counted = _keyed(docs).select("doc_id", "no_id", "key", lines.alias("n_lines"))
-    joined = counted.join(removed_lines(docs, min_words).hint("shuffle_hash"), "key", "left").select("doc_id", "no_id", "n_lines", "lists")
+    counted = _keyed(docs).select("doc_id", "no_id", "order", "key", lines.alias("n_lines"))
+    joined = counted.join(removed_lines(docs, min_words).hint("shuffle_hash"), ["order", "key"], "left").select("doc_id", "no_id", "n_lines", "lists")
     return restored(joined.mapInPandas(_tally, "doc_id long, no_id boolean, n_lines long, n_removed long, removed_sha256 string"))
