@@ -28,8 +28,9 @@ from pyspark.sql import functions as F
 
 from .common import BASES, INVERSES, bounded, groups, guarded, hashed_words, mix, partitions, planes, powers, restored, small_batches, unplanes, words_of
 
-SENT = "bucket int, docs binary, keys binary, counts binary, lines binary, words binary, places binary, prints binary"
-FULL = 0xFFFFFFFF
+SENT = "bucket int, docs binary, keys binary, counts binary, lines binary, places binary, prints binary"
+#: Places of an entry that is a whole line: one that only equals others, and one that may be near others.
+FULL, FULL_LONG = 0xFFFFFFFE, 0xFFFFFFFF
 LAST = np.iinfo(np.int64).max
 
 
@@ -77,20 +78,20 @@ def _send(batches: Iterator[pd.DataFrame], min_words: int, buckets: int) -> Iter
         fuzzy = once[line] & (lens[line] >= min_words)
         own = np.flatnonzero(once)
         line = np.concatenate([own, line[fuzzy]])
-        place = np.concatenate([np.full(len(own), FULL), place[fuzzy]])
+        place = np.concatenate([np.where(lens[own] >= min_words, FULL_LONG, FULL), place[fuzzy]])
         second = np.concatenate([full2[own], cut2[fuzzy]])
         prints = np.concatenate([full[own], cut[fuzzy]]) >> np.uint64(16) << np.uint64(16) | second & np.uint64(0xFFFF)
         bucket = ((second >> np.uint64(20)) % np.uint64(buckets)).astype(np.int64)
 
         def lines_of(lines: np.ndarray) -> tuple[bytes, bytes, bytes]:
             of = doc[lines]
-            return planes(np.diff(orders[of], prepend=0), "<i8"), planes(keys[of], "<u4"), planes(number[lines], "<u4")
+            return planes(np.diff(orders[of], prepend=0), "<i8"), planes(keys[of], "<u2"), planes(number[lines], "<u4")
 
         rows = []
         again = np.flatnonzero(~once)
         if len(again):
             docs_, keys_, numbers_ = lines_of(again)
-            rows.append((int(bucket[0]), docs_, keys_, None, numbers_, None, None, None))
+            rows.append((int(bucket[0]), docs_, keys_, None, numbers_, None, None))
         sent = np.lexsort((line, bucket))
         for a, b in groups(bucket[sent]):
             at = sent[a:b]
@@ -99,12 +100,12 @@ def _send(batches: Iterator[pd.DataFrame], min_words: int, buckets: int) -> Iter
             docs_, keys_, numbers_ = lines_of(lines[begins])
             rows.append((
                 int(bucket[at[0]]), docs_, keys_, planes(np.diff(np.append(begins, len(at))), "<u4"),
-                numbers_, planes(lens[lines[begins]], "<u4"), planes(place[at], "<u4"), prints[at].tobytes(),
+                numbers_, planes(place[at], "<u4"), prints[at].tobytes(),
             ))
         yield pd.DataFrame(rows, columns=[c.split()[0] for c in SENT.split(", ")])
 
 
-def _settle(frame: pd.DataFrame, min_words: int) -> pd.DataFrame:
+def _settle(frame: pd.DataFrame) -> pd.DataFrame:
     """All entries of a bucket -> (order, key, lines to remove)."""
 
     def joined(rows: list, name: str, kind: str) -> np.ndarray:
@@ -112,7 +113,7 @@ def _settle(frame: pd.DataFrame, min_words: int) -> pd.DataFrame:
 
     def documents(rows: list) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         order = np.concatenate([np.cumsum(unplanes(r.docs, "<i8")) for r in rows])
-        return order, joined(rows, "keys", "<u4").astype(np.int64), joined(rows, "lines", "<u4").astype(np.int64)
+        return order, joined(rows, "keys", "<u2").astype(np.int64), joined(rows, "lines", "<u4").astype(np.int64)
 
     found = []
     if marks := [r for r in frame.itertuples() if r.prints is None]:
@@ -121,7 +122,7 @@ def _settle(frame: pd.DataFrame, min_words: int) -> pd.DataFrame:
         count = joined(rows, "counts", "<u4")
         line = np.repeat(np.arange(len(count)), count)
         doc, key, number = documents(rows)
-        size, place = joined(rows, "words", "<u4"), joined(rows, "places", "<u4")
+        place = joined(rows, "places", "<u4")
         prints = np.concatenate([np.frombuffer(r.prints, np.uint64) for r in rows])
         # Rank of each line in the order (document, its key, line): equal documents that repeat have equal ranks.
         order = np.lexsort((number, key, doc))
@@ -135,12 +136,13 @@ def _settle(frame: pd.DataFrame, min_words: int) -> pd.DataFrame:
         fresh = np.r_[True, prints[1:] != prints[:-1]]
         group = np.cumsum(fresh) - 1
         same = np.cumsum(fresh | np.r_[True, place[1:] != place[:-1]]) - 1
+        # The two kinds of whole lines of equal words differ in no group: equal words are equally many.
         earliest = np.minimum.reduceat(ranks, np.flatnonzero(np.r_[True, same[1:] != same[:-1]]))
         gone[line[ranks > earliest[same]]] = True  # equal lines, or one word replaced
-        whole = place == FULL
+        whole = place >= FULL
         n = group[-1] + 1
         first_whole, first_cut = np.full(n, LAST), np.full(n, LAST)
-        long_whole = whole & (size[line] >= min_words)
+        long_whole = place == FULL_LONG
         np.minimum.at(first_whole, group[long_whole], ranks[long_whole])
         np.minimum.at(first_cut, group[~whole], ranks[~whole])
         gone[line[~whole & (ranks > first_whole[group])]] = True  # one word inserted
@@ -154,18 +156,18 @@ def _settle(frame: pd.DataFrame, min_words: int) -> pd.DataFrame:
 
 
 def _keyed(docs: DataFrame) -> DataFrame:
-    return guarded(docs, "text", F.xxhash64("doc_id", "text").bitwiseAND(0xFFFFFFFF).alias("key"), F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST)).alias("order"))
+    return guarded(docs, "text", F.xxhash64("doc_id", "text").bitwiseAND(0xFFFF).alias("key"), F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST)).alias("order"))
 
 
 def removed_lines(docs: DataFrame, min_words: int = 8) -> DataFrame:
     """(order, key, lists): for each document that loses lines, lists of their numbers from 0.
 
-    order is doc_id (null: the greatest long), key the lower half of xxhash64(doc_id, text).
+    order is doc_id (null: the greatest long), key the last 16 bits of xxhash64(doc_id, text).
     """
     small_batches(docs.sparkSession)
-    buckets = partitions(docs.sparkSession)
+    buckets = 4 * partitions(docs.sparkSession)
     sent = _keyed(docs).select("key", "order", "text").mapInPandas(lambda it: _send(it, min_words, buckets), SENT)
-    settled = sent.groupBy("bucket").applyInPandas(lambda f: _settle(f, min_words), "order long, key long, lines binary")
+    settled = sent.groupBy("bucket").applyInPandas(_settle, "order long, key long, lines binary")
     return settled.groupBy("order", "key").agg(F.collect_list("lines").alias("lists"))
 
 
