@@ -7,12 +7,15 @@ each text in it.
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 import tempfile
 import uuid
 from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -125,6 +128,13 @@ def groups(values: np.ndarray) -> Iterator[tuple[int, int]]:
     return zip(cut.tolist(), [*cut[1:].tolist(), len(values)][: len(cut)], strict=True)
 
 
+def trim() -> None:
+    """Gives memory that a worker has freed back to the system: idle workers stay, and count, beside the executor."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # other C libraries lack the call
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+
+
 def bounded(batches: Iterator[pd.DataFrame], column: str, chars: int = 2_000_000) -> Iterator[pd.DataFrame]:
     """The rows again, in frames whose texts have about `chars` characters (or one longer text)."""
     held: list[pd.DataFrame] = []
@@ -143,6 +153,8 @@ def bounded(batches: Iterator[pd.DataFrame], column: str, chars: int = 2_000_000
                 held, size = [], 0
     if held:
         yield pd.concat(held, ignore_index=True)
+    held.clear()
+    trim()
 
 
 def scratch(spark: SparkSession, name: str) -> str:

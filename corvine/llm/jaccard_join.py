@@ -26,7 +26,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import BASES, bounded, guarded, hashed_words, lower_words_of, mix, small_batches, window_hashes, window_starts, written
+from .common import BASES, bounded, guarded, hashed_words, lower_words_of, mix, small_batches, trim, window_hashes, window_starts, written
 
 SKETCH = 1 << 20
 SLICES = 64
@@ -135,6 +135,7 @@ def _entries(batches: Iterator[pd.DataFrame], levels, percent: int) -> Iterator[
             marks.append(np.full(len(s), int.from_bytes(digest[:8], "little", signed=True)))
         if nodes:
             yield pd.DataFrame({"col": np.concatenate(columns).view(np.int64), "node": np.concatenate(nodes), "n": np.concatenate(sizes), "mark": np.concatenate(marks)})
+    trim()
 
 
 def _overlaps(batches: Iterator[pd.DataFrame], percent: int) -> Iterator[pd.DataFrame]:
@@ -145,6 +146,7 @@ def _overlaps(batches: Iterator[pd.DataFrame], percent: int) -> Iterator[pd.Data
             both = len(np.intersect1d(x, y, assume_unique=True))
             good.append(100 * both >= percent * (len(x) + len(y) - both))
         yield frame.loc[np.array(good, bool), ["a", "b"]]
+    trim()
 
 
 class Join:

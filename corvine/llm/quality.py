@@ -16,7 +16,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bounded, covered, guarded, hashed_words, mix, restored, small_batches, utf8, window_hashes, window_starts, words_of
+from .common import bounded, covered, guarded, hashed_words, mix, restored, small_batches, trim, utf8, window_hashes, window_starts, words_of
 
 # Common words of four languages, lower case.
 COMMON = {
@@ -201,5 +201,6 @@ def kept_rows(docs: DataFrame) -> DataFrame:
         for batch in batches:
             if batch.num_rows:
                 yield batch.filter(pa.array(measured(batch.column("text").to_pylist(), shared.value)["kept"].tolist(), pa.bool_()))
+        trim()
 
     return docs.mapInArrow(keep, docs.schema)
