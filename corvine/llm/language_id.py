@@ -25,7 +25,8 @@ from .common import bounded, guarded, restored, small_batches, utf8
 BUCKETS, DIM = 1 << 13, 16
 SIZES = (2, 3, 4)
 PER_LANGUAGE = 500
-EPOCHS, BATCH, RATE = 12, 32, 4.0
+#: Steps of the descent, whatever the number of documents; documents of a step; first rate.
+STEPS, BATCH, RATE = 1200, 32, 4.0
 #: Share of the right held-back predictions that the rejection score lets pass.
 ACCEPTED = 0.99
 UNKNOWN = "und"
@@ -91,24 +92,23 @@ def train(features: list[tuple[np.ndarray, np.ndarray]], labels: list[str], seed
     embed = rng.normal(0, 0.3, (BUCKETS, DIM)).astype(np.float32)
     layer = rng.normal(0, 0.3, (DIM, len(langs))).astype(np.float32)
     bias = np.zeros(len(langs), np.float32)
-    steps, done = EPOCHS * -(-len(fitted) // BATCH), 0
-    for _ in range(EPOCHS):
-        rng.shuffle(fitted)
-        for at in range(0, len(fitted), BATCH):
-            rows = fitted[at : at + BATCH]
-            ids = np.concatenate([features[r][0] for r in rows])
-            share = np.concatenate([features[r][1] / max(1, features[r][1].sum()) for r in rows]).astype(np.float32)
-            owner = np.repeat(np.arange(len(rows)), [len(features[r][0]) for r in rows])
-            mean = np.zeros((len(rows), DIM), np.float32)
-            np.add.at(mean, owner, embed[ids] * share[:, None])
-            grad = softmax(mean @ layer + bias)
-            grad[np.arange(len(rows)), y[rows]] -= 1
-            grad /= len(rows)
-            rate = RATE * (1 - done / steps)
-            np.add.at(embed, ids, -rate * share[:, None] * (grad @ layer.T)[owner])
-            layer -= rate * 0.1 * mean.T @ grad
-            bias -= rate * 0.1 * grad.sum(axis=0)
-            done += 1
+    queue: list[int] = []
+    for done in range(STEPS):
+        if len(queue) < BATCH:
+            queue += rng.permutation(fitted).tolist()
+        rows, queue = np.array(queue[:BATCH]), queue[BATCH:]
+        ids = np.concatenate([features[r][0] for r in rows])
+        share = np.concatenate([features[r][1] / max(1, features[r][1].sum()) for r in rows]).astype(np.float32)
+        owner = np.repeat(np.arange(len(rows)), [len(features[r][0]) for r in rows])
+        mean = np.zeros((len(rows), DIM), np.float32)
+        np.add.at(mean, owner, embed[ids] * share[:, None])
+        grad = softmax(mean @ layer + bias)
+        grad[np.arange(len(rows)), y[rows]] -= 1
+        grad /= len(rows)
+        rate = RATE * (1 - done / STEPS)
+        np.add.at(embed, ids, -rate * share[:, None] * (grad @ layer.T)[owner])
+        layer -= rate * 0.1 * mean.T @ grad
+        bias -= rate * 0.1 * grad.sum(axis=0)
     model = Model(langs, (embed @ layer).astype(np.float64), bias.astype(np.float64))
     if len(held):
         sums = np.array([(model.table[features[r][0]] * features[r][1][:, None]).sum(axis=0) for r in held])

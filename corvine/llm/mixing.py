@@ -78,7 +78,7 @@ def knapsack(lengths: list[int], counts: list[int], budget: int) -> list[int]:
 
 
 def fit(lengths: np.ndarray, counts: np.ndarray, budget: float) -> np.ndarray:
-    """How many documents of each length (ascending, above 0) to take for a sum near the budget, and never above it by rounding."""
+    """How many documents of each length (ascending, above 0) to take for a sum near the budget."""
     total = int((lengths * counts).sum())
     if budget >= total:
         return counts.copy()
@@ -99,12 +99,20 @@ def fit(lengths: np.ndarray, counts: np.ndarray, budget: float) -> np.ndarray:
             more = min(int(counts[k] - taken[k]), left // int(lengths[k]))
             taken[k] += more
             left -= more * int(lengths[k])
-        return taken
+        return nearer(lengths, counts, taken, budget)
     # Of many lengths, some spread over all and the shortest.
     if len(free) > KNAPSACK_LENGTHS:
         free = np.unique(np.r_[free[: KNAPSACK_LENGTHS // 2], free[np.linspace(0, len(free) - 1, KNAPSACK_LENGTHS // 2).astype(int)]])
     more = knapsack(lengths[free].tolist(), (counts - taken)[free].tolist(), left)
     taken[free] += np.array(more)
+    return nearer(lengths, counts, taken, budget)
+
+
+def nearer(lengths: np.ndarray, counts: np.ndarray, taken: np.ndarray, budget: int) -> np.ndarray:
+    """With the shortest document that is left too, if that brings the sum nearer to the budget."""
+    left, rest = budget - int((lengths * taken).sum()), np.flatnonzero(counts > taken)
+    if left > 0 and len(rest) and lengths[rest[0]] < 2 * left:
+        taken[rest[0]] += 1
     return taken
 
 
