@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import tempfile
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -48,20 +50,20 @@ def routing(stats: DataFrame, poison: DataFrame) -> DataFrame:
 def best_attempt(attempts: DataFrame, gap: float = 0.15) -> DataFrame:
     """attempts(source, attempt_no, extractor, coverage, short_ratio, chars_per_page, n_chunks) -> the chosen row of each source.
 
-    Greatest coverage, least short ratio (0 counts as 1), most characters and chunks, first attempt; a window
-    fallback gives way to the best other attempt of at least its coverage plus gap.
+    Greatest coverage, least short ratio (0 and null count as 1), most characters and chunks, first attempt; a
+    window fallback gives way to the best other attempt of at least its coverage plus gap. Aggregates alone, so
+    a file of very many attempts is combined before the shuffle. Null measures are the worst.
     """
+    last = lambda c: -F.coalesce(F.col(c).cast("double"), F.lit(float("-inf")))
     ratio = F.when(F.coalesce("short_ratio", F.lit(0.0)) == 0, 1.0).otherwise(F.col("short_ratio"))
-    key = [F.desc("coverage"), ratio.asc(), F.desc("chars_per_page"), F.desc("n_chunks"), F.asc("attempt_no")]
-    by = Window.partitionBy("source")
-    ranked = attempts.withColumn("rn", F.row_number().over(by.orderBy(*key)))
-    other = F.col("extractor") != "window"
-    marked = ranked.withColumns({
-        "window_cov": F.max(F.when((F.col("rn") == 1) & ~other, F.col("coverage"))).over(by),
-        "best_other": F.min(F.when(other, F.col("rn"))).over(by), "other_cov": F.max(F.when(other, F.col("coverage"))).over(by),
-    })
-    chosen = F.when(F.col("other_cov") >= F.col("window_cov") + gap, F.col("best_other")).otherwise(1)
-    return marked.where(F.col("rn") == chosen).select(*attempts.columns)
+    key = F.struct(last("coverage").alias("k1"), ratio.alias("k2"), last("chars_per_page").alias("k3"), last("n_chunks").alias("k4"), F.col("attempt_no").alias("k5"))
+    row, other = F.struct(*attempts.columns), ~F.col("extractor").eqNullSafe("window")
+    best = attempts.groupBy("source").agg(
+        F.min_by(row, key).alias("best"), F.min_by(F.when(other, row), F.when(other, key)).alias("other"), F.max(F.when(other, F.col("coverage"))).alias("other_cov"),
+    )
+    swap = F.col("best.extractor").eqNullSafe("window") & (F.col("other_cov") >= F.col("best.coverage") + gap)
+    chosen = best.select(F.when(F.coalesce(swap, F.lit(False)), F.col("other")).otherwise(F.col("best")).alias("c"))
+    return chosen.select(*[F.col(f"c.{c}").alias(c) for c in attempts.columns])
 
 
 def reusable(status: Column, chunks: Column, coverage: Column, least: float = 0.85) -> Column:
@@ -105,16 +107,38 @@ def top_terms(docs: DataFrame, k: int = 12) -> DataFrame:
     return toks.groupBy("term").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "term").limit(k)
 
 
+def running_sum(rows: DataFrame, order: list[Column], value: str, name: str) -> DataFrame:
+    """rows with the sum of `value` over all rows up to each one in `order` (which must leave no ties), without a window over the whole table.
+
+    Rows are cut into ranges, each range is summed in its own task and starts from the sums of the ranges before
+    it (one number a range). The ranges are checkpointed: a lost task must not draw their borders anew.
+    """
+    context = rows.sparkSession.sparkContext
+    if not context.getCheckpointDir():
+        shared = rows.sparkSession.conf.get("spark.checkpoint.dir", None)
+        context.setCheckpointDir(shared or tempfile.mkdtemp(prefix="corvine-"))
+    parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    ranged = rows.repartitionByRange(parts, *order).withColumn("_range", F.spark_partition_id()).checkpoint()
+    sums = ranged.groupBy("_range").agg(F.sum(value).alias("_sum"))
+    before = sums.withColumn("_before", F.coalesce(F.sum("_sum").over(Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop("_sum")
+    inside = F.sum(value).over(Window.partitionBy("_range").orderBy(*order))
+    return ranged.withColumn("_inside", inside).join(F.broadcast(before), "_range").withColumn(name, F.col("_before") + F.col("_inside")).drop("_range", "_before", "_inside")
+
+
 def evict(entries: DataFrame, now: Column, ttl: float, cap: float) -> DataFrame:
     """entries(session, mtime, size) -> session, evicted: too old, or among the oldest while the rest exceeds cap."""
     aged = entries.withColumn("old", now - F.col("mtime") > ttl)
-    order = Window.orderBy("old", F.desc("mtime"), F.desc("session"))
     # Newest first: a session stays while it and all newer ones fit.
-    return aged.withColumn("sum", F.sum("size").over(order)).select("session", (F.col("old") | (F.col("sum") > cap)).alias("evicted"))
+    summed = running_sum(aged, [F.col("old").asc(), F.desc("mtime"), F.desc("session")], "size", "sum")
+    return summed.select("session", (F.col("old") | (F.col("sum") > cap)).alias("evicted"))
 
 
 def admit(uploads: DataFrame, capacity: int) -> DataFrame:
-    """uploads(session, ord, hash): first of each hash, in order, while capacity lasts."""
-    first = F.row_number().over(Window.partitionBy("session", "hash").orderBy("ord")) == 1
-    seen = F.sum(F.col("fresh").cast("int")).over(Window.partitionBy("session").orderBy("ord"))
-    return uploads.withColumn("fresh", first).withColumn("admitted", F.col("fresh") & (seen <= capacity)).drop("fresh")
+    """uploads(session, ord, hash) with admitted: first of each hash, in order, while capacity lasts. (session, ord) is a key.
+
+    Only the first rows of hashes are ranked, at most `capacity` a task and session reach the shuffle.
+    """
+    first = uploads.groupBy("session", "hash").agg(F.min("ord").alias("ord"))
+    ranked = first.withColumn("rn", F.row_number().over(Window.partitionBy("session").orderBy("ord"))).where(F.col("rn") <= capacity)
+    let = ranked.select("session", "ord", F.lit(True).alias("admitted"))
+    return uploads.join(let, ["session", "ord"], "left").withColumn("admitted", F.coalesce("admitted", F.lit(False)))

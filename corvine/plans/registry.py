@@ -227,14 +227,15 @@ def bm25_topk(spark, sf):
     return retrieval.bm25_topk(documents(spark, sf), _asked(spark, sf)).select("query_id", "doc_id", "score", "rank")
 
 
-_DENSE = """dense AS (SELECT q.vec_id AS query_id, e.vec_id, round(list_cosine_similarity(q.embedding::DOUBLE[], e.embedding::DOUBLE[]), 6) AS score,
+#: Every vector whose id is divisible by 100 is a query against all vectors; it is the vector of the benchmark item of a hundredth of its id.
+_DENSE = """dense AS (SELECT q.vec_id // 100 AS query_id, e.vec_id, round(list_cosine_similarity(q.embedding::DOUBLE[], e.embedding::DOUBLE[]), 6) AS score,
   CAST(row_number() OVER (PARTITION BY q.vec_id ORDER BY round(list_cosine_similarity(q.embedding::DOUBLE[], e.embedding::DOUBLE[]), 6) DESC, e.vec_id) AS INT) AS rank
-  FROM embeddings q, embeddings e WHERE q.vec_id < 40 QUALIFY rank <= 10)"""
+  FROM embeddings q, embeddings e WHERE q.vec_id % 100 = 0 QUALIFY rank <= 10)"""
 
 
 def _dense(spark, sf):
     vectors = table(spark, sf, "embeddings")
-    asked = vectors.where("vec_id < 40").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("qvec"))
+    asked = vectors.where("vec_id % 100 = 0").select(F.expr("vec_id div 100").alias("query_id"), F.col("embedding").alias("qvec"))
     return retrieval.dense_topk(vectors, asked)
 
 
@@ -384,19 +385,20 @@ def gold_pattern_match(spark, sf):
 # --- extraction quality, index, judge logs, reports ------------------------------------------------------------
 
 _PAGES = f"""pg AS (SELECT source, page, count(*) AS n, sum(length(text)) AS chars, sum(CAST(length(trim(text, ' ')) < 120 AS INT)) AS n_short, bool_or(table_like) AS tbl
-  FROM f JOIN tl USING (doc_id) WHERE (page + ascii(right(source, 1))) % 4 <> 0 GROUP BY ALL),
+  FROM f JOIN tl USING (doc_id) GROUP BY ALL),
 stats AS (SELECT source, CAST(sum(n) AS BIGINT) AS n_chunks, CAST(sum(chars) AS BIGINT) AS n_chars, count(page) AS pages_seen, bool_or(tbl) AS has_table, round(sum(chars) / greatest(count(page), 1), 6) AS chars_per_page,
-  round(sum(n_short) / sum(n), 6) AS short_ratio, round(sum(CAST(chars = 0 AS INT)) / count(page), 6) AS empty_ratio, round(least(1.0, count(page) / 10.0), 6) AS coverage FROM pg GROUP BY source)"""
+  round(sum(n_short) / sum(n), 6) AS short_ratio, round(sum(CAST(chars = 0 AS INT)) / count(page), 6) AS empty_ratio, round(least(1.0, count(page) / (10.0 + ascii(right(source, 1)) % 4)), 6) AS coverage FROM pg GROUP BY source)"""
 _TABLE_LIKE = "tl AS (SELECT doc_id, len(l) >= 5 AND len(list_filter(l[1:60], lambda x: contains(x, '|') OR contains(x, chr(9)) OR len(list_filter(string_split_regex(trim(x), ' {2,}'), lambda p: p <> '')) >= 3)) >= 4 AS table_like FROM (SELECT doc_id, list_filter(string_split(text, chr(10)), lambda x: trim(x) <> '') AS l FROM documents))"
 
 
-def _page_rows(spark, sf):
-    return _files(spark, sf).where((F.col("page") + F.ascii(F.right("source", F.lit(1)))) % 4 != 0)
+def _total_pages():
+    """A file has 10 to 13 pages, by the last character of its name."""
+    return F.lit(10.0) + F.ascii(F.right("source", F.lit(1))) % 4
 
 
 @query(f"WITH {_FILES}, {_TABLE_LIKE}, {_PAGES} SELECT * FROM stats")
 def extraction_stats(spark, sf):
-    return corpus.extraction_stats(_page_rows(spark, sf), F.lit(10.0))
+    return corpus.extraction_stats(_files(spark, sf), _total_pages())
 
 
 _POISONED = rf"""pt AS (SELECT source, CAST(doc_id // 20 % 10 + 1 AS INT) AS page, {POISON} AS t FROM documents),
@@ -415,12 +417,12 @@ def poisoned_pages(spark, sf):
     return _poison(spark, sf)
 
 
-@query(f"""WITH {_FILES}, {_TABLE_LIKE}, {_PAGES}, {_POISONED}, j AS (SELECT * FROM stats JOIN (SELECT source, poisoned, ratio FROM poison WHERE right(source, 1) <> '1') p USING (source) UNION ALL BY NAME SELECT *, 0 AS poisoned, 0.0 AS ratio FROM stats WHERE right(source, 1) = '1')
+@query(f"""WITH {_FILES}, {_TABLE_LIKE}, {_PAGES}, {_POISONED}, j AS (SELECT * FROM stats JOIN (SELECT source, poisoned, ratio FROM poison) p USING (source))
 SELECT source, CASE WHEN coverage < 0.85 OR ratio >= 0.35 THEN 'hard_fail' WHEN chars_per_page < 450 OR empty_ratio > 0.25 OR short_ratio > 0.55 OR poisoned > 0 THEN 'soft_fail' ELSE 'pass' END AS status,
   CASE WHEN coverage < 0.85 OR ratio >= 0.35 THEN concat_ws('; ', CASE WHEN coverage < 0.85 THEN 'page_coverage' END, CASE WHEN ratio >= 0.35 THEN 'poison_ratio' END)
   ELSE concat_ws('; ', CASE WHEN chars_per_page < 450 THEN 'chars_per_page' END, CASE WHEN empty_ratio > 0.25 THEN 'empty_ratio' END, CASE WHEN short_ratio > 0.55 THEN 'short_ratio' END, CASE WHEN poisoned > 0 THEN 'poisoned_pages' END) END AS reason FROM j""")
 def routing_status(spark, sf):
-    return corpus.routing(corpus.extraction_stats(_page_rows(spark, sf), F.lit(10.0)), _poison(spark, sf).where(F.right("source", F.lit(1)) != "1"))
+    return corpus.routing(corpus.extraction_stats(_files(spark, sf), _total_pages()), _poison(spark, sf))
 
 
 _ATTEMPTS = """att AS (SELECT source, doc_id AS attempt_no, CASE doc_id // 20 % 4 WHEN 0 THEN 'docling' WHEN 1 THEN 'pymupdf' WHEN 2 THEN 'unstructured' ELSE 'window' END AS extractor,
@@ -440,11 +442,11 @@ def best_attempt(spark, sf):
     return corpus.best_attempt(attempts).select("source", "attempt_no", "extractor", "coverage")
 
 
-@query("""WITH old AS (SELECT d.doc_id, CASE WHEN d.doc_id % 10 = 0 THEN 'x' ELSE sha256(text) END AS h, CASE quality WHEN 1 THEN 'pass' WHEN 0 THEN 'hard_fail' END AS status, d.doc_id % 5 AS chunks, round(d.doc_id % 11 / 10.0, 6) AS coverage FROM documents d LEFT JOIN labels USING (doc_id) WHERE d.doc_id % 3 <> 0)
+@query("""WITH old AS (SELECT d.doc_id, CASE WHEN d.doc_id % 10 = 0 THEN 'x' ELSE sha256(text) END AS h, CASE quality WHEN 1 THEN 'pass' WHEN 0 THEN 'hard_fail' END AS status, d.doc_id % 5 AS chunks, round(d.doc_id % 11 / 10.0, 6) AS coverage FROM documents d JOIN labels USING (doc_id))
 SELECT CAST(d.doc_id AS VARCHAR) AS source, CASE WHEN old.h = sha256(text) AND status IN ('pass', 'soft_fail') AND chunks > 0 AND coverage >= 0.85 THEN 'reuse' ELSE 'extract' END AS action FROM documents d LEFT JOIN old USING (doc_id)""")
 def incremental_reuse(spark, sf):
     docs = documents(spark, sf).select("doc_id", F.col("doc_id").cast("string").alias("source"), F.sha2("text", 256).alias("file_hash"))
-    old = docs.where("doc_id % 3 <> 0").join(table(spark, sf, "labels").select("doc_id", "quality"), "doc_id", "left").select(
+    old = docs.join(table(spark, sf, "labels").select("doc_id", "quality"), "doc_id").select(
         "source", F.when(F.col("doc_id") % 10 == 0, "x").otherwise(F.col("file_hash")).alias("file_hash"), F.when(F.col("quality") == 1, "pass").when(F.col("quality") == 0, "hard_fail").alias("status"),
         (F.col("doc_id") % 5).alias("chunks"), F.round(F.col("doc_id") % 11 / 10.0, 6).alias("coverage"),
     )
@@ -504,12 +506,12 @@ def top_terms(spark, sf):
     return corpus.top_terms(documents(spark, sf))
 
 
-@query("""SELECT coalesce(a.source, b.source) AS source, coalesce(n, 0) AS n, coalesce(quality, -1) AS quality FROM (SELECT source, count(*) AS n FROM documents WHERE doc_id % 3 = 0 GROUP BY ALL) a
-FULL JOIN (SELECT source, round(avg(quality), 6) AS quality FROM documents JOIN labels USING (doc_id) WHERE source <> 'src3' GROUP BY ALL) b ON a.source = b.source""")
+@query("""SELECT coalesce(a.source, b.source) AS source, coalesce(n, 0) AS n, coalesce(quality, -1) AS quality FROM (SELECT source, count(*) AS n FROM documents GROUP BY ALL) a
+FULL JOIN (SELECT source, round(avg(quality), 6) AS quality FROM documents JOIN labels USING (doc_id) GROUP BY ALL) b ON a.source = b.source""")
 def document_stats(spark, sf):
     docs = documents(spark, sf)
-    counts = docs.where("doc_id % 3 = 0").groupBy("source").agg(F.count(F.lit(1)).alias("n"))
-    marks = docs.where("source <> 'src3'").join(table(spark, sf, "labels"), "doc_id").groupBy("source").agg(F.round(F.avg("quality"), 6).alias("quality"))
+    counts = docs.groupBy("source").agg(F.count(F.lit(1)).alias("n"))
+    marks = docs.join(table(spark, sf, "labels"), "doc_id").groupBy("source").agg(F.round(F.avg("quality"), 6).alias("quality"))
     return counts.join(marks, "source", "full").select("source", F.coalesce("n", F.lit(0)).alias("n"), F.coalesce("quality", F.lit(-1.0)).alias("quality"))
 
 
@@ -526,11 +528,8 @@ _SESSIONS = "ses AS (SELECT user_id AS session, max(event_id) AS mtime, sum(leng
 SELECT session, old OR sum(size) OVER (ORDER BY old, mtime DESC, session DESC) > cap AS evicted FROM o""")
 def cache_eviction(spark, sf):
     sessions = table(spark, sf, "events").groupBy(F.col("user_id").alias("session")).agg(F.max("event_id").alias("mtime"), F.sum(F.length("props")).alias("size"))
-    now = sessions.agg(F.max("mtime").alias("now"), (F.sum("size") / 2).alias("cap"))
-    rows = sessions.crossJoin(F.broadcast(now))
-    aged = rows.withColumn("old", F.col("now") - F.col("mtime") > 150)
-    order = Window.orderBy("old", F.desc("mtime"), F.desc("session"))
-    return aged.select("session", (F.col("old") | (F.sum("size").over(order) > F.col("cap"))).alias("evicted"))
+    now, total = sessions.agg(F.max("mtime"), F.sum("size")).first()
+    return corpus.evict(sessions, F.lit(now), 150, (total or 0) / 2)
 
 
 @query("""WITH u AS (SELECT user_id AS session, event_id, row_number() OVER (PARTITION BY user_id, sha256(props) ORDER BY ts, event_id) = 1 AS fresh, ts FROM events)
