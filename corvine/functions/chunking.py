@@ -81,3 +81,21 @@ def table_chunks(df: DataFrame, text: str, most: int, overlap: int) -> DataFrame
         return texts.map(pack)
 
     return chunked(df, packed(F.col(text)))
+
+
+def chunk_long(docs: DataFrame, text: str, kind: str, mode: str = "token", most: int = 200, overlap: int = 20) -> DataFrame:
+    """docs with chunk_ord and chunk by element type: rows of kind `table` by lines, all others by tokens or characters.
+
+    Token mode takes at least 64 tokens and at most one less in overlap. Character mode takes at least 200
+    characters, a fifth of the size in overlap if that is not below the size, and normalises white space first.
+    """
+    if mode not in ("token", "char"):
+        raise ValueError("mode must be token or char")
+    table = F.coalesce(F.lower(kind) == "table", F.lit(False))
+    if mode == "char":
+        most = max(200, most)
+        overlap = most // 5 if overlap >= most else max(0, overlap)
+        return chunked(docs, char_chunks(F.when(table, F.col(text)).otherwise(normalize_ws(F.col(text))), most, overlap))
+    most = max(64, most)
+    overlap = min(max(0, overlap), most - 1)
+    return chunked(docs.where(~table), token_chunks(F.col(text), most, overlap)).unionByName(table_chunks(docs.where(table), text, most, overlap))

@@ -113,3 +113,61 @@ def adaptive_timeout(pages: Column, megabytes: Column, full: Column, base: int =
 def cosine(a: Column, b: Column) -> Column:
     dot = lambda x, y: F.aggregate(F.zip_with(x, y, lambda p, q: p.cast("double") * q.cast("double")), F.lit(0.0), lambda s, v: s + v)
     return dot(a, b) / F.greatest(F.sqrt(dot(a, a)) * F.sqrt(dot(b, b)), F.lit(1e-12))
+
+
+def looks_like_pdf_table(text: Column) -> Column:
+    """Of the first 80 lines, at least three with a pipe or six with three parts set apart by two white space characters."""
+    lines = F.slice(F.split(F.coalesce(text, F.lit("")), "\n"), 1, 80)
+    parts = lambda x: F.size(F.filter(F.split(F.btrim(x, F.lit(" \t\r")), r"[ \t]{2,}"), lambda p: p != ""))
+    return (F.size(F.filter(lines, lambda x: x.contains("|"))) >= 3) | (F.size(F.filter(lines, lambda x: parts(x) >= 3)) >= 6)
+
+
+def json_list(text: Column) -> Column:
+    """Non-blank items of a text that is a JSON array, or of the array from its first bracket to its last; else none."""
+    text = F.coalesce(text, F.lit(""))
+    block = F.regexp_extract(text, r"(?s)\[.*\]", 0)
+    parsed = F.coalesce(F.from_json(F.trim(text), "array<string>"), F.from_json(block, "array<string>"))
+    return F.coalesce(F.filter(parsed, lambda x: F.trim(x) != ""), F.array().cast("array<string>"))
+
+
+def token_limit(message: Column) -> Column:
+    text = F.lower(F.coalesce(message, F.lit("")))
+    return text.contains("tokens limit exceeded") | text.contains("requestentitytoolargeerror")
+
+
+def offending_index(message: Column, batch: Column) -> Column:
+    """The item that a backend names as too long, or null if it names none of the batch."""
+    index = F.regexp_extract(F.coalesce(message, F.lit("")), r"(?i)index\s+(\d+)\s*:", 1).try_cast("int")
+    return F.when((index >= 0) & (index < batch), index)
+
+
+def halves(text: Column) -> tuple[Column, Column]:
+    """A text in two at the white space nearest its middle: back first, then forward, within a tenth of it (40 to 400); else at the middle."""
+    space = " \t\n\r\f"
+    whole = F.btrim(F.coalesce(text, F.lit("")), F.lit(space))
+    n = F.length(whole)
+    mid = F.floor(n / 2).cast("int")
+    window = F.least(F.lit(400), F.greatest(F.lit(40), F.floor(n / 10))).cast("int")
+    low, high = F.greatest(F.lit(1), mid - window), F.least(n - 1, mid + window)
+    back = F.substring(whole, low + 1, mid - low + 1)
+    ahead = F.substring(whole, mid + 2, high - mid)
+    cut = F.when(back.rlike(r"\s"), mid - F.length(F.regexp_extract(back, r"\s(\S*)\z", 1))).when(ahead.rlike(r"\s"), mid + 1 + F.length(F.regexp_extract(ahead, r"^\S*", 0))).otherwise(mid)
+    short = n <= 2
+    left = F.when(short, whole).otherwise(F.btrim(F.substring(whole, F.lit(1), cut), F.lit(space)))
+    return left, F.when(short, "").otherwise(F.btrim(F.substring(whole, cut + 1, n), F.lit(space)))
+
+
+def resolved_timeout(adaptive: Column, cap: Column, remaining: Column) -> Column:
+    """Seconds of an attempt: the least of its own limit, the stage's cap and what remains; 0 if nothing remains."""
+    return F.when(F.coalesce(remaining <= 0, F.lit(False)), 0).otherwise(F.least(adaptive, cap, F.ceil(remaining))).cast("int")
+
+
+def attempt_flags(status: Column, reason: Column, chunks: Column) -> dict[str, Column]:
+    """success, timed out, and timed out without chunks; null reasons name nothing."""
+    late = F.lower(F.coalesce(reason, F.lit(""))).startswith("timeout:")
+    return {"success": F.coalesce(status.isin("pass", "soft_fail"), F.lit(False)), "timed_out": late, "timed_out_empty": late & (F.coalesce(chunks, F.lit(0)) == 0)}
+
+
+def first_distinct(items: Column, most: int) -> Column:
+    """Distinct non-blank items in order, at most max(1, most) of them."""
+    return F.slice(F.array_distinct(F.filter(items, lambda x: F.trim(x) != "")), 1, max(1, most))

@@ -557,3 +557,6 @@ def targeted_merge(spark, sf):
     fresh = _files(spark, sf).where("page in (2, 5)").select((-F.col("doc_id") - 1).alias("doc_id"), "source", "page")
     kept = base.join(fresh.select("source", "page").distinct(), ["source", "page"], "left_anti")
     return kept.select("doc_id", "source", "page").unionByName(fresh)
+
+
+from . import cascade as _cascade  # noqa: E402, F401  registers its queries here
