@@ -161,7 +161,7 @@ class Join:
         self.full = self.rows.where("shingles is not null")
 
     def columns(self) -> DataFrame:
-        """(col, node, n, mark) of the columns that can start a sufficient overlap, if different sets share them."""
+        """(col, node, n, mark) of the columns that can start a sufficient overlap, if different sets of fitting sizes share them."""
         sums = self.full.select("shingles").mapInPandas(_sketch, "slice int, places binary, counts binary").groupBy("slice").applyInPandas(_add_slices, "slice int, levels binary")
         levels = bytearray(SKETCH)
         step = SKETCH // SLICES
@@ -169,8 +169,18 @@ class Join:
             levels[row.slice * step : (row.slice + 1) * step] = row.levels
         shared, percent = self.spark.sparkContext.broadcast(bytes(levels)), self.percent
         entries = self.full.select("node", "digest", "shingles").mapInPandas(lambda it: _entries(it, shared, percent), "col long, node long, n int, mark long")
-        several = entries.groupBy("col").agg(F.min("mark").alias("lo"), F.max("mark").alias("hi")).where("lo <> hi").select("col")
-        return written(entries.join(several, "col", "left_semi"), "columns")
+        # Bit k of a mask: the column has a row of size band k modulo 64. Without two rows in one band or in bands side by side, no sizes fit.
+        turn = lambda m, by: f"(shiftleft({m}, {by}) | shiftrightunsigned({m}, {64 - by}))"
+        entries = entries.withColumn("own", F.expr(f"shiftleft(1L, cast(pmod({self.band('n')}, 64) as int))"))
+        sums = entries.groupBy("col").agg(F.min("mark").alias("lo"), F.max("mark").alias("hi"), F.bit_or("own").alias("mask"), F.count(F.lit(1)).alias("c"))
+        crowded = F.expr("c > bit_count(mask)")
+        several = sums.where(F.expr("lo <> hi") & (crowded | F.expr(f"mask & {turn('mask', 1)} <> 0"))).select("col", "mask", crowded.alias("crowded"))
+        beside = F.col("crowded") | F.expr(f"mask & ({turn('own', 1)} | {turn('own', 63)}) <> 0")
+        return written(entries.join(several, "col").where(beside).select("col", "node", "n", "mark"), "columns")
+
+    def band(self, n: str) -> str:
+        """SQL of a size's band: sizes that allow the similarity are in one band or in two side by side."""
+        return f"cast(floor(ln({n}) / {max(float(np.log(100 / self.percent)), 1e-3) * (1 + 1e-9)!r}D) as int)"
 
     def near_enough(self, pairs: DataFrame) -> DataFrame:
         """Pairs (a, b, ...) whose sizes and signatures allow the similarity."""
@@ -208,8 +218,7 @@ class Join:
 
     def first_links(self, columns: DataFrame) -> DataFrame:
         """Links of rows to one hub each: of the first rows of their columns, the one that shares most of these."""
-        band = F.floor(F.log(F.col("n")) / np.log(100 / self.percent)).cast("int")
-        banded = columns.withColumn("band", band)
+        banded = columns.withColumn("band", F.expr(self.band("n")))
         hubs = banded.groupBy("col", "band").agg(F.min("node").alias("hub"), F.min_by("mark", "node").alias("hub_mark"), F.min_by("n", "node").alias("hub_n"))
         pairs = banded.join(hubs, ["col", "band"]).where((F.col("hub") != F.col("node")) & (F.col("hub_mark") != F.col("mark")) & self.fits("n", "hub_n"))
         shared = pairs.groupBy("node", "hub").agg(F.count(F.lit(1)).alias("shared"), F.min("n").alias("n"), F.min("hub_n").alias("hub_n"))
