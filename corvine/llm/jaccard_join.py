@@ -238,8 +238,15 @@ class Join:
         differ = F.bit_count(F.col("a_f0").bitwiseXOR(F.col("b_f0"))) + F.bit_count(F.col("a_f1").bitwiseXOR(F.col("b_f1")))
         near = self.fits("a_n", "b_n") & (differ * (100 + self.percent) <= (F.col("a_n") + F.col("b_n")) * (100 - self.percent))
         pairs = left.join(right, "col").where("a_component <> b_component and (main or a_node < b_node)").where(near)
-        counted = pairs.groupBy(F.col("a_node").alias("a"), F.col("b_node").alias("b")).agg(F.count(F.lit(1)).alias("shared"), F.min("a_n").alias("a_n"), F.min("b_n").alias("b_n"))
-        return self.near_enough(counted.where(F.col("shared") > F.least(self.more("a_n"), self.more("b_n"))).select("a", "b", "shared"))
+        # The largest group varies from column to column, and with it the side of a row: a pair is counted over both orders.
+        turned = F.col("a_node") > F.col("b_node")
+        counted = pairs.groupBy(F.least("a_node", "b_node").alias("x"), F.greatest("a_node", "b_node").alias("y")).agg(
+            F.count(F.lit(1)).alias("shared"), F.count_if(turned).alias("turned"), F.min(F.least("a_n", "b_n")).alias("n")
+        )
+        # The order met more often stays, so that a row outside a large group has one likeliest pair with it.
+        kept = F.col("turned") * 2 > F.col("shared")
+        sides = [F.when(kept, F.col(p)).otherwise(F.col(q)).alias(side) for side, p, q in (("a", "y", "x"), ("b", "x", "y"))]
+        return self.near_enough(counted.where(F.col("shared") > self.more("n")).select(*sides, "shared"))
 
     @staticmethod
     def apart(pairs: DataFrame, groups: DataFrame) -> DataFrame:

@@ -132,6 +132,27 @@ def test_jaccard_chain(spark):
     assert {r.component_id for r in jaccard_groups(chain, 3, 90).collect()} == {0}
 
 
+def test_jaccard_long_groups(spark):
+    """Two groups of near copies above 1500 shingles, one a shortened version of the other; the largest group varies by column."""
+    words = [f"u{k}" for k in range(2802)]
+    texts = {}
+    for group, (n, own) in enumerate(((2536, 100), (2802, 600))):
+        for k in range(4):
+            w = words[:n]
+            # The last copy differs in 15 words, the others in one each.
+            for at in range(own, own + 300, 20) if k == 3 else [1200 + 500 * group + 40 * k]:
+                w[at] = f"{group}-{k}-{at}"
+            texts[10 * group + k] = w
+    sets = {d: {tuple(w[k : k + 3]) for k in range(len(w) - 2)} for d, w in texts.items()}
+    least = {d: d for d in sets}
+    for _ in sets:
+        for a, b in ((a, b) for a in sets for b in sets if 100 * len(sets[a] & sets[b]) >= 90 * len(sets[a] | sets[b])):
+            least[a] = least[b] = min(least[a], least[b])
+    assert set(least.values()) == {0}
+    rows = spark.createDataFrame([(d, " ".join(w)) for d, w in texts.items()], "doc_id long, text string")
+    assert {r.doc_id: r.component_id for r in jaccard_groups(rows, 3, 90).collect()} == least
+
+
 def test_line_dedup(spark, docs, odd):
     seen, cut, near, gone = set(), set(), set(), collections.Counter()
     for r in docs.orderBy("doc_id").collect():
