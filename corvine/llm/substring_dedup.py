@@ -15,9 +15,11 @@ from __future__ import annotations
 import hashlib
 import uuid
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pandas as pd
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -168,42 +170,64 @@ def _keyed(docs: DataFrame) -> DataFrame:
     return guarded(docs, "text", F.xxhash64("doc_id", "text").alias("key"))
 
 
+def _dealt(docs: DataFrame, width: int, buckets: int) -> DataFrame:
+    return _keyed(docs).select("key", "text").mapInPandas(lambda it: _runs(it, width, buckets), RUN)
+
+
+def _counts(index: DataFrame) -> list[int]:
+    """The bucket counts that the index was written with: one, unless its runs are older than this rule."""
+    return sorted(r.buckets for r in index.select("buckets").distinct().collect())
+
+
 def repeated_windows(docs: DataFrame, width: int = 35, index: DataFrame | None = None) -> DataFrame:
     """(key, places) of all windows of docs(doc_id, text) that also start elsewhere, or that `index` holds.
 
     key is xxhash64(doc_id, text) and has one row; places are the window's starts, by byte planes of "<u4".
-    index: rows of update_index().
+    index: rows of update_index(). A print does not tell its bucket, so the windows are dealt by each bucket
+    count that the index has; update_index() keeps to one.
     """
     small_batches(docs.sparkSession)
-    buckets = partitions(docs.sparkSession)
-    runs = _keyed(docs).select("key", "text").mapInPandas(lambda it: _runs(it, width, buckets), RUN)
-    if index is not None:
-        runs = runs.unionByName(index.where(F.col("buckets") == buckets).select("bucket", "prints"), allowMissingColumns=True)
-    marks = runs.groupBy("bucket").applyInPandas(lambda f: _probe(f, buckets), "home int, keys binary, counts binary, places binary")
+    homes = partitions(docs.sparkSession)
+    if index is None:
+        dealt = _dealt(docs, width, homes).groupBy("bucket")
+    else:
+        each = [_dealt(docs, width, n).withColumn("buckets", F.lit(n)) for n in _counts(index) or [homes]]
+        runs = reduce(DataFrame.unionByName, each).unionByName(index.select("bucket", "prints", "buckets"), allowMissingColumns=True)
+        dealt = runs.groupBy("buckets", "bucket")
+    marks = dealt.applyInPandas(lambda f: _probe(f, homes), "home int, keys binary, counts binary, places binary")
     return marks.groupBy("home").applyInPandas(_gathered, "key long, places binary")
 
 
 def update_index(docs: DataFrame, path: str, width: int = 35, keep_runs: int = 8) -> None:
-    """Appends the batch's runs to the index at path; with more than keep_runs batches, all are compacted into one."""
+    """Appends the batch's runs to the index at path; with more than keep_runs batches, all are compacted into one.
+
+    The first batch settles the number of buckets (the session's shuffle partitions); later ones keep to it.
+    """
     spark = docs.sparkSession
     small_batches(spark)
-    buckets = partitions(spark)
-    runs = _keyed(docs).select("key", "text").mapInPandas(lambda it: _runs(it, width, buckets), RUN).where("prints is not null")
+    try:
+        held = _counts(read_index(spark, path))
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":
+            raise
+        held = []
+    buckets = held[-1] if held else partitions(spark)
+    runs = _dealt(docs, width, buckets).where("prints is not null").withColumn("buckets", F.lit(buckets))
 
     def merged(frame: pd.DataFrame) -> pd.DataFrame:
         index = RunIndex()
         for prints in frame["prints"]:
             index.add(np.frombuffer(prints, np.uint64))
         index.compact(len(index.runs))
-        return pd.DataFrame({"bucket": [int(frame["bucket"].iloc[0])], "prints": [index.runs[0].tobytes()]})
+        return pd.DataFrame({"bucket": [int(frame["bucket"].iloc[0])], "prints": [index.runs[0].tobytes()], "buckets": [int(frame["buckets"].iloc[0])]})
 
     def put(df: DataFrame, mode: str) -> None:
-        stamped = df.groupBy("bucket").applyInPandas(merged, "bucket int, prints binary").withColumns({"buckets": F.lit(buckets), "batch": F.lit(uuid.uuid4().hex)})
+        stamped = df.groupBy("buckets", "bucket").applyInPandas(merged, "bucket int, prints binary, buckets int").withColumn("batch", F.lit(uuid.uuid4().hex))
         stamped.write.mode(mode).parquet(path)
 
-    put(runs.select("bucket", "prints"), "append")
+    put(runs.select("bucket", "prints", "buckets"), "append")
     if read_index(spark, path).select("batch").distinct().count() > keep_runs:
-        put(written(read_index(spark, path).where(F.col("buckets") == buckets).select("bucket", "prints"), "compact"), "overwrite")
+        put(written(read_index(spark, path).select("bucket", "prints", "buckets"), "compact"), "overwrite")
 
 
 def read_index(spark: SparkSession, path: str) -> DataFrame:

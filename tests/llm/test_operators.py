@@ -96,6 +96,27 @@ def test_substring_edges(spark, odd, tmp_path):
     assert substring_dedup(odd.where("doc_id = 2"), index=read_index(spark, path)).first().n_removed == 40
 
 
+def test_substring_index_partitions(spark, tmp_path):
+    """An index goes on under other numbers of shuffle partitions, and one with runs of several bucket counts is read whole."""
+    path, each, old = (str(tmp_path / x) for x in ("ix", "each", "old"))
+    text = lambda k: " ".join(f"p{k}_{j}" for j in range(60))
+    batch = lambda *ks: spark.createDataFrame([(k, text(k)) for k in ks], "doc_id long, text string")
+    removed = lambda ix, n: {r.doc_id: r.n_removed for r in substring_dedup(batch(*range(n + 1)), index=read_index(spark, ix)).collect()}
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    try:
+        for k, n in enumerate((8, 3, 5, 4)):
+            spark.conf.set("spark.sql.shuffle.partitions", n)
+            update_index(batch(k), path, keep_runs=2)
+            assert removed(path, k + 1) == {j: 60 * (j <= k) for j in range(k + 2)}
+            update_index(batch(k), f"{each}/n={k}")
+        read_index(spark, each).drop("n").write.parquet(old)
+        assert removed(old, 4) == {j: 60 * (j < 4) for j in range(5)}
+        update_index(batch(4), old, keep_runs=1)
+        assert removed(old, 5) == {j: 60 * (j < 5) for j in range(6)}
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+
+
 def test_mixing_edges(spark, odd):
     rows = mix_plan(odd).collect()
     assert len(rows) == 9 and all(0 <= r.taken <= 2 * r["size"] for r in rows)
