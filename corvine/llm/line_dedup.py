@@ -26,12 +26,14 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import BASES, INVERSES, bounded, groups, guarded, hashed_words, mix, partitions, planes, powers, restored, small_batches, unplanes, words_of
+from .common import BASES, INVERSES, bounded, groups, guarded, hashed_words, mix, partitions, planes, powers, restored, small_batches, unplanes, words_of, written
 
 SENT = "bucket int, docs binary, keys binary, counts binary, lines binary, places binary, prints binary"
 #: Places of an entry that is a whole line: one that only equals others, and one that may be near others.
 FULL, FULL_LONG = 0xFFFFFFFE, 0xFFFFFFFF
 LAST = np.iinfo(np.int64).max
+#: Up to so many orders that several rows have (8 MB) are broadcast.
+BROADCAST_ORDERS = 1_000_000
 
 
 def variants(hashes: np.ndarray, lens: np.ndarray, which: int) -> tuple[np.ndarray, np.ndarray]:
@@ -85,7 +87,7 @@ def _send(batches: Iterator[pd.DataFrame], min_words: int, buckets: int) -> Iter
 
         def lines_of(lines: np.ndarray) -> tuple[bytes, bytes, bytes]:
             of = doc[lines]
-            return planes(np.diff(orders[of], prepend=0), "<i8"), planes(keys[of], "<u2"), planes(number[lines], "<u4")
+            return planes(np.diff(orders[of], prepend=0), "<i8"), planes(keys[of], "<i8"), planes(number[lines], "<u4")
 
         rows = []
         again = np.flatnonzero(~once)
@@ -113,7 +115,7 @@ def _settle(frame: pd.DataFrame) -> pd.DataFrame:
 
     def documents(rows: list) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         order = np.concatenate([np.cumsum(unplanes(r.docs, "<i8")) for r in rows])
-        return order, joined(rows, "keys", "<u2").astype(np.int64), joined(rows, "lines", "<u4").astype(np.int64)
+        return order, joined(rows, "keys", "<i8"), joined(rows, "lines", "<u4").astype(np.int64)
 
     found = []
     if marks := [r for r in frame.itertuples() if r.prints is None]:
@@ -156,17 +158,23 @@ def _settle(frame: pd.DataFrame) -> pd.DataFrame:
 
 
 def _keyed(docs: DataFrame) -> DataFrame:
-    return guarded(docs, "text", F.xxhash64("doc_id", "text").bitwiseAND(0xFFFF).alias("key"), F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST)).alias("order"))
+    """guarded(docs) with order, doc_id (null: the greatest long), and key, which tells documents of one order apart.
 
-
-def removed_lines(docs: DataFrame, min_words: int = 8) -> DataFrame:
-    """(order, key, lists): for each document that loses lines, lists of their numbers from 0.
-
-    order is doc_id (null: the greatest long), key the last 16 bits of xxhash64(doc_id, text).
+    key is xxhash64(doc_id, text) where several rows have the order. Elsewhere it is 0, which vanishes in the
+    shuffle. With too many orders of several rows for a broadcast, every row has its hash.
     """
-    small_batches(docs.sparkSession)
-    buckets = 4 * partitions(docs.sparkSession)
-    sent = _keyed(docs).select("key", "order", "text").mapInPandas(lambda it: _send(it, min_words, buckets), SENT)
+    rows = guarded(docs, "text", F.xxhash64("doc_id", "text").alias("hash"), F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST)).alias("order"))
+    several = written(rows.groupBy("order").agg(F.count(F.lit(1)).alias("c")).where("c > 1").select("order", F.lit(True).alias("several")), "several")
+    if several.count() > BROADCAST_ORDERS:
+        return rows.withColumnRenamed("hash", "key")
+    return rows.join(F.broadcast(several), "order", "left").withColumn("key", F.when(F.col("several"), F.col("hash")).otherwise(F.lit(0).cast("long"))).drop("hash", "several")
+
+
+def removed_lines(keyed: DataFrame, min_words: int = 8) -> DataFrame:
+    """(order, key, lists): for each document of _keyed() that loses lines, lists of their numbers from 0."""
+    small_batches(keyed.sparkSession)
+    buckets = 4 * partitions(keyed.sparkSession)
+    sent = keyed.select("key", "order", "text").mapInPandas(lambda it: _send(it, min_words, buckets), SENT)
     settled = sent.groupBy("bucket").applyInPandas(_settle, "order long, key long, lines binary")
     return settled.groupBy("order", "key").agg(F.collect_list("lines").alias("lists"))
 
@@ -193,7 +201,8 @@ def line_dedup(docs: DataFrame, min_words: int = 8) -> DataFrame:
     Rows that repeat (equal id and text) count as one document and lose the same lines. Further columns are
     ignored; an empty table gives an empty result.
     """
-    joined = _keyed(docs).join(removed_lines(docs, min_words).hint("shuffle_hash"), ["order", "key"], "left").select("doc_id", "no_id", "text", "lists")
+    keyed = _keyed(docs)
+    joined = keyed.join(removed_lines(keyed, min_words).hint("shuffle_hash"), ["order", "key"], "left").select("doc_id", "no_id", "text", "lists")
     return restored(joined.mapInPandas(_strip, "doc_id long, no_id boolean, text string"))
 
 
@@ -209,6 +218,7 @@ def _tally(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 def line_dedup_report(docs: DataFrame, min_words: int = 8) -> DataFrame:
     """doc_id, n_lines (with a word), n_removed and removed_sha256 (of the comma-joined numbers of the removed lines)."""
     lines = F.expr(r"size(filter(split(coalesce(text, ''), '\n'), x -> x rlike '[^\\x20\\x09-\\x0D]'))").cast("long")
-    counted = _keyed(docs).select("doc_id", "no_id", "order", "key", lines.alias("n_lines"))
-    joined = counted.join(removed_lines(docs, min_words).hint("shuffle_hash"), ["order", "key"], "left").select("doc_id", "no_id", "n_lines", "lists")
+    keyed = _keyed(docs)
+    counted = keyed.select("doc_id", "no_id", "order", "key", lines.alias("n_lines"))
+    joined = counted.join(removed_lines(keyed, min_words).hint("shuffle_hash"), ["order", "key"], "left").select("doc_id", "no_id", "n_lines", "lists")
     return restored(joined.mapInPandas(_tally, "doc_id long, no_id boolean, n_lines long, n_removed long, removed_sha256 string"))

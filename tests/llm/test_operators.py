@@ -190,6 +190,17 @@ def test_line_dedup(spark, docs, odd):
     assert line_dedup(odd).count() == 9 and line_dedup_report(odd).where("doc_id = 2 and n_removed = 1").count() == 1
 
 
+@pytest.mark.parametrize("most", [None, 0])
+def test_line_dedup_shared_ids(spark, monkeypatch, most):
+    """Of many documents without an id, and many of one id, each loses its own repeated line and no other."""
+    if most is not None:
+        monkeypatch.setattr("corvine.llm.line_dedup.BROADCAST_ORDERS", most)
+    own = {k: [f"own {k} {j}" for j in range(k % 7 + 1)] for k in range(4000)}
+    rows = [(7 if k % 2 else None, "\n".join([*x[: k % 5], "common line", *x[k % 5 :]])) for k, x in own.items()]
+    got = line_dedup(spark.createDataFrame([*rows, (1, "first\ncommon line")], "doc_id long, text string")).collect()
+    assert sorted(x for r in got for x in r.text.split("\n")) == sorted(["first", "common line", *(x for lines in own.values() for x in lines)])
+
+
 def test_sharding(docs, odd):
     def jump(key, n):
         b, j, key = -1, 0, key & (2**64 - 1)
