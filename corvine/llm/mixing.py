@@ -3,9 +3,9 @@
 A source's target T in words is fitted with whole documents: every document is taken floor(T / size of the
 source) times, and the rest R of the budget takes a subset of the documents once more. For the subset,
 documents are counted by exact length. Of every length, the share R / size is taken; what remains of the
-budget is filled greedily from the longest length that fits and, at the end, by a bounded knapsack: a
-dynamic programme over the lengths that are left (with their counts) reaches the largest sum within the
-remaining budget. Which documents of a length are taken is a seeded draw.
+budget is filled greedily, long lengths first, down to what a bounded knapsack takes: a dynamic programme
+over all lengths that are left (with their counts) reaches the largest sum within that last remainder; the
+greedy part before it is not searched for a better one. Which documents of a length are taken is a seeded draw.
 
 Only (source, length, count) rows go to the programme. Documents of one length are ranked within salted
 cells, whose counts give each cell its offset: no task sorts a whole source or a whole length.
@@ -23,9 +23,8 @@ from .common import partitions, written
 WEIGHTS = (5, 2, 1)
 SHARE = 1.5
 MOST = 2
-#: Words of budget and number of lengths that the last step's dynamic programme takes on.
+#: Words of budget that the last step's dynamic programme takes on.
 KNAPSACK_WORDS = 1 << 16
-KNAPSACK_LENGTHS = 64
 
 
 def targets(sizes: DataFrame, weights: tuple[float, ...] = WEIGHTS, share: float = SHARE, most: float = MOST) -> DataFrame:
@@ -63,10 +62,15 @@ def knapsack(lengths: list[int], counts: list[int], budget: int) -> list[int]:
         left, step = min(count, budget // length), 1
         while left > 0:
             take = min(step, left)
-            reach |= (reach << (length * take)) & mask
-            stages.append((reach, k, take))
+            more = reach | (reach << (length * take)) & mask
+            # Only steps that reach a new sum are kept; their number stays small, however many lengths there are.
+            if more != reach:
+                reach = more
+                stages.append((reach, k, take))
             left -= take
             step *= 2
+        if reach >> budget:
+            break
     out, at = [0] * len(lengths), reach.bit_length() - 1
     for k in range(len(stages) - 1, 0, -1):
         before = stages[k - 1][0]
@@ -94,15 +98,13 @@ def fit(lengths: np.ndarray, counts: np.ndarray, budget: float) -> np.ndarray:
             taken[k] += more
             left -= more * int(lengths[k])
     free = np.flatnonzero((counts > taken) & (lengths <= left))
+    # With more left than the programme takes, each free length is above three quarters of it: the longest that fits is the best sum.
     if left > KNAPSACK_WORDS or not len(free):
         for k in free[::-1]:
             more = min(int(counts[k] - taken[k]), left // int(lengths[k]))
             taken[k] += more
             left -= more * int(lengths[k])
         return nearer(lengths, counts, taken, budget)
-    # Of many lengths, some spread over all and the shortest.
-    if len(free) > KNAPSACK_LENGTHS:
-        free = np.unique(np.r_[free[: KNAPSACK_LENGTHS // 2], free[np.linspace(0, len(free) - 1, KNAPSACK_LENGTHS // 2).astype(int)]])
     more = knapsack(lengths[free].tolist(), (counts - taken)[free].tolist(), left)
     taken[free] += np.array(more)
     return nearer(lengths, counts, taken, budget)

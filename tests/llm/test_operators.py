@@ -140,6 +140,17 @@ def test_knapsack():
         assert sum(x * y for x, y in zip(got, [3, 5, 7])) == best and all(x <= y for x, y in zip(got, [2, 1, 4]))
 
 
+def test_fit_many_lengths():
+    import numpy as np
+
+    lengths = np.array(sorted([*range(1000, 1402, 2), 1203]))
+    assert (fit(lengths, np.ones_like(lengths), 2203.0) * lengths).sum() == 2203
+    even = np.arange(2, 40_000, 2)
+    assert (fit(even, np.ones_like(even), 30_001.0) * even).sum() == 30_000
+    long = np.array([80_000, 90_000])
+    assert (fit(long, np.ones_like(long), 95_000.0) * long).sum() == 90_000
+
+
 def test_jaccard_edges(odd):
     got = {(r.doc_id, r.n_shingles, r.component_id) for r in jaccard_groups(odd, 3, 90).collect()}
     assert got == {(1, 38, 1), (2, 38, 1), (BIG, 29_998, BIG), (None, 38, None), (None, 0, None), (3, 0, 3), (4, 0, 4), (5, 1, 5)}
