@@ -192,6 +192,12 @@ def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
+def free_name(*frames: DataFrame) -> str:
+    """A column name that none of the frames has (Spark does not tell cases apart)."""
+    taken = {c.lower() for df in frames for c in df.columns}
+    return next(name for k in range(len(taken) + 1) if (name := f"_own_{k}") not in taken)
+
+
 def guarded(docs: DataFrame, *columns: str) -> DataFrame:
     """doc_id and the columns, with null ids as 0 and marked in no_id: pandas would turn a column with nulls into floats."""
     return docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(0)).alias("doc_id"), F.col("doc_id").isNull().alias("no_id"), *columns)

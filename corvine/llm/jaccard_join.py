@@ -1,24 +1,32 @@
 """Exact n-gram Jaccard join as a blocked sparse product, and the groups of near-duplicates it links.
 
-Documents are rows and distinct word n-grams columns of a 0/1 matrix A; overlap counts are the entries of
-A * A^T. Columns are ordered by a frequency sketch of fixed size, rare ones first. For a row of n entries,
-only the first n - ceil(s * n) + 1 columns can start an overlap that reaches similarity s, so the product
-is taken over these columns alone, column block by column block (a shuffle by column). Rows whose sizes
-rule out the similarity are never paired, and pairs whose 512-bit parity signatures show too large a
-symmetric difference are dropped before their rows are fetched. The overlap of the pairs left is counted
-exactly.
-
-Groups need connectivity, not every pair. The first pass pairs each row only with the first row (hub) of
-its columns; rows that it links are merged. The second pass pairs, within each column, only rows of
-different merged groups, and never two rows of the column's largest group: a group of thousands of copies
-is settled by its hub, while no link between different groups is lost. Of these pairs, the likeliest of each
-row are counted first; then all whose rows are still in different groups.
+Distinct sets of word n-grams are rows, n-grams are columns of a 0/1 matrix A; overlap counts are the entries
+of A * A^T. Columns are ordered by a frequency sketch of fixed size, rare ones first, and dealt to blocks.
+
+* A row of n entries takes part in the product with its first n - ceil(s * n) + 1 columns: a pair whose rows
+  share none of these cannot reach similarity s.
+* A shared column at places i and j of rows of n and m entries leaves an overlap of min(n - i, m - j) at most
+  if it is their first one. Below what s asks of n and m the pair is not formed there; its first shared
+  column decides.
+* The counts of a pair are added up over all blocks; the count up to its last shared column of the product and
+  what is left of both rows behind it bound the overlap again. Then parity signatures do, and the
+  pairs that are left are the mask of the second product, of whole rows, which gives their exact overlap.
+
+Groups need connectivity, not every pair. The first pass pairs each row only with one row (hub) of each of its
+columns: of the rows of like size, the one with the fewest rarer columns, which is the middle of a group of
+copies. The second pass pairs, within each column, only rows of different merged groups, and never two rows of
+the column's largest group: a group of thousands of copies is settled by its hub, while no link between
+different groups is lost. Of these pairs, the likeliest of each row are counted first; then all whose rows
+are still in different groups.
+
+Equal sets are one row of the matrix. A column that the sketch shows in very many rows is dealt to several
+blocks by row, so that no block holds an unbounded column.
 """
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator
-from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -26,15 +34,15 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import BASES, bounded, guarded, hashed_words, lower_words_of, mix, small_batches, trim, window_hashes, window_starts, written
+from .common import BASES, bounded, free_name, groups, guarded, hashed_words, lower_words_of, mix, partitions, planes, small_batches, trim, unplanes, window_hashes, window_starts, written
 
-SKETCH = 1 << 20
+SKETCH = 1 << 22
 SLICES = 64
-SIGNS = [f"s{k}" for k in range(8)]
-#: Above so many n-grams a signature says little; there, n / 40 columns more are taken, and so many more must be shared.
-LONG = 1500
-#: Up to so many pairs of row ids (16 MB) are broadcast to the scan of the rows; beyond, that join shuffles.
-BROADCAST_IDS = 1_000_000
+#: Entries of the product in a block, and of one column in a piece of it.
+BLOCK, PIECE = 300_000, 500_000
+#: Up to so many pairs of row ids (5 MB) are broadcast to the scan of the rows; beyond, that join shuffles.
+BROADCAST_IDS = 300_000
+ENTRY = "block int, cols binary, nodes binary, sizes binary, places binary"
 
 
 def shingle_sets(texts: list[str | None], width: int) -> list[np.ndarray]:
@@ -60,7 +68,12 @@ def shingle_sets(texts: list[str | None], width: int) -> list[np.ndarray]:
 
 def _bytes(shingles: np.ndarray) -> bytes:
     """The upper 48 bits of each hash; within a pair of sets these still tell shingles apart."""
-    return np.ascontiguousarray((shingles >> np.uint64(16)).view(np.uint8).reshape(-1, 8)[:, :6]).tobytes()
+    return _low(shingles >> np.uint64(16))
+
+
+def _low(values: np.ndarray) -> bytes:
+    """The six bytes of each value below 2**48; _hashes() reads them."""
+    return np.ascontiguousarray(values).view(np.uint8).reshape(-1, 8)[:, :6].tobytes()
 
 
 def _hashes(data: bytes) -> np.ndarray:
@@ -69,72 +82,145 @@ def _hashes(data: bytes) -> np.ndarray:
     return out.reshape(-1).view(np.uint64)
 
 
-def _signature(shingles: np.ndarray) -> np.ndarray:
-    """512 parity bits; two sets differ in at least as many shingles as their signatures differ in bits."""
-    bits = np.bincount((shingles >> np.uint64(55)).astype(np.int64), minlength=512).astype(np.uint8) & 1
-    return np.packbits(bits).view(np.int64)
+def _signature(shingles: np.ndarray) -> bytes:
+    """Parity bits, a power of two from n on; two sets differ in at least as many shingles as their signatures differ in bits."""
+    size = max(512, 1 << int(len(shingles) - 1).bit_length())
+    bits = np.bincount((shingles & np.uint64(size - 1)).astype(np.int64), minlength=size).astype(np.uint8) & 1
+    return np.packbits(bits).tobytes()
+
+
+def _differ(x: bytes, y: bytes) -> int:
+    """In how many bits two signatures differ; the longer one is folded to the length of the other."""
+    if len(x) < len(y):
+        x, y = y, x
+    if len(x) > len(y):
+        x = np.bitwise_xor.reduce(np.frombuffer(x, np.uint8).reshape(-1, len(y)), axis=0).tobytes()
+    return (int.from_bytes(x) ^ int.from_bytes(y)).bit_count()
 
 
 def _rows(batches: Iterator[pd.DataFrame], width: int) -> Iterator[pd.DataFrame]:
-    for frame in bounded(batches, "text"):
+    for frame in bounded(batches, "text", 1_000_000):
         sets = shingle_sets(list(frame["text"]), width)
         rows, seen = [], set()
-        for node, none, s in zip(frame["doc_id"].tolist(), frame["no_id"].tolist(), sets, strict=True):
+        for none, s in zip(frame["no_id"].tolist(), sets, strict=True):
             data = s.tobytes()
             digest = xxhash.xxh3_128_digest(data) if len(s) else None
             # Of equal sets in a batch only one carries its shingles; the digest links the others.
             carries = len(s) > 0 and digest not in seen and not none
             if carries:
                 seen.add(digest)
-            rows.append((node, len(s), digest, _bytes(s) if carries else None, *(_signature(s).tolist() if carries else [0] * 8)))
-        out = pd.DataFrame(rows, columns=["node", "n_shingles", "digest", "shingles", *SIGNS])
-        yield out.assign(no_id=frame["no_id"])
+            rows.append((len(s), digest, carries, _bytes(s) if carries else None, _signature(s) if carries else None))
+        out = pd.DataFrame(rows, columns=["n_shingles", "digest", "carries", "shingles", "sign"])
+        yield out.assign(doc_id=frame["doc_id"], no_id=frame["no_id"])
 
 
 def _sketch(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     """Counts of hashed shingles by slice: a fixed number of counters whatever the input."""
-    counts = np.zeros(SKETCH, np.int32)
+    counts = np.zeros(SKETCH, np.uint32)
+    some = False
     for frame in batches:
         for data in frame["shingles"]:
             counts[_hashes(data) & np.uint64(SKETCH - 1)] += 1
-    step = SKETCH // SLICES
-    for k in range(SLICES):
-        part = counts[k * step : (k + 1) * step]
-        at = np.flatnonzero(part)
-        if len(at):
-            dense = 3 * len(at) > step
-            yield pd.DataFrame({"slice": [k], "places": [None if dense else at.astype("<i4").tobytes()], "counts": [(part if dense else part[at]).tobytes()]})
+            some = True
+    for k, part in enumerate(counts.reshape(SLICES, -1) if some else ()):
+        # Most counts of a task are small: three of the four planes are zeros, and the first has few values.
+        yield pd.DataFrame({"slice": [k], "counts": [zlib.compress(planes(part, "<u4"), 1)]})
+    del counts
+    trim()
 
 
 def _add_slices(frame: pd.DataFrame) -> pd.DataFrame:
     total = np.zeros(SKETCH // SLICES, np.int64)
-    for places, counts in zip(frame["places"], frame["counts"], strict=True):
-        part = np.frombuffer(counts, np.int32)
-        if places is None:
-            total += part
-        else:
-            total[np.frombuffer(places, "<i4")] += part
+    for counts in frame["counts"]:
+        total += unplanes(zlib.decompress(counts), "<u4")
     # A logarithmic scale keeps the order and fits a byte for each counter.
     return pd.DataFrame({"slice": frame["slice"].iloc[:1], "levels": [np.minimum(np.log2(total + 1) * 6, 255).astype(np.uint8).tobytes()]})
 
 
-def _entries(batches: Iterator[pd.DataFrame], levels, percent: int) -> Iterator[pd.DataFrame]:
-    level = np.frombuffer(levels.value, np.uint8)
+class Levels:
+    """What the sketch says of columns: their order, and over how many pieces a frequent one is dealt."""
+
+    def __init__(self, data: bytes, entries: int, piece: int) -> None:
+        self.level = np.frombuffer(data, np.uint8)
+        # The mean count of a cell is noise of all the columns that share it.
+        above = np.exp2(np.arange(256) / 6.0) - 2.0 * entries / SKETCH
+        self.pieces = np.maximum(np.ceil(above / piece), 1).astype(np.int64)
+
+    def rarity(self, columns: np.ndarray) -> np.ndarray:
+        return self.level[columns & np.uint64(SKETCH - 1)]
+
+    def spread(self, columns: np.ndarray) -> np.ndarray:
+        return self.pieces[self.rarity(columns)]
+
+
+def prefix(n: int, percent: int) -> int:
+    """How many columns of a row of n take part in the product."""
+    return n - (percent * n + 99) // 100 + 1
+
+
+def _dealt(parts: list[tuple], levels: Levels, blocks: int) -> pd.DataFrame:
+    col, node, n, place = (np.concatenate([p[k] for p in parts]) for k in range(4))
+    piece = (mix(node.view(np.uint64)) >> np.uint64(8)).astype(np.int64) % levels.spread(col)
+    block = ((col >> np.uint64(20)).astype(np.int64) + piece * 7919) % blocks
+    order = np.argsort(block, kind="stable")
+    rows = []
+    for a, b in groups(block[order]):
+        at = order[a:b]
+        rows.append((int(block[at[0]]), _low(col[at]), planes(np.diff(node[at], prepend=0), "<i8"), planes(n[at], "<u4"), planes(place[at], "<u4")))
+    return pd.DataFrame(rows, columns=[c.split()[0] for c in ENTRY.split(", ")])
+
+
+def _entries(batches: Iterator[pd.DataFrame], levels: Levels, percent: int, blocks: int) -> Iterator[pd.DataFrame]:
+    parts, held = [], 0
     for frame in batches:
-        nodes, sizes, marks, columns = [], [], [], []
-        for node, digest, data in zip(frame["node"], frame["digest"], frame["shingles"], strict=True):
+        for node, data in zip(frame["row"], frame["shingles"], strict=True):
             s = _hashes(data)
-            keep = len(s) - (percent * len(s) + 99) // 100 + 1 + (len(s) // 40 if len(s) > LONG else 0)
-            rare = level[s & np.uint64(SKETCH - 1)]
-            if keep < len(s):
-                # The order is (level, hash); s is sorted by hash already.
-                s = s[np.argsort(rare, kind="stable")[:keep]]
-            columns.append(s)
-            nodes.append(np.full(len(s), node))
-            sizes.append(np.full(len(s), len(data) // 6, np.int32))
-            marks.append(np.full(len(s), int.from_bytes(digest[:8], "little", signed=True)))
-        if nodes:
-            yield pd.DataFrame({"col": np.concatenate(columns).view(np.int64), "node": np.concatenate(nodes), "n": np.concatenate(sizes), "mark": np.concatenate(marks)})
+            n, keep = len(s), prefix(len(s), percent)
+            # The order is (level, hash); s is sorted by hash already.
+            s = s[np.argsort(levels.rarity(s), kind="stable")[:keep]]
+            parts.append((s, np.full(keep, node), np.full(keep, n), np.arange(keep)))
+            held += keep
+            if held >= BLOCK:
+                yield _dealt(parts, levels, blocks)
+                parts, held = [], 0
+    if parts:
+        yield _dealt(parts, levels, blocks)
+    parts.clear()
+    trim()
+
+
+def _block(frame: pd.DataFrame, levels: Levels, percent: int) -> pd.DataFrame:
+    """One block of columns: its entries that can meet another row, and the hub of each (itself: none)."""
+    col = np.concatenate([_hashes(x) for x in frame["cols"]])
+    node = np.concatenate([np.cumsum(unplanes(x, "<i8")) for x in frame["nodes"]])
+    n = np.concatenate([unplanes(x, "<u4") for x in frame["sizes"]]).astype(np.int64)
+    place = np.concatenate([unplanes(x, "<u4") for x in frame["places"]]).astype(np.int64)
+    order = np.lexsort((node, n, col))
+    col, node, n, place = col[order], node[order], n[order], place[order]
+    # In the order of sizes, a row that fits any row of the column fits its neighbour.
+    meets = (col[1:] == col[:-1]) & (n[:-1] * 100 >= n[1:] * percent)
+    keep = np.r_[meets, False] | np.r_[False, meets] | (levels.spread(col) > 1)
+    col, node, n, place = col[keep], node[keep], n[keep], place[keep]
+    # Rows of sizes in one band fit each other.
+    band = np.floor(np.log(n) / max(np.log(100 / percent), 1e-3))
+    part = np.cumsum(np.r_[True, (col[1:] != col[:-1]) | (band[1:] != band[:-1])][: len(col)]) - 1
+    hub = node.copy()
+    if len(col):
+        by = np.lexsort((node, place, part))
+        first = by[np.flatnonzero(np.r_[True, part[by][1:] != part[by][:-1]])][part]
+        small, large = np.minimum(n, n[first]), np.maximum(n, n[first])
+        most = np.minimum(n - place, n[first] - place[first])
+        hub = np.where((small * 100 >= large * percent) & (most * 100 >= percent * (n + n[first] - most)), node[first], node)
+    return pd.DataFrame({"col": col.view(np.int64), "node": node, "n": n, "place": place, "hub": hub})
+
+
+def _likely(batches: Iterator[pd.DataFrame], percent: int) -> Iterator[pd.DataFrame]:
+    """The pairs whose sizes and signatures allow the similarity."""
+    for frame in batches:
+        differ = np.array([_differ(a, b) for a, b in zip(frame.pop("a_sign"), frame.pop("b_sign"), strict=True)], np.int64)
+        # Similarity p % allows a symmetric difference of (100 - p) / (100 + p) of both sizes.
+        allowed = (frame.pop("a_n_shingles") + frame.pop("b_n_shingles")).to_numpy()
+        yield frame[differ * (100 + percent) <= allowed * (100 - percent)]
     trim()
 
 
@@ -150,128 +236,135 @@ def _overlaps(batches: Iterator[pd.DataFrame], percent: int) -> Iterator[pd.Data
 
 
 class Join:
-    """The steps of the join over one table; rows are written once and read by each step."""
+    """The steps of the join over one table; rows are written once and read by each step.
+
+    A node is a distinct set: the number of the first row that has it. members: (row, doc_id, n_shingles, node)
+    of every input row; its node is null without words or without an id.
+    """
 
-    def __init__(self, docs: DataFrame, width: int, percent: int) -> None:
-        self.spark, self.percent = docs.sparkSession, percent
+    def __init__(self, docs: DataFrame, width: int, percent: int, piece: int = PIECE) -> None:
+        self.spark, self.percent, self.piece = docs.sparkSession, percent, piece
         small_batches(self.spark)
-        signs = ", ".join(f"{s} long" for s in SIGNS)
-        made = guarded(docs, "text").mapInPandas(lambda it: _rows(it, width), f"node long, no_id boolean, n_shingles long, digest binary, shingles binary, {signs}")
-        self.rows = written(made.withColumn("node", F.when(~F.col("no_id"), F.col("node"))).drop("no_id"), "rows")
-        self.full = self.rows.where("shingles is not null")
+        schema = "doc_id long, no_id boolean, n_shingles long, digest binary, carries boolean, shingles binary, sign binary"
+        made = guarded(docs, "text").mapInPandas(lambda it: _rows(it, width), schema)
+        self.rows = written(made.withColumn("row", F.monotonically_increasing_id()), "rows")
+        sets = self.rows.where("carries").groupBy("digest").agg(F.min("row").alias("node"))
+        # Rows without words have a digest of their own here, so that they do not meet in one task.
+        known = self.rows.select("row", "doc_id", "no_id", "n_shingles", "carries", F.coalesce("digest", F.col("row").cast("string").cast("binary")).alias("digest")).join(sets, "digest", "left")
+        own = [F.when(~F.col("no_id"), F.col(c)).alias(c) for c in ("doc_id", "node")]
+        self.members = written(known.select("row", "n_shingles", "carries", *own), "members")
+
+    def sets(self) -> DataFrame:
+        """(row, n_shingles, shingles): each distinct set once."""
+        again = self.members.where("carries and row <> node").select("row")
+        return self.rows.where("carries").select("row", "n_shingles", "shingles").join(self.small(again), "row", "left_anti")
+
+    @staticmethod
+    def small(ids: DataFrame) -> DataFrame:
+        """The rows of ids, to be broadcast if they are few enough."""
+        return F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids
 
     def columns(self) -> DataFrame:
-        """(col, node, n, mark) of the columns that can start a sufficient overlap, if different sets of fitting sizes share them."""
-        sums = self.full.select("shingles").mapInPandas(_sketch, "slice int, places binary, counts binary").groupBy("slice").applyInPandas(_add_slices, "slice int, levels binary")
-        levels = bytearray(SKETCH)
+        """(col, node, n, place, hub) of the entries of the product that can meet another row."""
+        percent = self.percent
+        full = self.sets()
+        sums = full.select("shingles").mapInPandas(_sketch, "slice int, counts binary").groupBy("slice").applyInPandas(_add_slices, "slice int, levels binary")
+        data = bytearray(SKETCH)
         step = SKETCH // SLICES
         for row in sums.collect():  # SKETCH bytes at most
-            levels[row.slice * step : (row.slice + 1) * step] = row.levels
-        shared, percent = self.spark.sparkContext.broadcast(bytes(levels)), self.percent
-        entries = self.full.select("node", "digest", "shingles").mapInPandas(lambda it: _entries(it, shared, percent), "col long, node long, n int, mark long")
-        # Bit k of a mask: the column has a row of size band k modulo 64. Without two rows in one band or in bands side by side, no sizes fit.
-        turn = lambda m, by: f"(shiftleft({m}, {by}) | shiftrightunsigned({m}, {64 - by}))"
-        entries = entries.withColumn("own", F.expr(f"shiftleft(1L, cast(pmod({self.band('n')}, 64) as int))"))
-        sums = entries.groupBy("col").agg(F.min("mark").alias("lo"), F.max("mark").alias("hi"), F.bit_or("own").alias("mask"), F.count(F.lit(1)).alias("c"))
-        crowded = F.expr("c > bit_count(mask)")
-        several = sums.where(F.expr("lo <> hi") & (crowded | F.expr(f"mask & {turn('mask', 1)} <> 0"))).select("col", "mask", crowded.alias("crowded"))
-        beside = F.col("crowded") | F.expr(f"mask & ({turn('own', 1)} | {turn('own', 63)}) <> 0")
-        return written(entries.join(several, "col").where(beside).select("col", "node", "n", "mark"), "columns")
-
-    def band(self, n: str) -> str:
-        """SQL of a size's band: sizes that allow the similarity are in one band or in two side by side."""
-        return f"cast(floor(ln({n}) / {max(float(np.log(100 / self.percent)), 1e-3) * (1 + 1e-9)!r}D) as int)"
+            data[row.slice * step : (row.slice + 1) * step] = row.levels
+        taken = f"n_shingles - ceil({percent} * n_shingles / 100) + 1"
+        count = self.members.where("row = node").agg(F.expr("coalesce(sum(n_shingles), 0) as all"), F.expr(f"coalesce(cast(sum({taken}) as long), 0) as taken")).first()
+        blocks = max(partitions(self.spark), count["taken"] // BLOCK + 1)
+        shared = self.spark.sparkContext.broadcast(bytes(data))
+        of = (count["all"], self.piece)
+        dealt = full.select("row", "shingles").mapInPandas(lambda it: _entries(it, Levels(shared.value, *of), percent, blocks), ENTRY)
+        product = dealt.groupBy("block").applyInPandas(lambda f: _block(f, Levels(shared.value, *of), percent), "col long, node long, n int, place int, hub long")
+        return written(product, "columns")
+
+    def met(self, pairs: DataFrame, *values: str) -> DataFrame:
+        """Written pairs (a, b, ...) with the values of both rows (a_..., b_...). Only rows of pairs are shuffled, each second row once."""
+        rows = self.rows.select("row", *values)
+        side = lambda x: [F.col(v).alias(f"{x}_{v}") for v in values]
+        left = rows.join(self.small(pairs), F.col("row") == F.col("a")).select(*pairs.columns, *side("a"))
+        right = rows.join(self.small(pairs.select("b").distinct()), F.col("row") == F.col("b")).select("b", *side("b"))
+        return left.join(right, "b")
 
     def near_enough(self, pairs: DataFrame) -> DataFrame:
-        """Pairs (a, b, ...) whose sizes and signatures allow the similarity."""
-        names = pairs.columns
-        one = self.full.select("node", "n_shingles", *SIGNS).dropDuplicates(["node"])
-        for side in ("a", "b"):
-            pairs = pairs.join(one.select(F.col("node").alias(side), *[F.col(c).alias(f"{side}_{c}") for c in ("n_shingles", *SIGNS)]), side)
-        differ = sum((F.bit_count(F.col(f"a_{s}").bitwiseXOR(F.col(f"b_{s}"))) for s in SIGNS[1:]), F.bit_count(F.col("a_s0").bitwiseXOR(F.col("b_s0"))))
-        # Similarity p % allows a symmetric difference of (100 - p) / (100 + p) of both sizes.
-        allowed = F.col("a_n_shingles") + F.col("b_n_shingles")
-        return pairs.where(differ * (100 + self.percent) <= allowed * (100 - self.percent)).select(*names)
+        """Pairs (a, b, ...), written, whose sizes and signatures allow the similarity."""
+        pairs, percent = written(pairs, "pairs"), self.percent
+        both = self.met(pairs, "n_shingles", "sign").drop("row")
+        return written(both.mapInPandas(lambda it: _likely(it, percent), pairs.schema).select(*pairs.columns), "near")
 
     def verified(self, pairs: DataFrame) -> DataFrame:
-        """The pairs whose overlap, counted in full, reaches the similarity.
-
-        Only the first row of each pair is shuffled with its shingles, and each second row once: small sets of
-        pairs are broadcast to the scan of the rows.
-        """
-        pairs = written(pairs, "pairs")
-        # At 16 bytes a pair, no more than 16 MB are broadcast.
-        small = F.broadcast if pairs.count() <= BROADCAST_IDS else (lambda df: df)
-        rows = self.full.select("node", "shingles")
-        left = rows.join(small(pairs), F.col("node") == F.col("a")).select("a", "b", F.col("shingles").alias("sa"))
-        right = rows.join(small(pairs.select("b").distinct()), F.col("node") == F.col("b")).select("b", F.col("shingles").alias("sb"))
+        """The written pairs (a, b) whose overlap, counted in full, reaches the similarity."""
         percent = self.percent
-        return left.join(right, "b").select("a", "b", "sa", "sb").mapInPandas(lambda it: _overlaps(it, percent), "a long, b long")
+        both = self.met(pairs.select("a", "b"), "shingles").select("a", "b", F.col("a_shingles").alias("sa"), F.col("b_shingles").alias("sb"))
+        return both.mapInPandas(lambda it: _overlaps(it, percent), "a long, b long")
 
-    @staticmethod
-    def more(n: str) -> F.Column:
-        """Columns taken beyond those that can start a sufficient overlap, and so shared beyond the first by a near pair."""
-        return F.when(F.col(n) > LONG, F.floor(F.col(n) / 40)).otherwise(0)
-
-    def fits(self, a: str, b: str) -> F.Column:
-        return F.least(a, b) * 100 >= F.greatest(a, b) * self.percent
+    def enough(self, overlap: F.Column, a: str, b: str) -> F.Column:
+        return overlap * 100 >= (F.col(a) + F.col(b) - overlap) * self.percent
 
     def first_links(self, columns: DataFrame) -> DataFrame:
-        """Links of rows to one hub each: of the first rows of their columns, the one that shares most of these."""
-        banded = columns.withColumn("band", F.expr(self.band("n")))
-        hubs = banded.groupBy("col", "band").agg(F.min("node").alias("hub"), F.min_by("mark", "node").alias("hub_mark"), F.min_by("n", "node").alias("hub_n"))
-        pairs = banded.join(hubs, ["col", "band"]).where((F.col("hub") != F.col("node")) & (F.col("hub_mark") != F.col("mark")) & self.fits("n", "hub_n"))
-        shared = pairs.groupBy("node", "hub").agg(F.count(F.lit(1)).alias("shared"), F.min("n").alias("n"), F.min("hub_n").alias("hub_n"))
-        shared = shared.where(F.col("shared") * 2 > F.least(self.more("n"), self.more("hub_n")))
+        """Links of rows to one hub each: of the hubs of their columns, the one met most often."""
+        shared = columns.where("hub <> node").groupBy("node", "hub").agg(F.count(F.lit(1)).alias("shared"))
         best = shared.groupBy("node").agg(F.max_by("hub", F.struct("shared", -F.col("hub"))).alias("b"))
         return self.verified(self.near_enough(best.select(F.col("node").alias("a"), "b")))
 
-    def other_pairs(self, columns: DataFrame, groups: DataFrame) -> DataFrame:
-        """(a, b, shared): all pairs of rows of different groups that can be near enough; groups: (node, component)."""
-        folded = [reduce(lambda x, y: x.bitwiseXOR(y), [F.col(s) for s in SIGNS[k::2]]).alias(f"f{k}") for k in (0, 1)]
-        known = self.full.select("node", *folded).dropDuplicates(["node"]).join(groups, "node", "left")
-        named = columns.join(known, "node").withColumn("component", F.coalesce("component", "node"))
+    def other_pairs(self, columns: DataFrame, grouped: DataFrame) -> DataFrame:
+        """(a, b, shared): all pairs of rows of different groups that can be near enough; grouped: (node, component)."""
+        named = columns.select("col", "node", "n", "place").join(grouped, "node", "left").withColumn("component", F.coalesce("component", "node"))
+        mixed = named.groupBy("col").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi").select("col")
+        named = written(named.join(mixed, "col"), "named")
         sizes = named.groupBy("col", "component").agg(F.count(F.lit(1)).alias("size"))
-        largest = sizes.groupBy("col").agg(F.max_by("component", F.struct("size", "component")).alias("largest"), F.count(F.lit(1)).alias("groups")).where("groups > 1")
-        left = named.join(largest, "col").where("component <> largest").select("col", *[F.col(x).alias(f"a_{x}") for x in ("node", "n", "component", "f0", "f1")])
-        right = named.join(largest, "col").select("col", *[F.col(x).alias(f"b_{x}") for x in ("node", "n", "component", "f0", "f1")], (F.col("component") == F.col("largest")).alias("main"))
-        differ = F.bit_count(F.col("a_f0").bitwiseXOR(F.col("b_f0"))) + F.bit_count(F.col("a_f1").bitwiseXOR(F.col("b_f1")))
-        near = self.fits("a_n", "b_n") & (differ * (100 + self.percent) <= (F.col("a_n") + F.col("b_n")) * (100 - self.percent))
-        pairs = left.join(right, "col").where("a_component <> b_component and (main or a_node < b_node)").where(near)
+        largest = sizes.groupBy("col").agg(F.max_by("component", F.struct("size", "component")).alias("largest"))
+        left = named.join(largest, "col").where("component <> largest").select("col", "largest", *[F.col(x).alias(f"a_{x}") for x in ("node", "n", "place", "component")])
+        right = named.select("col", *[F.col(x).alias(f"b_{x}") for x in ("node", "n", "place", "component")])
+        # If this is the first column that both share, so much overlap is left.
+        most = F.least(F.col("a_n") - F.col("a_place"), F.col("b_n") - F.col("b_place"))
+        apart = (F.col("a_component") != F.col("b_component")) & ((F.col("b_component") == F.col("largest")) | (F.col("a_node") < F.col("b_node")))
+        pairs = left.join(right, "col").where(apart & self.enough(most, "a_n", "b_n"))
         # The largest group varies from column to column, and with it the side of a row: a pair is counted over both orders.
         turned = F.col("a_node") > F.col("b_node")
-        counted = pairs.groupBy(F.least("a_node", "b_node").alias("x"), F.greatest("a_node", "b_node").alias("y")).agg(
-            F.count(F.lit(1)).alias("shared"), F.count_if(turned).alias("turned"), F.min(F.least("a_n", "b_n")).alias("n")
-        )
+        counted = pairs.groupBy(F.least("a_node", "b_node").alias("x"), F.greatest("a_node", "b_node").alias("y")).agg(F.count(F.lit(1)).alias("shared"), F.count_if(turned).alias("turned"))
         # The order met more often stays, so that a row outside a large group has one likeliest pair with it.
         kept = F.col("turned") * 2 > F.col("shared")
         sides = [F.when(kept, F.col(p)).otherwise(F.col(q)).alias(side) for side, p, q in (("a", "y", "x"), ("b", "x", "y"))]
-        return self.near_enough(counted.where(F.col("shared") > self.more("n")).select(*sides, "shared"))
+        return self.near_enough(counted.select(*sides, "shared"))
 
     @staticmethod
-    def apart(pairs: DataFrame, groups: DataFrame) -> DataFrame:
+    def apart(pairs: DataFrame, grouped: DataFrame) -> DataFrame:
         """The pairs whose rows are in different groups."""
         for side in ("a", "b"):
-            pairs = pairs.join(groups.select(F.col("node").alias(side), F.col("component").alias(f"{side}_in")), side, "left")
+            pairs = pairs.join(grouped.select(F.col("node").alias(side), F.col("component").alias(f"{side}_in")), side, "left")
         return pairs.where(F.coalesce("a_in", "a") != F.coalesce("b_in", "b")).drop("a_in", "b_in")
 
     @staticmethod
-    def merged(groups: DataFrame, links: DataFrame) -> DataFrame:
-        return connected(written(groups.select(F.col("node").alias("a"), F.col("component").alias("b")).where("a <> b").union(links.select("a", "b")), "links"))
+    def merged(grouped: DataFrame, links: DataFrame) -> DataFrame:
+        links = written(links.select("a", "b"), "links")
+        return connected(grouped.select(F.col("node").alias("a"), F.col("component").alias("b")).where("a <> b").union(links)) if links.head(1) else grouped
 
     def components(self) -> DataFrame:
-        """(node, component) of every document that is linked with another one."""
-        twins = self.rows.where("digest is not null and node is not null")
-        least = twins.groupBy("digest").agg(F.min("node").alias("b"), F.max("node").alias("top")).where("b <> top").select("digest", "b")
-        same = twins.select("digest", F.col("node").alias("a")).join(least, "digest").where("a <> b").select("a", "b")
+        """(node, component) of every set that is linked with another one."""
+        of_ids = self.members.where("node is not null")
+        several = of_ids.groupBy("doc_id").agg(F.min("node").alias("b"), F.max("node").alias("top")).where("b <> top").select("doc_id", "b")
+        same = of_ids.select("doc_id", F.col("node").alias("a")).join(several, "doc_id").where("a <> b").select("a", "b")
         columns = self.columns()
-        groups = connected(written(same.union(self.first_links(columns)), "links"))
+        grouped = connected(written(same.union(self.first_links(columns)), "links"))
         # Each row's likeliest pair first: it settles most groups, and the other pairs within these need no count.
-        pairs = written(self.other_pairs(columns, groups), "others")
-        best = pairs.groupBy("a").agg(F.max_by("b", F.struct("shared", -F.col("b"))).alias("b"))
-        groups = self.merged(groups, self.verified(best))
-        rest = self.apart(pairs, groups).join(best, ["a", "b"], "left_anti")
-        return self.merged(groups, self.verified(rest.select("a", "b")))
+        pairs = self.other_pairs(columns, grouped)
+        best = written(pairs.groupBy("a").agg(F.max_by("b", F.struct("shared", -F.col("b"))).alias("b")), "best")
+        grouped = self.merged(grouped, self.verified(best))
+        rest = self.apart(pairs, grouped).join(best, ["a", "b"], "left_anti")
+        return self.merged(grouped, self.verified(written(rest.select("a", "b"), "rest")))
+
+    def documents(self) -> DataFrame:
+        """(doc_id, n_shingles, component_id) of every input row."""
+        sets = self.members.where("node is not null").groupBy("node").agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("top"))
+        linked = sets.join(self.components(), "node", "left").where("component is not null or least <> top").withColumn("component", F.coalesce("component", "node"))
+        named = linked.join(linked.groupBy("component").agg(F.min("least").alias("id")), "component").select("node", "id")
+        out = self.members.withColumn("node", F.coalesce("node", -1 - F.col("row"))).join(named, "node", "left")
+        return out.select("doc_id", "n_shingles", F.coalesce("id", "doc_id").alias("component_id"))
 
 
 def connected(links: DataFrame) -> DataFrame:
@@ -307,20 +400,21 @@ def jaccard_groups(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFr
     Texts are lower-cased (A-Z) and split into words [^\\x20\\x09-\\x0D]+; a set holds the distinct runs of
     `width` words, or the whole sequence of a shorter text. Returns doc_id, n_shingles and component_id (least
     doc_id reachable by links, itself included), one row per input row. A null, empty or blank text has an
-    empty set and links with nothing. Equal texts are linked. Rows that share a doc_id are one node. A null
-    doc_id takes no part: its component_id is null. Further columns are ignored. An empty table gives an
-    empty result.
+    empty set and links with nothing: its component_id is its doc_id. Equal sets are linked. Rows with words
+    that share a doc_id are linked, whatever their texts. A null doc_id takes no part: its component_id is
+    null. Further columns are ignored. An empty table gives an empty result. Sets are compared by hashes:
+    64 bits of each n-gram tell those of one row apart, 48 bits those of a pair.
     """
-    join = Join(docs, width, percent)
-    out = join.rows.select("node", "n_shingles").join(join.components(), "node", "left")
-    return out.select(F.col("node").alias("doc_id"), "n_shingles", F.coalesce("component", "node").alias("component_id"))
+    return Join(docs, width, percent).documents()
 
 
 def keep_one(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
     """docs with all their columns, without each row whose group has a smaller doc_id.
 
-    Rows with a null doc_id or an empty text are kept; rows that repeat with an equal doc_id are all kept.
+    Rows with a null doc_id or an empty text are kept, unless a row of that id goes; rows that repeat with an
+    equal doc_id are all kept or all gone.
     """
-    groups = jaccard_groups(docs.select("doc_id", "text"), width, percent)
-    gone = groups.where("doc_id <> component_id").select(F.col("doc_id").alias("_gone")).distinct()
-    return docs.join(gone, F.col("doc_id") == F.col("_gone"), "left_anti")
+    grouped = jaccard_groups(docs.select("doc_id", "text"), width, percent)
+    name = free_name(docs)
+    gone = grouped.where("doc_id <> component_id").select(F.col("doc_id").alias(name)).distinct()
+    return docs.join(gone, F.col("doc_id") == F.col(name), "left_anti")

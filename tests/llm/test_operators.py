@@ -14,7 +14,7 @@ from corvine.llm import queries as Q
 from corvine.llm.chat_format import PART, formatted, format_turn, read_back, read_turn, PartVisitor
 from corvine.llm.decontamination import contamination, decontaminated, item_words
 from corvine.llm.html_extract import extracted, main_text
-from corvine.llm.jaccard_join import jaccard_groups, keep_one
+from corvine.llm.jaccard_join import Join, jaccard_groups, keep_one
 from corvine.llm.language_id import identify, train
 from corvine.llm.line_dedup import line_dedup, line_dedup_report
 from corvine.llm.mixing import fit, knapsack, mix_plan, mixed
@@ -164,6 +164,62 @@ def test_jaccard_chain(spark):
     assert {r.component_id for r in jaccard_groups(chain, 3, 90).collect()} == {0}
 
 
+def brute_groups(rows, width, percent):
+    """{doc_id: component_id} by all pairs of rows (doc_id, text)."""
+    sets = []
+    for i, text in rows:
+        w = (text or "").lower().split()
+        sets.append((i, {tuple(w[k : k + width]) for k in range(len(w) - width + 1)} or ({tuple(w)} if w else set())))
+    up = {i: i for i, _ in rows}
+
+    def root(i):
+        while up[i] != i:
+            i = up[i]
+        return i
+
+    for k, (i, x) in enumerate(sets):
+        for j, y in sets[:k]:
+            if x and y and (i == j or 100 * len(x & y) >= percent * len(x | y)):
+                a, b = sorted((root(i), root(j)))
+                up[b] = a
+    return {i: root(i) for i in up}
+
+
+def test_jaccard_repeated_ids(spark):
+    """Rows of one id link their texts, whichever of them a batch meets first."""
+    a, b = (" ".join(f"{c}{k}" for k in range(60)) for c in "ab")
+    rows = [(5, a), (5, b), (9, a + " more"), (7, b + " more"), (6, "")]
+    for order in (rows, rows[::-1]):
+        got = {r.doc_id: r.component_id for r in jaccard_groups(spark.createDataFrame(order, "doc_id long, text string"), 3, 90).collect()}
+        assert got == {5: 5, 9: 5, 7: 5, 6: 6}
+
+
+@pytest.mark.parametrize("piece", [500_000, 20])
+def test_jaccard_crowd(spark, piece):
+    """A large group of short near texts around one text, some of them near each other only, with columns in one piece and in many."""
+    import random
+
+    rng = random.Random(3)
+    base = [f"b{k}" for k in range(50)]
+    rows = []
+    for i in range(160):
+        words = base[:]
+        for _ in range(rng.choice((0, 1, 1, 1, 2, 3))):
+            words[rng.randrange(len(words))] = f"n{rng.randrange(400)}"
+        if rng.random() < 0.3:
+            del words[rng.randrange(len(words))]
+        rows.append((i, " ".join(words)))
+    for width, percent in ((3, 90), (5, 80), (1, 100)):
+        got = {r.doc_id: r.component_id for r in Join(spark.createDataFrame(rows, "doc_id long, text string").repartition(5), width, percent, piece).documents().collect()}
+        assert got == brute_groups(rows, width, percent)
+
+
+def test_keep_one_clashing_names(spark):
+    rows = spark.createDataFrame([(1, "a b c", 1, 2, 3), (2, "A b c", 4, 5, 6), (3, "other", 7, 8, 9)], "doc_id long, text string, _gone long, _own_0 long, component_id long")
+    left = keep_one(rows)
+    assert left.columns == rows.columns and sorted(map(tuple, left.collect())) == [(1, "a b c", 1, 2, 3), (3, "other", 7, 8, 9)]
+
+
 def test_jaccard_long_groups(spark):
     """Two groups of near copies above 1500 shingles, one a shortened version of the other; the largest group varies by column."""
     words = [f"u{k}" for k in range(2802)]
