@@ -7,31 +7,34 @@ its Burrows-Wheeler transform in a wavelet matrix, and sampled suffix positions.
 searched backward at once through wavelet ranks, their rows are located by walking to a sampled row, and
 the spans found are merged for each document.
 
-Only the benchmark is sent to the executors, in blocks of at most BLOCK_WORDS words; each further block is
-one more pass of narrow maps over the documents, so neither documents nor hits are ever shuffled.
+Only the benchmark is sent to the executors, in blocks of at most BLOCK_WORDS words. A pass over the documents,
+one narrow map, searches TURN blocks; for each further turn the documents and the spans found so far are
+written and read again. Neither documents nor hits are ever shuffled.
 """
 
 from __future__ import annotations
 
 import hashlib
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
+from pyspark.core.broadcast import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import covered, groups, utf8
+from .common import covered, groups, trim, utf8, written
 
 #: Words are runs of digits, letters a-z (A-Z lower-cased) and characters beyond ASCII.
 TABLE = bytes(c + 32 if 65 <= c <= 90 else c if 48 <= c <= 57 or 97 <= c <= 122 or c >= 128 else 32 for c in range(256))
 WORD = re.compile(r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+")
 PHRASE = 10
 BLOCK_WORDS = 1_000_000
-SHARD_CHARS = 8_000_000
+TURN = 4
+SHARD_CHARS = 3_000_000
 SAMPLE = 8
 
 
@@ -205,25 +208,29 @@ def _shards(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield whole()
 
 
-def _mark(batches: Iterator[pa.RecordBatch], phrases: Phrases, names: tuple[str, str, str]) -> Iterator[pa.RecordBatch]:
-    """Adds the block's spans (pairs of word numbers) and items to each row's."""
+def _mark(batches: Iterator[pa.RecordBatch], blocks: list[Broadcast[Phrases]], names: tuple[str, str, str]) -> Iterator[pa.RecordBatch]:
+    """Adds the blocks' spans (pairs of word numbers) and items to each row's."""
     for shard in _shards(batches):
-        at, word, phrase, lens = phrases.find(shard.column("text").to_pylist())
+        texts = shard.column("text").to_pylist()
         spans = [list(x) for x in shard.column(names[0]).to_pylist()]
         items = [set(x) for x in shard.column(names[1]).to_pylist()]
-        order = np.lexsort((word, at))
-        at, word, phrase = at[order], word[order], phrase[order]
-        for a, b in groups(at):
-            hit = covered(int(lens[at[a]]), np.zeros(0, np.int64), 1)
-            for size in np.unique(phrases.lens[phrase[a:b]]):
-                hit |= covered(len(hit), word[a:b][phrases.lens[phrase[a:b]] == size], int(size))
-            spans[at[a]] += np.flatnonzero(np.diff(np.r_[0, hit.astype(np.int8), 0])).tolist()
-            items[at[a]].update(x for p in np.unique(phrase[a:b]).tolist() for x in phrases.owners[p])
+        for phrases in (b.value for b in blocks):
+            at, word, phrase, lens = phrases.find(texts)
+            order = np.lexsort((word, at))
+            at, word, phrase = at[order], word[order], phrase[order]
+            for a, b in groups(at):
+                hit = covered(int(lens[at[a]]), np.zeros(0, np.int64), 1)
+                for size in np.unique(phrases.lens[phrase[a:b]]):
+                    hit |= covered(len(hit), word[a:b][phrases.lens[phrase[a:b]] == size], int(size))
+                spans[at[a]] += np.flatnonzero(np.diff(np.r_[0, hit.astype(np.int8), 0])).tolist()
+                items[at[a]].update(x for p in np.unique(phrase[a:b]).tolist() for x in phrases.owners[p])
         columns = dict(zip(shard.schema.names, shard.columns, strict=True))
         columns[names[0]] = pa.array(spans, pa.list_(pa.int32()))
         columns[names[1]] = pa.array([sorted(x) for x in items], pa.list_(pa.string()))
         columns[names[2]] = pa.array(lens, pa.int64())
         yield pa.RecordBatch.from_arrays(list(columns.values()), names=list(columns))
+        del texts, spans, items, columns
+        trim()
 
 
 def merged(spans: list[int]) -> list[tuple[int, int]]:
@@ -247,21 +254,25 @@ def without(text: str, spans: list[int]) -> str:
     return "".join(out) + text[done:]
 
 
-def _marked(docs: DataFrame, benchmark: DataFrame) -> tuple[DataFrame, tuple[str, str, str]]:
+def _marked(docs: DataFrame, benchmark: DataFrame, finish: Callable[[Iterator[pa.RecordBatch], tuple[str, str, str]], Iterator[pa.RecordBatch]], schema: T.StructType | str) -> DataFrame:
+    """docs with spans, items and numbers of words in three columns more, after finish(batches, names of these columns)."""
     spark = docs.sparkSession
     names = ("_spans", "_items", "_words")
     while set(names) & {c.lower() for c in docs.columns}:
         names = tuple(f"_{n}" for n in names)
     items = benchmark.select(F.coalesce(F.col("item_id").cast("string"), F.lit("null")).alias("item"), "text")
     total = items.agg(F.sum(F.length("text"))).first()[0] or 0
-    blocks = 1 + total // (2 * BLOCK_WORDS)  # a word and its border are two characters at least
+    count = 1 + total // (2 * BLOCK_WORDS)  # a word and its border are two characters at least
     out = docs.withColumns({names[0]: F.array().cast("array<int>"), names[1]: F.array().cast("array<string>"), names[2]: F.lit(0).cast("long")})
-    schema = T.StructType([T.StructField(f.name, f.dataType) for f in out.schema])
-    for k in range(blocks):
-        block = items.where(F.pmod(F.xxhash64("item", "text"), F.lit(blocks)) == k) if blocks > 1 else items
-        shared = spark.sparkContext.broadcast(Phrases([tuple(r) for r in block.collect()]))
-        out = out.mapInArrow(lambda it, shared=shared: _mark(it, shared.value, names), schema)
-    return out, names
+    full = T.StructType([T.StructField(f.name, f.dataType) for f in out.schema])
+    for turn in range(0, count, TURN):
+        if turn:
+            out = written(out.mapInArrow(lambda it, blocks=blocks: _mark(it, blocks, names), full), "marked")  # noqa: F821
+        blocks = []
+        for k in range(turn, min(turn + TURN, count)):
+            block = items.where(F.pmod(F.xxhash64("item", "text"), F.lit(count)) == k) if count > 1 else items
+            blocks.append(spark.sparkContext.broadcast(Phrases([tuple(r) for r in block.collect()])))  # about BLOCK_WORDS words
+    return out.mapInArrow(lambda it: finish(_mark(it, blocks, names), names), schema)
 
 
 def contamination(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
@@ -274,10 +285,8 @@ def contamination(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     that repeat count once by id; a null item_id is called "null". Rows that repeat get equal rows; a null
     doc_id stays null; further columns are ignored; an empty table or benchmark gives no hits.
     """
-    marked, names = _marked(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), benchmark)
-    schema = "doc_id long, n_words long, n_hit long, n_items long, items_sha256 string, contaminated boolean, items array<string>"
 
-    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def rows(batches: Iterator[pa.RecordBatch], names: tuple[str, str, str]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             spans, items = batch.column(names[0]).to_pylist(), batch.column(names[1]).to_pylist()
             hit = [sum(b - a for a, b in merged(x)) for x in spans]
@@ -287,7 +296,8 @@ def contamination(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
                 names=["doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated", "items"],
             )
 
-    return marked.drop("text").mapInArrow(rows, schema)
+    schema = "doc_id long, n_words long, n_hit long, n_items long, items_sha256 string, contaminated boolean, items array<string>"
+    return _marked(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), benchmark, rows, schema)
 
 
 def decontaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
@@ -295,10 +305,8 @@ def decontaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 
     Nulls, repeated rows, empty tables: as contamination(). Texts without an occurrence stay as they are.
     """
-    marked, names = _marked(docs, benchmark)
-    schema = T.StructType([T.StructField(f.name, f.dataType) for f in docs.schema])
 
-    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def rows(batches: Iterator[pa.RecordBatch], names: tuple[str, str, str]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             spans = batch.column(names[0]).to_pylist()
             columns = {n: c for n, c in zip(batch.schema.names, batch.columns, strict=True) if n not in names}
@@ -308,4 +316,4 @@ def decontaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
                 columns["n_chars"] = pa.array(sizes, columns["n_chars"].type)
             yield pa.RecordBatch.from_arrays(list(columns.values()), names=list(columns))
 
-    return marked.mapInArrow(rows, schema)
+    return _marked(docs, benchmark, rows, T.StructType([T.StructField(f.name, f.dataType) for f in docs.schema]))

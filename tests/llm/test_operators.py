@@ -85,6 +85,18 @@ def test_decontamination_edges(spark, odd):
     assert clean.columns == odd.columns and contamination(clean, bench).where("n_hit > 0").count() == 0
 
 
+def test_decontamination_blocks(spark, monkeypatch):
+    """Many blocks in several turns find what one block finds."""
+    from corvine.llm import decontamination as D
+
+    bench = spark.read.parquet(f"{SF}/benchmark.parquet")
+    docs = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text")
+    one = sorted(map(repr, contamination(docs, bench).collect()))
+    monkeypatch.setattr(D, "BLOCK_WORDS", bench.selectExpr("sum(length(text))").first()[0] // 12)
+    monkeypatch.setattr(D, "TURN", 2)
+    assert sorted(map(repr, contamination(docs, bench).collect())) == one
+
+
 def test_substring_edges(spark, odd, tmp_path):
     got = substring_dedup(odd).collect()
     assert len(got) == 9
