@@ -122,12 +122,60 @@ def unplanes(data: bytes, kind: str) -> np.ndarray:
     return np.ascontiguousarray(np.frombuffer(data, np.uint8).reshape(width, -1).T).reshape(-1).view(kind)
 
 
+def low(values: np.ndarray, n: int) -> bytes:
+    """The lower n bytes of each 64-bit value, one after the other."""
+    return np.ascontiguousarray(values).view(np.uint8).reshape(-1, 8)[:, :n].tobytes()
+
+
+def wide(data: bytes, n: int) -> np.ndarray:
+    """The values that low(values, n) kept the lower bytes of."""
+    out = np.zeros((len(data) // n, 8), np.uint8)
+    out[:, :n] = np.frombuffer(data, np.uint8).reshape(-1, n)
+    return out.reshape(-1).view(np.uint64)
+
+
 def groups(values: np.ndarray) -> Iterator[tuple[int, int]]:
     """[start, end) of each run of equal values."""
     cut = np.flatnonzero(np.r_[len(values) > 0, values[1:] != values[:-1]]) if len(values) else np.zeros(0, np.int64)
     return zip(cut.tolist(), [*cut[1:].tolist(), len(values)][: len(cut)], strict=True)
 
 
+def packed(key: np.ndarray, owner: np.ndarray, place: np.ndarray) -> tuple[bytes, bytes, bytes]:
+    """Places by owner (both in order), with the owner's key: the keys, how many places each has, and the steps between its places."""
+    begins = np.flatnonzero(np.r_[True, owner[1:] != owner[:-1]])
+    step = np.diff(place, prepend=0)
+    step[begins] = place[begins]
+    return key[begins].tobytes(), planes(np.diff(np.append(begins, len(owner))), "<u4"), planes(step, "<u4")
+
+
+def unpacked(keys: bytes, counts: bytes, places: bytes) -> tuple[np.ndarray, np.ndarray]:
+    """(key, place) of each entry."""
+    count = unplanes(counts, "<u4").astype(np.int64)
+    sums = np.cumsum(unplanes(places, "<u4").astype(np.int64))
+    first = np.cumsum(count) - count
+    return np.repeat(np.frombuffer(keys, np.int64), count), sums - np.repeat(np.where(first > 0, sums[first - 1], 0), count)
+
+
+HOMED = "home int, keys binary, counts binary, places binary"
+
+
+def by_home(keys: list[np.ndarray], places: list[np.ndarray], homes: int) -> pd.DataFrame:
+    """HOMED rows: the marks (key, place), packed by the home of their key."""
+    key, place = (np.concatenate(x) if x else np.zeros(0, np.int64) for x in (keys, places))
+    order = np.lexsort((place, key, key % homes))
+    key, place = key[order], place[order]
+    return pd.DataFrame([(int(key[a] % homes), *packed(key[a:b], key[a:b], place[a:b])) for a, b in groups(key % homes)], columns=["home", "keys", "counts", "places"])
+
+
+def gathered(frame: pd.DataFrame) -> pd.DataFrame:
+    """All HOMED rows of one home -> (key, places): the distinct places of each key in order, as planes of "<u4"."""
+    pairs = [unpacked(r.keys, r.counts, r.places) for r in frame.itertuples()]
+    key, place = np.concatenate([k for k, _ in pairs]), np.concatenate([p for _, p in pairs])
+    order = np.lexsort((place, key))
+    key, place = key[order], place[order]
+    return pd.DataFrame([(int(key[a]), planes(np.unique(place[a:b]), "<u4")) for a, b in groups(key)], columns=["key", "places"])
+
+
 def trim() -> None:
     """Gives memory that a worker has freed back to the system: idle workers stay, and count, beside the executor."""
     pa.default_memory_pool().release_unused()
@@ -179,6 +227,12 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def removed(spark: SparkSession, path: str) -> None:
+    """Deletes a folder of a store that Spark reads."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+
+
 def small_batches(spark: SparkSession, rows: int = 1000) -> None:
     """Lowers the session's rows and bytes of an Arrow batch: by default, batches of long texts fill an executor's memory."""
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(8 << 20))
@@ -192,6 +246,11 @@ def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
+def blocks_of(docs: DataFrame, chars: int) -> int:
+    """So many blocks that each gets about `chars` characters of the texts, and every shuffle partition one."""
+    return max(partitions(docs.sparkSession), 1 + (docs.agg(F.sum(F.length("text"))).first()[0] or 0) // chars)
+
+
 def free_name(*frames: DataFrame) -> str:
     """A column name that none of the frames has (Spark does not tell cases apart)."""
     taken = {c.lower() for df in frames for c in df.columns}

@@ -34,7 +34,9 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import BASES, bounded, free_name, groups, guarded, hashed_words, lower_words_of, mix, partitions, planes, small_batches, trim, unplanes, window_hashes, window_starts, written
+from .common import (
+    BASES, bounded, free_name, groups, guarded, hashed_words, low, lower_words_of, mix, partitions, planes, small_batches, trim, unplanes, wide, window_hashes, window_starts, written,
+)
 
 SKETCH = 1 << 22
 SLICES = 64
@@ -66,22 +68,6 @@ def shingle_sets(texts: list[str | None], width: int) -> list[np.ndarray]:
     return out
 
 
-def _bytes(shingles: np.ndarray) -> bytes:
-    """The upper 48 bits of each hash; within a pair of sets these still tell shingles apart."""
-    return _low(shingles >> np.uint64(16))
-
-
-def _low(values: np.ndarray) -> bytes:
-    """The six bytes of each value below 2**48; _hashes() reads them."""
-    return np.ascontiguousarray(values).view(np.uint8).reshape(-1, 8)[:, :6].tobytes()
-
-
-def _hashes(data: bytes) -> np.ndarray:
-    out = np.zeros((len(data) // 6, 8), np.uint8)
-    out[:, :6] = np.frombuffer(data, np.uint8).reshape(-1, 6)
-    return out.reshape(-1).view(np.uint64)
-
-
 def _signature(shingles: np.ndarray) -> bytes:
     """Parity bits, a power of two from n on; two sets differ in at least as many shingles as their signatures differ in bits."""
     size = max(512, 1 << int(len(shingles) - 1).bit_length())
@@ -109,7 +95,7 @@ def _rows(batches: Iterator[pd.DataFrame], width: int) -> Iterator[pd.DataFrame]
             carries = len(s) > 0 and digest not in seen and not none
             if carries:
                 seen.add(digest)
-            rows.append((len(s), digest, carries, _bytes(s) if carries else None, _signature(s) if carries else None))
+            rows.append((len(s), digest, carries, low(s >> np.uint64(16), 6) if carries else None, _signature(s) if carries else None))
         out = pd.DataFrame(rows, columns=["n_shingles", "digest", "carries", "shingles", "sign"])
         yield out.assign(doc_id=frame["doc_id"], no_id=frame["no_id"])
 
@@ -120,7 +106,7 @@ def _sketch(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     some = False
     for frame in batches:
         for data in frame["shingles"]:
-            counts[_hashes(data) & np.uint64(SKETCH - 1)] += 1
+            counts[wide(data, 6) & np.uint64(SKETCH - 1)] += 1
             some = True
     for k, part in enumerate(counts.reshape(SLICES, -1) if some else ()):
         # Most counts of a task are small: three of the four planes are zeros, and the first has few values.
@@ -166,7 +152,7 @@ def _dealt(parts: list[tuple], levels: Levels, blocks: int) -> pd.DataFrame:
     rows = []
     for a, b in groups(block[order]):
         at = order[a:b]
-        rows.append((int(block[at[0]]), _low(col[at]), planes(np.diff(node[at], prepend=0), "<i8"), planes(n[at], "<u4"), planes(place[at], "<u4")))
+        rows.append((int(block[at[0]]), low(col[at], 6), planes(np.diff(node[at], prepend=0), "<i8"), planes(n[at], "<u4"), planes(place[at], "<u4")))
     return pd.DataFrame(rows, columns=[c.split()[0] for c in ENTRY.split(", ")])
 
 
@@ -174,7 +160,7 @@ def _entries(batches: Iterator[pd.DataFrame], levels: Levels, percent: int, bloc
     parts, held = [], 0
     for frame in batches:
         for node, data in zip(frame["row"], frame["shingles"], strict=True):
-            s = _hashes(data)
+            s = wide(data, 6)
             n, keep = len(s), prefix(len(s), percent)
             # The order is (level, hash); s is sorted by hash already.
             s = s[np.argsort(levels.rarity(s), kind="stable")[:keep]]
@@ -191,7 +177,7 @@ def _entries(batches: Iterator[pd.DataFrame], levels: Levels, percent: int, bloc
 
 def _block(frame: pd.DataFrame, levels: Levels, percent: int) -> pd.DataFrame:
     """One block of columns: its entries that can meet another row, and the hub of each (itself: none)."""
-    col = np.concatenate([_hashes(x) for x in frame["cols"]])
+    col = np.concatenate([wide(x, 6) for x in frame["cols"]])
     node = np.concatenate([np.cumsum(unplanes(x, "<i8")) for x in frame["nodes"]])
     n = np.concatenate([unplanes(x, "<u4") for x in frame["sizes"]]).astype(np.int64)
     place = np.concatenate([unplanes(x, "<u4") for x in frame["places"]]).astype(np.int64)
@@ -228,7 +214,7 @@ def _overlaps(batches: Iterator[pd.DataFrame], percent: int) -> Iterator[pd.Data
     for frame in batches:
         good = []
         for a, b in zip(frame["sa"], frame["sb"], strict=True):
-            x, y = np.unique(_hashes(a)), np.unique(_hashes(b))
+            x, y = np.unique(wide(a, 6)), np.unique(wide(b, 6))
             both = len(np.intersect1d(x, y, assume_unique=True))
             good.append(100 * both >= percent * (len(x) + len(y) - both))
         yield frame.loc[np.array(good, bool), ["a", "b"]]

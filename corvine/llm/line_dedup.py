@@ -1,17 +1,24 @@
 """Fuzzy line dedup by a deletion-neighbourhood join.
 
-The edit bound is one word: two lines are near when one word inserted, deleted or replaced turns one into
-the other (so every change inside one word is within the bound), and both have at least `min_words` words;
-shorter lines must be equal. Each line emits hashed keys for itself and for all its variants with one word
-deleted. Two lines with an equal variant are within the bound if
+The edit bound is one unit: two lines are near when one unit inserted, deleted or replaced turns one into the
+other. The units of a line of at least `min_words` words are its words (so every change inside one word is
+within the bound). Those of a shorter one are its characters, its words joined by one space; below `min_chars`
+of these a line must be equal, since there one character is much of it. Lines with different units are never
+near.
 
-* both deleted the word at the same place (one replacement), or
+Each line emits hashed keys for itself and for all its variants with one unit deleted. Two lines with an
+equal variant are within the bound if
+
+* both deleted the unit at the same place (one replacement), or
 * one of them deleted nothing (one insertion);
 
 equal variants with different places are two edits apart, unless another key shows them nearer. So the
 edit distance is verified from the places, and the earliest line of a key settles all its other lines:
-no pair of lines is ever formed. Keys are 48 bits of one hash and 16 of another, whose further bits choose
-the bucket.
+no pair of lines is ever formed. Keys are two independent hashes of 64 bits.
+
+One edit leaves the first or the last half of the shorter line as it is. So a first pass joins hashes of these
+halves (four a line: first and last, by the line's length and by one less), and only lines that share one
+with another line emit variants. No near or equal line is lost by that.
 
 Each batch sends only its earliest copy of an equal line, so a frequent line costs a bucket one entry a batch.
 """
@@ -26,18 +33,65 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import BASES, INVERSES, bounded, groups, guarded, hashed_words, mix, partitions, planes, powers, restored, small_batches, unplanes, words_of, written
+from .common import (
+    BASES, HOMED, INVERSES, blocks_of, bounded, by_home, gathered, groups, guarded, hashed_words, low, mix, packed, partitions, planes, powers, restored, small_batches, trim, unpacked, unplanes, utf8, wide, words_of, written,
+)
 
-SENT = "bucket int, docs binary, keys binary, counts binary, lines binary, places binary, prints binary"
+HALVES = "bucket int, keys binary, counts binary, places binary, prints binary"
+SENT = "bucket int, docs binary, keys binary, counts binary, lines binary, places binary, prints binary, checks binary"
+GONE = "home int, docs binary, keys binary, counts binary, lines binary"
 #: Places of an entry that is a whole line: one that only equals others, and one that may be near others.
 FULL, FULL_LONG = 0xFFFFFFFE, 0xFFFFFFFF
 LAST = np.iinfo(np.int64).max
-#: Up to so many orders that several rows have (8 MB) are broadcast.
-BROADCAST_ORDERS = 1_000_000
-
-
-def variants(hashes: np.ndarray, lens: np.ndarray, which: int) -> tuple[np.ndarray, np.ndarray]:
-    """Hash of each line, and of each line without the word at each of its places (in order of the words)."""
+#: Characters of text for each bucket of the first pass.
+BUCKET_CHARS = 16_000_000
+CHARS, SUFFIX = np.uint64(0xD6E8FEB86659FD93), np.uint64(0xA5A5A5A5F0F0F0F1)
+
+
+class Lines:
+    """The lines with a word of some texts: doc and number of each, its units' hashes and how many these are."""
+
+    def __init__(self, texts: list[str | None], wanted: list[np.ndarray] | None, min_words: int, min_chars: int) -> None:
+        units, doc, number, kind = [], [], [], []
+        for d, text in enumerate(texts):
+            lines = (text or "").split("\n")
+            for k in range(len(lines)) if wanted is None else wanted[d].tolist():
+                if not (own := words_of(lines[k])):
+                    continue
+                short = len(own) < min_words
+                if short:
+                    own = [utf8(c) for c in b" ".join(own).decode("utf-8", "surrogatepass")]
+                units.append(own)
+                doc.append(d)
+                number.append(k)
+                kind.append(short + (short and len(own) < min_chars))
+        self.doc, self.number = np.array(doc, np.int64), np.array(number, np.int64)
+        self.hashes, self.lens = hashed_words(units, list)
+        kind = np.array(kind, np.int64)
+        self.fuzzy = kind < 2
+        self.salt = np.where(kind > 0, CHARS, np.uint64(0))
+
+    def halves(self) -> tuple[np.ndarray, np.ndarray]:
+        """(line, hash): the four halves of each line, or the whole of one that must be equal."""
+        n = len(self.hashes)
+        up, down = powers(BASES[0], n + 1), powers(INVERSES[0], n + 1)
+        sums = np.zeros(n + 1, np.uint64)
+        np.cumsum(self.hashes * up[:n], out=sums[1:])
+        end = np.cumsum(self.lens)
+        begin = end - self.lens
+        lines, prints = [], []
+        for shorter in (self.lens - 1, self.lens):
+            half = np.where(self.fuzzy, np.maximum(shorter - 1, 0) // 2, self.lens)
+            size = shorter.astype(np.uint64) * np.uint64(BASES[1]) + self.salt
+            first = mix((sums[begin + half] - sums[begin]) * down[begin] + size)
+            last = mix((sums[end] - sums[end - half]) * down[end - half] + size + SUFFIX)
+            lines += [np.arange(len(self.lens)), np.flatnonzero(self.fuzzy)]
+            prints += [first, last[self.fuzzy]]
+        return np.concatenate(lines), np.concatenate(prints)
+
+
+def variants(hashes: np.ndarray, lens: np.ndarray, which: int, salt: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Hash of each line, and of each line without the unit at each of its places (in order of the units)."""
     n = len(hashes)
     if which:
         hashes = mix(hashes ^ np.uint64(0xA0761D6478BD642F))
@@ -47,68 +101,111 @@ def variants(hashes: np.ndarray, lens: np.ndarray, which: int) -> tuple[np.ndarr
     end = np.cumsum(lens)
     begin = end - lens
     size = lens.astype(np.uint64)
-    full = mix((sums[end] - sums[begin]) * down[begin] + size * np.uint64(BASES[1 - which]))
+    full = mix((sums[end] - sums[begin]) * down[begin] + size * np.uint64(BASES[1 - which]) + salt)
     line = np.repeat(np.arange(len(lens)), lens)
     at = np.arange(n)
     left = (sums[at] - sums[begin[line]]) * down[begin[line]]
     right = (sums[end[line]] - sums[at + 1]) * down[begin[line] + 1]
-    return full, mix(left + right + (size[line] - np.uint64(1)) * np.uint64(BASES[1 - which]))
+    return full, mix(left + right + (size[line] - np.uint64(1)) * np.uint64(BASES[1 - which]) + salt[line])
 
 
-def _send(batches: Iterator[pd.DataFrame], min_words: int, buckets: int) -> Iterator[pd.DataFrame]:
-    """Rows with prints go to their bucket; rows without are lines removed already, which go along for the ride."""
-    for frame in bounded(batches, "text"):
+def _halves(batches: Iterator[pd.DataFrame], min_words: int, min_chars: int, buckets: int) -> Iterator[pd.DataFrame]:
+    """Rows with prints go to their bucket. Rows without are lines that share a half within the batch; they go along for the ride."""
+    for frame in bounded(batches, "text", 1_000_000):
+        lines = Lines(list(frame["text"]), None, min_words, min_chars)
+        if not len(lines.lens):
+            continue
+        line, prints = lines.halves()
+        order = np.lexsort((line, prints))
+        line, prints = line[order], prints[order]
+        same = prints[1:] == prints[:-1]
+        other = same & (line[1:] != line[:-1])
+        twice = np.unique(np.r_[line[1:][other], line[:-1][other]])
+        first = np.r_[True, ~same]
+        line, prints = line[first], prints[first]
+        bucket = ((prints >> np.uint64(40)) % np.uint64(buckets)).astype(np.int64)
+        by = np.lexsort((line, bucket))
+        line, prints, bucket = line[by], prints[by], bucket[by]
+        keys = frame["key"].to_numpy(np.int64)
+        pack = lambda at: packed(keys[lines.doc[at]], lines.doc[at], lines.number[at])
+        rows = [(int(bucket[a]), *pack(line[a:b]), low(prints[a:b], 5)) for a, b in groups(bucket)]
+        if len(twice):
+            rows.append((int(bucket[0]), *pack(twice), None))
+        yield pd.DataFrame(rows, columns=[c.split()[0] for c in HALVES.split(", ")])
+        del lines
+        trim()
+
+
+def _shared(frame: pd.DataFrame, homes: int) -> pd.DataFrame:
+    """All halves of a bucket -> the lines of those that several lines have, packed by home.
+
+    Halves are compared by 40 bits and the bucket; a chance match only sends a line to the second pass.
+    """
+    keys, places, held = [], [], []
+    for row in frame.itertuples():
+        key, place = unpacked(row.keys, row.counts, row.places)
+        if row.prints is None:
+            keys.append(key)
+            places.append(place)
+        else:
+            held.append((key, place, wide(row.prints, 5)))
+    if held:
+        key, place, prints = (np.concatenate([h[k] for h in held]) for k in range(3))
+        order = np.argsort(prints, kind="stable")
+        same = prints[order][1:] == prints[order][:-1]
+        some = order[np.r_[same, False] | np.r_[False, same]]
+        keys.append(key[some])
+        places.append(place[some])
+    return by_home(keys, places, homes)
+
+
+def _send(batches: Iterator[pd.DataFrame], min_words: int, min_chars: int, buckets: int) -> Iterator[pd.DataFrame]:
+    """Lines and their variants go to their buckets. Rows without prints are lines removed already, which go along for the ride."""
+    for frame in bounded(batches, "text", 1_000_000):
         frame = frame.sort_values(["order", "key"], kind="stable").drop_duplicates(["order", "key"])
-        split = [(t or "").split("\n") for t in frame["text"]]
-        words, lens = hashed_words((x for lines in split for x in lines), words_of)
-        count = np.array([len(x) for x in split])
-        doc = np.repeat(np.arange(len(split)), count)
-        number = np.arange(len(doc)) - np.repeat(np.cumsum(count) - count, count)
-        has = lens > 0
-        doc, number, lens = doc[has], number[has], lens[has]
+        lines = Lines(list(frame["text"]), [unplanes(x, "<u4") for x in frame["places"]], min_words, min_chars)
+        lens = lines.lens
         if not len(lens):
             continue
         keys, orders = frame["key"].to_numpy(np.int64), frame["order"].to_numpy(np.int64)
-        full, cut = variants(words, lens, 0)
-        full2, cut2 = variants(words, lens, 1)
+        full, cut = variants(lines.hashes, lens, 0, lines.salt)
+        full2, cut2 = variants(lines.hashes, lens, 1, lines.salt)
         # Later copies of an equal line go here and now; the frame is in order, so the first one is the earliest.
-        _, first = np.unique(full, return_index=True)
+        by = np.lexsort((np.arange(len(full)), full2, full))
         once = np.zeros(len(full), bool)
-        once[first] = True
+        once[by[np.r_[True, (np.diff(full[by]) != 0) | (np.diff(full2[by]) != 0)]]] = True
         line = np.repeat(np.arange(len(lens)), lens)
         place = np.arange(len(line)) - (np.cumsum(lens) - lens)[line]
-        fuzzy = once[line] & (lens[line] >= min_words)
+        fuzzy = (once & lines.fuzzy)[line]
         own = np.flatnonzero(once)
         line = np.concatenate([own, line[fuzzy]])
-        place = np.concatenate([np.where(lens[own] >= min_words, FULL_LONG, FULL), place[fuzzy]])
-        second = np.concatenate([full2[own], cut2[fuzzy]])
-        prints = np.concatenate([full[own], cut[fuzzy]]) >> np.uint64(16) << np.uint64(16) | second & np.uint64(0xFFFF)
-        bucket = ((second >> np.uint64(20)) % np.uint64(buckets)).astype(np.int64)
+        place = np.concatenate([np.where(lines.fuzzy[own], FULL_LONG, FULL), place[fuzzy]])
+        prints, checks = np.concatenate([full[own], cut[fuzzy]]), np.concatenate([full2[own], cut2[fuzzy]])
+        bucket = ((checks >> np.uint64(20)) % np.uint64(buckets)).astype(np.int64)
 
-        def lines_of(lines: np.ndarray) -> tuple[bytes, bytes, bytes]:
-            of = doc[lines]
-            return planes(np.diff(orders[of], prepend=0), "<i8"), planes(keys[of], "<i8"), planes(number[lines], "<u4")
+        def lines_of(at: np.ndarray) -> tuple[bytes, bytes, bytes]:
+            of = lines.doc[at]  # noqa: B023
+            return planes(np.diff(orders[of], prepend=0), "<i8"), planes(keys[of], "<i8"), planes(lines.number[at], "<u4")  # noqa: B023
 
         rows = []
         again = np.flatnonzero(~once)
         if len(again):
             docs_, keys_, numbers_ = lines_of(again)
-            rows.append((int(bucket[0]), docs_, keys_, None, numbers_, None, None))
+            rows.append((int(bucket[0]), docs_, keys_, None, numbers_, None, None, None))
         sent = np.lexsort((line, bucket))
         for a, b in groups(bucket[sent]):
             at = sent[a:b]
-            lines = line[at]
-            begins = np.flatnonzero(np.r_[True, lines[1:] != lines[:-1]])
-            docs_, keys_, numbers_ = lines_of(lines[begins])
-            rows.append((
-                int(bucket[at[0]]), docs_, keys_, planes(np.diff(np.append(begins, len(at))), "<u4"),
-                numbers_, planes(place[at], "<u4"), prints[at].tobytes(),
-            ))
+            of = line[at]
+            begins = np.flatnonzero(np.r_[True, of[1:] != of[:-1]])
+            docs_, keys_, numbers_ = lines_of(of[begins])
+            count = planes(np.diff(np.append(begins, len(at))), "<u4")
+            rows.append((int(bucket[at[0]]), docs_, keys_, count, numbers_, planes(place[at], "<u4"), prints[at].tobytes(), checks[at].tobytes()))
         yield pd.DataFrame(rows, columns=[c.split()[0] for c in SENT.split(", ")])
+    trim()
 
 
-def _settle(frame: pd.DataFrame) -> pd.DataFrame:
-    """All entries of a bucket -> (order, key, lines to remove)."""
+def _settle(frame: pd.DataFrame, homes: int) -> pd.DataFrame:
+    """All entries of a bucket -> the lines to remove, packed by the home of their document."""
 
     def joined(rows: list, name: str, kind: str) -> np.ndarray:
         return np.concatenate([unplanes(getattr(r, name), kind) for r in rows])
@@ -125,100 +222,108 @@ def _settle(frame: pd.DataFrame) -> pd.DataFrame:
         line = np.repeat(np.arange(len(count)), count)
         doc, key, number = documents(rows)
         place = joined(rows, "places", "<u4")
-        prints = np.concatenate([np.frombuffer(r.prints, np.uint64) for r in rows])
+        prints, checks = (np.concatenate([np.frombuffer(getattr(r, c), np.uint64) for r in rows]) for c in ("prints", "checks"))
         # Rank of each line in the order (document, its key, line): equal documents that repeat have equal ranks.
         order = np.lexsort((number, key, doc))
         new = np.r_[True, (np.diff(doc[order]) != 0) | (np.diff(key[order]) != 0) | (np.diff(number[order]) != 0)]
         rank = np.empty(len(doc), np.int64)
         rank[order] = np.cumsum(new)
         gone = np.zeros(len(doc), bool)
-        by = np.lexsort((place, prints))
-        line, place, prints = line[by], place[by], prints[by]
+        by = np.lexsort((place, checks, prints))
+        line, place, prints, checks = line[by], place[by], prints[by], checks[by]
         ranks = rank[line]
-        fresh = np.r_[True, prints[1:] != prints[:-1]]
+        fresh = np.r_[True, (prints[1:] != prints[:-1]) | (checks[1:] != checks[:-1])]
         group = np.cumsum(fresh) - 1
         same = np.cumsum(fresh | np.r_[True, place[1:] != place[:-1]]) - 1
-        # The two kinds of whole lines of equal words differ in no group: equal words are equally many.
+        # The two kinds of whole lines of equal units differ in no group: equal units are equally many.
         earliest = np.minimum.reduceat(ranks, np.flatnonzero(np.r_[True, same[1:] != same[:-1]]))
-        gone[line[ranks > earliest[same]]] = True  # equal lines, or one word replaced
+        gone[line[ranks > earliest[same]]] = True  # equal lines, or one unit replaced
         whole = place >= FULL
         n = group[-1] + 1
         first_whole, first_cut = np.full(n, LAST), np.full(n, LAST)
         long_whole = place == FULL_LONG
         np.minimum.at(first_whole, group[long_whole], ranks[long_whole])
         np.minimum.at(first_cut, group[~whole], ranks[~whole])
-        gone[line[~whole & (ranks > first_whole[group])]] = True  # one word inserted
-        gone[line[long_whole & (ranks > first_cut[group])]] = True  # one word deleted
+        gone[line[~whole & (ranks > first_whole[group])]] = True  # one unit inserted
+        gone[line[long_whole & (ranks > first_cut[group])]] = True  # one unit deleted
         found.append((doc[gone], key[gone], number[gone]))
     doc, key, number = (np.concatenate(x) for x in zip(*found, strict=True))
+    home = key % homes
+    by = np.lexsort((number, key, doc, home))
+    doc, key, number, home = doc[by], key[by], number[by], home[by]
+    out = []
+    for a, b in groups(home):
+        begins = np.flatnonzero(np.r_[True, (np.diff(doc[a:b]) != 0) | (np.diff(key[a:b]) != 0)])
+        count = planes(np.diff(np.append(begins, b - a)), "<u4")
+        out.append((int(home[a]), doc[a:b][begins].tobytes(), key[a:b][begins].tobytes(), count, planes(number[a:b], "<u4")))
+    return pd.DataFrame(out, columns=[c.split()[0] for c in GONE.split(", ")])
+
+
+def _collected(frame: pd.DataFrame) -> pd.DataFrame:
+    """All lines to remove of one home -> one row for each document."""
+    count = np.concatenate([unplanes(x, "<u4") for x in frame["counts"]])
+    doc, key = (np.repeat(np.concatenate([np.frombuffer(x, np.int64) for x in frame[c]]), count) for c in ("docs", "keys"))
+    number = np.concatenate([unplanes(x, "<u4") for x in frame["lines"]])
     by = np.lexsort((number, key, doc))
     doc, key, number = doc[by], key[by], number[by]
-    cut = np.cumsum(np.r_[True, (doc[1:] != doc[:-1]) | (key[1:] != key[:-1])][: len(doc)])
+    cut = np.cumsum(np.r_[True, (np.diff(doc) != 0) | (np.diff(key) != 0)][: len(doc)])
     return pd.DataFrame([(int(doc[a]), int(key[a]), planes(np.unique(number[a:b]), "<u4")) for a, b in groups(cut)], columns=["order", "key", "lines"])
 
 
 def _keyed(docs: DataFrame) -> DataFrame:
-    """guarded(docs) with order, doc_id (null: the greatest long), and key, which tells documents of one order apart.
-
-    key is xxhash64(doc_id, text) where several rows have the order. Elsewhere it is 0, which vanishes in the
-    shuffle. With too many orders of several rows for a broadcast, every row has its hash.
-    """
-    rows = guarded(docs, "text", F.xxhash64("doc_id", "text").alias("hash"), F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST)).alias("order"))
-    several = written(rows.groupBy("order").agg(F.count(F.lit(1)).alias("c")).where("c > 1").select("order", F.lit(True).alias("several")), "several")
-    if several.count() > BROADCAST_ORDERS:
-        return rows.withColumnRenamed("hash", "key")
-    return rows.join(F.broadcast(several), "order", "left").withColumn("key", F.when(F.col("several"), F.col("hash")).otherwise(F.lit(0).cast("long"))).drop("hash", "several")
+    """guarded(docs) with order, doc_id (null: the greatest long), and key, a hash of id and text; both name a document."""
+    return guarded(docs, "text", F.xxhash64("doc_id", "text").alias("key"), F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST)).alias("order"))
 
 
-def removed_lines(keyed: DataFrame, min_words: int = 8) -> DataFrame:
-    """(order, key, lists): for each document of _keyed() that loses lines, lists of their numbers from 0."""
+def removed_lines(keyed: DataFrame, min_words: int = 8, min_chars: int = 16) -> DataFrame:
+    """(order, key, lines): for each document of _keyed() that loses lines, their numbers from 0 as planes of "<u4"."""
     small_batches(keyed.sparkSession)
-    buckets = 4 * partitions(keyed.sparkSession)
-    sent = keyed.select("key", "order", "text").mapInPandas(lambda it: _send(it, min_words, buckets), SENT)
-    settled = sent.groupBy("bucket").applyInPandas(_settle, "order long, key long, lines binary")
-    return settled.groupBy("order", "key").agg(F.collect_list("lines").alias("lists"))
-
-
-def _numbers(lists) -> np.ndarray:
-    return np.unique(np.concatenate([unplanes(x, "<u4") for x in lists])) if lists is not None and len(lists) else np.zeros(0, np.int64)
+    homes, buckets = partitions(keyed.sparkSession), blocks_of(keyed, BUCKET_CHARS)
+    halves = keyed.select("key", "text").mapInPandas(lambda it: _halves(it, min_words, min_chars, buckets), HALVES)
+    shared = halves.groupBy("bucket").applyInPandas(lambda f: _shared(f, homes), HOMED).groupBy("home").applyInPandas(gathered, "key long, places binary")
+    some = keyed.select("key", "order", "text").join(shared.hint("shuffle_hash"), "key")
+    sent = some.mapInPandas(lambda it: _send(it, min_words, min_chars, 4 * buckets), SENT)
+    settled = sent.groupBy("bucket").applyInPandas(lambda f: _settle(f, homes), GONE)
+    return written(settled.groupBy("home").applyInPandas(_collected, "order long, key long, lines binary"), "lines")
 
 
 def _strip(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for frame in batches:
         texts = []
-        for text, lists in zip(frame["text"], frame["lists"], strict=True):
-            gone = set(_numbers(lists).tolist())
+        for text, lines in zip(frame.pop("text"), frame.pop("lines"), strict=True):
+            gone = set(() if lines is None else unplanes(lines, "<u4").tolist())
             texts.append(text if not gone else "\n".join(x for k, x in enumerate(text.split("\n")) if k not in gone))
-        yield frame.drop(columns=["lists"]).assign(text=texts)
+        yield frame.assign(text=texts)
 
 
-def line_dedup(docs: DataFrame, min_words: int = 8) -> DataFrame:
+def line_dedup(docs: DataFrame, min_words: int = 8, min_chars: int = 16) -> DataFrame:
     """docs(doc_id, text) without each line that has an earlier near line.
 
     Lines are \\n-split; a line without a word ([^\\x20\\x09-\\x0D]+) always stays. The order is doc_id (null
-    last), then the document's hash, then the line number. A line goes if any earlier line of the table is
-    within one word of it (both of at least min_words words) or has the same words. A null text stays null.
-    Rows that repeat (equal id and text) count as one document and lose the same lines. Further columns are
-    ignored; an empty table gives an empty result.
+    last), then the document's hash, then the line number. A line goes if any earlier line of the table has the
+    same words, or is within one word of it (both of at least min_words words) or within one character (both
+    of fewer words, and of at least min_chars characters when their words are joined by one space). A null
+    text stays null. Rows that repeat (equal id and text) count as one document and lose the same lines.
+    Further columns are ignored; an empty table gives an empty result.
     """
     keyed = _keyed(docs)
-    joined = keyed.join(removed_lines(keyed, min_words).hint("shuffle_hash"), ["order", "key"], "left").select("doc_id", "no_id", "text", "lists")
+    joined = keyed.join(removed_lines(keyed, min_words, min_chars).hint("shuffle_hash"), ["order", "key"], "left").select("doc_id", "no_id", "text", "lines")
     return restored(joined.mapInPandas(_strip, "doc_id long, no_id boolean, text string"))
 
 
 def _tally(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for frame in batches:
-        numbers = [_numbers(x) for x in frame["lists"]]
+        numbers = [np.zeros(0, np.int64) if x is None else unplanes(x, "<u4") for x in frame["lines"]]
         yield pd.DataFrame({
             "doc_id": frame["doc_id"], "no_id": frame["no_id"], "n_lines": frame["n_lines"], "n_removed": [len(x) for x in numbers],
             "removed_sha256": [hashlib.sha256(",".join(map(str, x.tolist())).encode()).hexdigest() for x in numbers],
         })
 
 
-def line_dedup_report(docs: DataFrame, min_words: int = 8) -> DataFrame:
+def line_dedup_report(docs: DataFrame, min_words: int = 8, min_chars: int = 16) -> DataFrame:
     """doc_id, n_lines (with a word), n_removed and removed_sha256 (of the comma-joined numbers of the removed lines)."""
     lines = F.expr(r"size(filter(split(coalesce(text, ''), '\n'), x -> x rlike '[^\\x20\\x09-\\x0D]'))").cast("long")
     keyed = _keyed(docs)
     counted = keyed.select("doc_id", "no_id", "order", "key", lines.alias("n_lines"))
-    joined = counted.join(removed_lines(keyed, min_words).hint("shuffle_hash"), ["order", "key"], "left").select("doc_id", "no_id", "n_lines", "lists")
+    joined = counted.join(removed_lines(keyed, min_words, min_chars).hint("shuffle_hash"), ["order", "key"], "left").select("doc_id", "no_id", "n_lines", "lines")
     return restored(joined.mapInPandas(_tally, "doc_id long, no_id boolean, n_lines long, n_removed long, removed_sha256 string"))

@@ -1,10 +1,13 @@
 """Substring dedup over a log-structured index of window hashes.
 
 A window is `width` successive words. Every batch of documents becomes sorted immutable runs of window
-hashes, one run per bucket. In a bucket, each run is merge-joined with the runs before it; a hash met
-again is verified with an independent check hash and noted; the run is then added and runs of similar
+hashes, one run per bucket. In a bucket, each run is merge-joined with the runs before it by the hash; what it
+finds is verified by the check, bits of an independent hash, and noted; the run is then added and runs of similar
 size are compacted into one, so that a bucket keeps a logarithmic number of runs. An index that is kept
-on disk takes part as the oldest run, which makes the operator incremental.
+on disk takes part as the oldest runs, which makes the operator incremental.
+
+Windows are equal here if 48 bits of one hash and 24 of another are, and further bits of the second one, which
+choose the bucket: 78 bits with 64 buckets, 92 with a million.
 
 A window that repeats inside one batch is sent once, so a passage that a third of all documents share
 costs a bucket one entry for each batch and never one for each document.
@@ -15,7 +18,6 @@ from __future__ import annotations
 import hashlib
 import uuid
 from collections.abc import Iterator
-from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -23,61 +25,77 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import bounded, covered, groups, guarded, hashed_words, partitions, planes, restored, small_batches, unplanes, window_hashes, window_starts, words_of, written
+from .common import (
+    HOMED, blocks_of, bounded, by_home, covered, gathered, groups, guarded, hashed_words, low, packed, partitions, removed, restored, small_batches, trim, unpacked, unplanes, wide, window_hashes, window_starts, words_of,
+)
+
+RUN = "bucket int, keys binary, counts binary, places binary, prints binary, checks binary"
+INDEX = "bucket int, prints binary, checks binary"
+#: Characters of text for each bucket.
+BUCKET_CHARS = 16_000_000
+
+
+class Run:
+    """Hashes in order, each with its check."""
+
+    def __init__(self, prints: np.ndarray, checks: np.ndarray) -> None:
+        order = np.lexsort((checks, prints))
+        self.prints, self.checks = prints[order], checks[order]
+
+    def __len__(self) -> int:
+        return len(self.prints)
+
+    @classmethod
+    def read(cls, prints: bytes, checks: bytes) -> Run:
+        return cls(wide(prints, 6), wide(checks, 3))
 
-RUN = "bucket int, keys binary, counts binary, places binary, prints binary"
-CHECK = np.uint64(16)
+    def bytes(self) -> tuple[bytes, bytes]:
+        return low(self.prints, 6), low(self.checks, 3)
+
+    def part(self, which: np.ndarray) -> Run:
+        return Run(self.prints[which], self.checks[which])
+
+    def found(self, prints: np.ndarray, checks: np.ndarray) -> np.ndarray:
+        """Which of some windows the run has: met by the hash, verified by the check of each entry with that hash."""
+        at, end = (np.searchsorted(self.prints, prints, side) for side in ("left", "right"))
+        out = np.zeros(len(prints), bool)
+        live = np.flatnonzero(at < end)
+        while len(live):
+            out[live] |= self.checks[at[live]] == checks[live]
+            at[live] += 1
+            live = live[at[live] < end[live]]
+        return out
 
 
 class RunIndex:
-    """Sorted immutable runs of prints. add() merge-joins a new run with the held ones, then appends it."""
+    """Sorted immutable runs. add() merge-joins a new run with the held ones, then appends it."""
 
     def __init__(self) -> None:
-        self.runs: list[np.ndarray] = []
-        self.repeated: list[np.ndarray] = []
-
-    @staticmethod
-    def merge_join(run: np.ndarray, held: np.ndarray) -> np.ndarray:
-        """Which prints of the run the held one has too: found by the hash in front, verified by the check behind it."""
-        if not len(held):
-            return np.zeros(len(run), bool)
-        at = np.minimum(np.searchsorted(held, run), len(held) - 1)
-        found = held[at] >> CHECK == run >> CHECK
-        return found & (held[at] == run)
-
-    def add(self, run: np.ndarray) -> None:
-        run = np.sort(run)
+        self.runs: list[Run] = []
+        self.repeated: list[Run] = []
+
+    def add(self, run: Run) -> None:
         known = np.zeros(len(run), bool)
         for held in self.runs:
-            known |= self.merge_join(run, held)
+            known |= held.found(run.prints, run.checks)
         if known.any():
-            self.repeated.append(run[known])
-        self.runs.append(run[~known])
+            self.repeated.append(run.part(known))
+        self.runs.append(run.part(~known))
         while len(self.runs) > 1 and 2 * len(self.runs[-1]) >= len(self.runs[-2]):
             self.compact(2)
 
     def compact(self, n: int) -> None:
         """The last n runs become one."""
-        self.runs[-n:] = [np.sort(np.concatenate(self.runs[-n:]), kind="stable")]
+        if n > 1:
+            self.runs[-n:] = [joined(self.runs[-n:])]
 
-    def repeats(self) -> np.ndarray:
-        return np.unique(np.concatenate(self.repeated)) if self.repeated else np.zeros(0, np.uint64)
+    def repeats(self) -> Run:
+        return joined(self.repeated)
 
 
-def _packed(key: np.ndarray, owner: np.ndarray, place: np.ndarray) -> tuple[bytes, bytes, bytes]:
-    """Places by owner (both in order), with the owner's key: the keys, how many places each has, and the steps between its places."""
-    begins = np.flatnonzero(np.r_[True, owner[1:] != owner[:-1]])
-    step = np.diff(place, prepend=0)
-    step[begins] = place[begins]
-    return key[begins].tobytes(), planes(np.diff(np.append(begins, len(owner))), "<u4"), planes(step, "<u4")
-
-
-def _unpacked(keys: bytes, counts: bytes, places: bytes) -> tuple[np.ndarray, np.ndarray]:
-    """(key, place) of each entry."""
-    count = unplanes(counts, "<u4").astype(np.int64)
-    sums = np.cumsum(unplanes(places, "<u4").astype(np.int64))
-    first = np.cumsum(count) - count
-    return np.repeat(np.frombuffer(keys, np.int64), count), sums - np.repeat(np.where(first > 0, sums[first - 1], 0), count)
+def joined(runs: list[Run]) -> Run:
+    empty = np.zeros(0, np.uint64)
+    return Run(np.concatenate([empty, *(r.prints for r in runs)]), np.concatenate([empty, *(r.checks for r in runs)]))
 
 
 def _runs(batches: Iterator[pd.DataFrame], width: int, buckets: int) -> Iterator[pd.DataFrame]:
@@ -87,14 +105,15 @@ def _runs(batches: Iterator[pd.DataFrame], width: int, buckets: int) -> Iterator
         start, text = window_starts(lens, width)
         if not len(start):
             continue
-        prints, second = window_hashes(words, width)[start], window_hashes(words, width, 1)[start]
-        prints = prints >> CHECK << CHECK | second & np.uint64(0xFFFF)
-        bucket = ((second >> np.uint64(20)) % np.uint64(buckets)).astype(np.int64)
+        prints, second = window_hashes(words, width)[start] >> np.uint64(16), window_hashes(words, width, 1)[start]
+        checks = second & np.uint64(0xFFFFFF)
+        bucket = ((second >> np.uint64(24)) % np.uint64(buckets)).astype(np.int64)
         place = start - (np.cumsum(lens) - lens)[text]
         keys = frame["key"].to_numpy(np.int64)
-        order = np.argsort(prints, kind="stable")
+        # 72 bits in one order: the hash, then the check among windows of an equal hash (rarely more than one).
+        order = np.argsort(prints << np.uint64(16) | checks >> np.uint64(8), kind="stable")
         same = np.zeros(len(prints), bool)
-        same[1:] = prints[order][1:] == prints[order][:-1]
+        same[1:] = (prints[order][1:] == prints[order][:-1]) & (checks[order][1:] == checks[order][:-1])
         first, twice = np.empty(len(prints), bool), np.empty(len(prints), bool)
         first[order] = ~same
         twice[order] = same | np.append(same[1:], False)
@@ -105,9 +124,9 @@ def _runs(batches: Iterator[pd.DataFrame], width: int, buckets: int) -> Iterator
         rows = []
         for a, b in groups(bucket[sent]):
             at = sent[a:b]
-            rows.append((int(bucket[at[0]]), *_packed(keys[text[at]], text[at], place[at]), prints[at].tobytes()))
+            rows.append((int(bucket[at[0]]), *packed(keys[text[at]], text[at], place[at]), low(prints[at], 6), low(checks[at], 3)))
         if len(settled):
-            rows.append((int(bucket[settled[0]]), *_packed(keys[text[settled]], text[settled], place[settled]), None))
+            rows.append((int(bucket[settled[0]]), *packed(keys[text[settled]], text[settled], place[settled]), None, None))
         yield pd.DataFrame(rows, columns=[c.split()[0] for c in RUN.split(", ")])
 
 
@@ -117,37 +136,24 @@ def _probe(frame: pd.DataFrame, homes: int) -> pd.DataFrame:
     held = []
     for row in frame.itertuples():
         if row.prints is None:
-            key, place = _unpacked(row.keys, row.counts, row.places)
+            key, place = unpacked(row.keys, row.counts, row.places)
             keys.append(key)
             places.append(place)
         else:
-            prints = np.frombuffer(row.prints, np.uint64)
-            index.add(prints)
+            index.add(Run.read(row.prints, row.checks))
             if row.keys:
-                held.append((row, prints))
+                held.append(row)
     repeated = index.repeats()
-    for row, prints in held if len(repeated) else ():
-        hit = RunIndex.merge_join(prints, repeated)
+    del index
+    for row in held if len(repeated) else ():
+        hit = repeated.found(wide(row.prints, 6), wide(row.checks, 3))
         if hit.any():
-            key, place = _unpacked(row.keys, row.counts, row.places)
+            key, place = unpacked(row.keys, row.counts, row.places)
             keys.append(key[hit])
             places.append(place[hit])
-    names = ["home", "keys", "counts", "places"]
-    if not keys:
-        return pd.DataFrame([], columns=names)
-    key, place = np.concatenate(keys), np.concatenate(places)
-    order = np.lexsort((place, key, key % homes))
-    key, place = key[order], place[order]
-    return pd.DataFrame([(int(key[a] % homes), *_packed(key[a:b], key[a:b], place[a:b])) for a, b in groups(key % homes)], columns=names)
-
-
-def _gathered(frame: pd.DataFrame) -> pd.DataFrame:
-    """All marks of one home -> one row for each document."""
-    pairs = [_unpacked(r.keys, r.counts, r.places) for r in frame.itertuples()]
-    key, place = np.concatenate([k for k, _ in pairs]), np.concatenate([p for _, p in pairs])
-    order = np.lexsort((place, key))
-    key, place = key[order], place[order]
-    return pd.DataFrame([(int(key[a]), planes(np.unique(place[a:b]), "<u4")) for a, b in groups(key)], columns=["key", "places"])
+    out = by_home(keys, places, homes)
+    trim()
+    return out
 
 
 def _cut(batches: Iterator[pd.DataFrame], width: int, with_text: bool) -> Iterator[pd.DataFrame]:
@@ -174,64 +180,80 @@ def _dealt(docs: DataFrame, width: int, buckets: int) -> DataFrame:
     return _keyed(docs).select("key", "text").mapInPandas(lambda it: _runs(it, width, buckets), RUN)
 
 
-def _counts(index: DataFrame) -> list[int]:
-    """The bucket counts that the index was written with: one, unless its runs are older than this rule."""
-    return sorted(r.buckets for r in index.select("buckets").distinct().collect())
-
-
 def repeated_windows(docs: DataFrame, width: int = 35, index: DataFrame | None = None) -> DataFrame:
     """(key, places) of all windows of docs(doc_id, text) that also start elsewhere, or that `index` holds.
 
     key is xxhash64(doc_id, text) and has one row; places are the window's starts, by byte planes of "<u4".
-    index: rows of update_index(). A print does not tell its bucket, so the windows are dealt by each bucket
-    count that the index has; update_index() keeps to one.
+    index: read_index(); an empty one is as none.
     """
     small_batches(docs.sparkSession)
     homes = partitions(docs.sparkSession)
-    if index is None:
-        dealt = _dealt(docs, width, homes).groupBy("bucket")
+    held = index.first() if index is not None else None
+    if held is None:
+        runs = _dealt(docs, width, blocks_of(docs, BUCKET_CHARS))
     else:
-        each = [_dealt(docs, width, n).withColumn("buckets", F.lit(n)) for n in _counts(index) or [homes]]
-        runs = reduce(DataFrame.unionByName, each).unionByName(index.select("bucket", "prints", "buckets"), allowMissingColumns=True)
-        dealt = runs.groupBy("buckets", "bucket")
-    marks = dealt.applyInPandas(lambda f: _probe(f, homes), "home int, keys binary, counts binary, places binary")
-    return marks.groupBy("home").applyInPandas(_gathered, "key long, places binary")
-
+        runs = _dealt(docs, width, held.buckets).unionByName(index.select("bucket", "prints", "checks"), allowMissingColumns=True)
+    marks = runs.groupBy("bucket").applyInPandas(lambda f: _probe(f, homes), HOMED)
+    return marks.groupBy("home").applyInPandas(gathered, "key long, places binary")
 
-def update_index(docs: DataFrame, path: str, width: int = 35, keep_runs: int = 8) -> None:
-    """Appends the batch's runs to the index at path; with more than keep_runs batches, all are compacted into one.
 
-    The first batch settles the number of buckets (the session's shuffle partitions); later ones keep to it.
-    """
-    spark = docs.sparkSession
-    small_batches(spark)
+def _manifest(spark: SparkSession, path: str) -> tuple[int, int, list[str]]:
+    """(version, buckets, folders of the live runs) of the index at path; version 0: there is none."""
     try:
-        held = _counts(read_index(spark, path))
+        rows = spark.read.schema("buckets int, run string, version int").parquet(f"{path}/manifest")
     except AnalysisException as e:
         if e.getCondition() != "PATH_NOT_FOUND":
             raise
-        held = []
-    buckets = held[-1] if held else partitions(spark)
-    runs = _dealt(docs, width, buckets).where("prints is not null").withColumn("buckets", F.lit(buckets))
+        return 0, 0, []
+    last = rows.agg(F.max("version")).first()[0]
+    live = rows.where(F.col("version") == F.lit(last)).collect()  # at most keep_runs + 1 names
+    return (last, live[0].buckets, sorted(r.run for r in live)) if live else (0, 0, [])
+
+
+def update_index(docs: DataFrame, path: str, width: int = 35, keep_runs: int = 8, buckets: int | None = None) -> None:
+    """Adds the batch's runs to the index at path; with more than keep_runs batches, all are compacted into one.
+
+    The first batch settles the number of buckets (given, or by its text); later ones keep to it, whatever the
+    session's partitions. Runs are never changed: new ones are written beside the old ones, then a new version
+    of the manifest names the live ones, then replaced runs are deleted. A job that is lost on the way leaves
+    the last version as it was. One writer at a time.
+    """
+    spark = docs.sparkSession
+    small_batches(spark)
+    version, held, live = _manifest(spark, path)
+    buckets = held or buckets or blocks_of(docs, BUCKET_CHARS)
 
     def merged(frame: pd.DataFrame) -> pd.DataFrame:
         index = RunIndex()
-        for prints in frame["prints"]:
-            index.add(np.frombuffer(prints, np.uint64))
+        for row in frame.itertuples():
+            index.add(Run.read(row.prints, row.checks))
         index.compact(len(index.runs))
-        return pd.DataFrame({"bucket": [int(frame["bucket"].iloc[0])], "prints": [index.runs[0].tobytes()], "buckets": [int(frame["buckets"].iloc[0])]})
+        prints, checks = index.runs[0].bytes()
+        return pd.DataFrame({"bucket": [int(frame["bucket"].iloc[0])], "prints": [prints], "checks": [checks]})
 
-    def put(df: DataFrame, mode: str) -> None:
-        stamped = df.groupBy("buckets", "bucket").applyInPandas(merged, "bucket int, prints binary, buckets int").withColumn("batch", F.lit(uuid.uuid4().hex))
-        stamped.write.mode(mode).parquet(path)
+    def put(runs: DataFrame) -> str:
+        name = uuid.uuid4().hex
+        runs.select("bucket", "prints", "checks").groupBy("bucket").applyInPandas(merged, INDEX).write.parquet(f"{path}/runs/{name}")
+        return name
 
-    put(runs.select("bucket", "prints", "buckets"), "append")
-    if read_index(spark, path).select("batch").distinct().count() > keep_runs:
-        put(written(read_index(spark, path).select("bucket", "prints", "buckets"), "compact"), "overwrite")
+    live, old = [*live, put(_dealt(docs, width, buckets).where("prints is not null"))], []
+    if len(live) > keep_runs:
+        live, old = [put(spark.read.schema(INDEX).parquet(*(f"{path}/runs/{x}" for x in live)))], live
+    spark.createDataFrame([(buckets, x) for x in live], "buckets int, run string").coalesce(1).write.parquet(f"{path}/manifest/version={version + 1}")
+    for name in old:
+        removed(spark, f"{path}/runs/{name}")
 
 
 def read_index(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.parquet(path)
+    """(bucket, prints, checks, buckets, run) of the live runs; empty where there is no index."""
+    _, buckets, live = _manifest(spark, path)
+    if not live:
+        return spark.createDataFrame([], f"{INDEX}, buckets int, run string")
+    parts = [spark.read.schema(INDEX).parquet(f"{path}/runs/{x}").withColumns({"buckets": F.lit(buckets), "run": F.lit(x)}) for x in live]
+    out = parts[0]
+    for part in parts[1:]:
+        out = out.unionByName(part)
+    return out
 
 
 def substring_dedup(docs: DataFrame, width: int = 35, index: DataFrame | None = None, with_text: bool = True) -> DataFrame:
