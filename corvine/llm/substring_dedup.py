@@ -39,31 +39,37 @@ class Run:
     """Hashes in order, each with its check."""
 
     def __init__(self, prints: np.ndarray, checks: np.ndarray) -> None:
-        order = np.lexsort((checks, prints))
-        self.prints, self.checks = prints[order], checks[order]
+        self.prints, self.checks = prints, checks
 
     def __len__(self) -> int:
         return len(self.prints)
 
+    @classmethod
+    def sorted(cls, prints: np.ndarray, checks: np.ndarray) -> Run:
+        order = np.argsort(prints)
+        return cls(prints[order], checks[order])
+
     @classmethod
     def read(cls, prints: bytes, checks: bytes) -> Run:
-        return cls(wide(prints, 6), wide(checks, 3))
+        return cls.sorted(wide(prints, 6), wide(checks, 3).astype(np.uint32))
 
     def bytes(self) -> tuple[bytes, bytes]:
-        return low(self.prints, 6), low(self.checks, 3)
+        return low(self.prints, 6), low(self.checks.astype(np.uint64), 3)
 
     def part(self, which: np.ndarray) -> Run:
         return Run(self.prints[which], self.checks[which])
 
     def found(self, prints: np.ndarray, checks: np.ndarray) -> np.ndarray:
         """Which of some windows the run has: met by the hash, verified by the check of each entry with that hash."""
-        at, end = (np.searchsorted(self.prints, prints, side) for side in ("left", "right"))
         out = np.zeros(len(prints), bool)
-        live = np.flatnonzero(at < end)
+        at = np.searchsorted(self.prints, prints)
+        live = np.flatnonzero(at < len(self))
+        live = live[self.prints[at[live]] == prints[live]]
         while len(live):
             out[live] |= self.checks[at[live]] == checks[live]
             at[live] += 1
-            live = live[at[live] < end[live]]
+            live = live[at[live] < len(self)]
+            live = live[self.prints[at[live]] == prints[live]]
         return out
 
 
@@ -94,8 +100,9 @@ class RunIndex:
 
 
 def joined(runs: list[Run]) -> Run:
-    empty = np.zeros(0, np.uint64)
-    return Run(np.concatenate([empty, *(r.prints for r in runs)]), np.concatenate([empty, *(r.checks for r in runs)]))
+    prints, checks = np.concatenate([np.zeros(0, np.uint64), *(r.prints for r in runs)]), np.concatenate([np.zeros(0, np.uint32), *(r.checks for r in runs)])
+    order = np.argsort(prints, kind="stable")  # merges what is in order already
+    return Run(prints[order], checks[order])
 
 
 def _runs(batches: Iterator[pd.DataFrame], width: int, buckets: int) -> Iterator[pd.DataFrame]:
@@ -146,7 +153,7 @@ def _probe(frame: pd.DataFrame, homes: int) -> pd.DataFrame:
     repeated = index.repeats()
     del index
     for row in held if len(repeated) else ():
-        hit = repeated.found(wide(row.prints, 6), wide(row.checks, 3))
+        hit = repeated.found(wide(row.prints, 6), wide(row.checks, 3).astype(np.uint32))
         if hit.any():
             key, place = unpacked(row.keys, row.counts, row.places)
             keys.append(key[hit])

@@ -136,9 +136,9 @@ def test_substring_verified():
 
     u = lambda *x: np.array(x, np.uint64)
     index = RunIndex()
-    index.add(Run(u(5, 5, 9), u(1, 2, 1)))
-    index.add(Run(u(5, 5, 9, 9), u(2, 3, 1, 4)))
-    index.add(Run(u(7, 5), u(1, 3)))
+    index.add(Run.sorted(u(9, 5, 5), u(1, 1, 2)))
+    index.add(Run.sorted(u(5, 5, 9, 9), u(2, 3, 1, 4)))
+    index.add(Run.sorted(u(7, 5), u(1, 3)))
     again = index.repeats()
     assert sorted(zip(again.prints.tolist(), again.checks.tolist())) == [(5, 2), (5, 3), (9, 1)]
 
