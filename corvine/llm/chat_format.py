@@ -72,9 +72,13 @@ class PartVisitor:
     def visit(self, parts: list[dict]) -> Flattened:
         out = Flattened()
         for part in parts:
-            getattr(self, f"visit_{part.get('type') or 'text'}", self.visit_text)(part, out)
+            self.method(part)(part, out)
         return out
 
+    def method(self, part: dict) -> Callable[[dict, Flattened], None]:
+        """What visits a part: that of its type, or of texts where the type is null or unknown."""
+        return getattr(self, f"visit_{part.get('type') or 'text'}", self.visit_text)
+
     def visit_text(self, part: dict, out: Flattened) -> None:
         text = part.get("text") or ""
         out.pieces.append(escape(text))
@@ -99,11 +103,13 @@ class PartVisitor:
 def format_turn(role: str | None, parts: list[dict], visitor: PartVisitor) -> tuple[str, int, int, Flattened]:
     """The turn's string, the span of it that is learned from (empty if not the assistant's), and what was flattened.
 
-    Two text parts that meet are escaped as one, so that no `<|` forms between them.
+    Parts that meet and are visited as text (of type text, null or unknown) are escaped as one, so that no `<|`
+    forms between them.
     """
     joined: list[dict] = []
+    as_text = lambda part: visitor.method(part) == visitor.visit_text
     for part in parts:
-        if (part.get("type") or "text") == "text" and joined and (joined[-1].get("type") or "text") == "text":
+        if as_text(part) and joined and as_text(joined[-1]):
             joined[-1] = {"type": "text", "text": (joined[-1].get("text") or "") + (part.get("text") or "")}
         else:
             joined.append(part)
@@ -127,7 +133,7 @@ def formatted(turns: DataFrame, count: Callable[[str], int] | None = None) -> Da
 
     Returns conv_id, turn, role, text, piece, loss_start, loss_end (code points of the piece), attachments
     (number in the turn, kind, ref, tokens) and tokens. With a column `parts` (array of PART) the text is
-    ignored. A null text or parts is an empty message, a null role an empty one; null ids and turns stay null.
+    ignored; a part of an unknown or null type is a text. A null text or parts is an empty message, a null role an empty one; null ids and turns stay null.
     Rows that repeat are turns of their own; further columns are ignored; an empty table gives an empty result.
     A conversation is the concatenation of its pieces by turn (ties by role, then text; null turn first).
     """
