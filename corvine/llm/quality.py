@@ -3,7 +3,7 @@
 The verdict compares two histograms of a document with those of each language: classes of characters, and
 the common words of the language (all other words as one class). A language's reference is the sum over all
 its documents. The distance is that of Jensen-Shannon (the root of the divergence to base 2, from 0 to 1);
-the nearest language counts, and either histogram above its limit rejects. Documents too short for a
+the nearest language by both together counts, and either histogram above its limit rejects. Documents too short for a
 histogram to mean anything are not judged by it.
 """
 
@@ -124,19 +124,21 @@ class References:
         self.classes[:, CONTINUED] = 0
         self.words = []
         for row in words:
-            best = np.sort(np.argsort(-row[:OTHER], kind="stable")[:top])
+            best = np.argsort(-row[:OTHER], kind="stable")[:top]
+            best = np.sort(best[row[best] > 0])
             self.words.append((best, np.r_[row[best], row.sum() - row[best].sum()]))
 
     def distances(self, classes: np.ndarray, words: np.ndarray) -> tuple[float, float]:
-        """To the nearest language, each by itself; 0 where the document is too short, or no language is known."""
+        """To the language that is nearest by the sum of both (ties: the first by name); 0 where the document is too short, or no language is known."""
         classes = classes.copy()
         classes[CONTINUED] = 0
-        far = near = 0.0
+        far, near = np.zeros(max(1, len(self.langs))), np.zeros(max(1, len(self.langs)))
         if self.langs and classes.sum() >= GUARD_CHARS:
-            far = float(jensen_shannon(classes, self.classes).min())
+            far = jensen_shannon(classes, self.classes)
         if self.langs and words.sum() >= GUARD_WORDS:
-            near = min(float(jensen_shannon(np.r_[words[best], words.sum() - words[best].sum()], row[None])[0]) for best, row in self.words)
-        return far, near
+            near = np.array([jensen_shannon(np.r_[words[best], words.sum() - words[best].sum()], row[None])[0] for best, row in self.words])
+        best = int(np.argmin(far + near))
+        return float(far[best]), float(near[best])
 
 
 def references(docs: DataFrame) -> References:
@@ -175,7 +177,7 @@ def quality(docs: DataFrame, known: References | None = None) -> DataFrame:
 
     n_words: words [^\\x20\\x09-\\x0D]+; word_chars: code points in them; n_symbols: characters of [#*$%&|<>];
     n_dup_lines: lines with a word, equal to an earlier line of the text; n_repeat_words: words in 5-word
-    windows that the text has twice or more; class_distance and word_distance: 0 where the text is too short;
+    windows that the text has twice or more; class_distance and word_distance to one language, the nearest: 0 where the text is too short;
     base_failed: n_words < 10, or 100 * n_repeat_words > 20 * n_words; kept: neither that nor a distance above
     its limit. A null text counts as empty (and fails). Rows with a null lang or text add nothing to the
     references; without any reference only the base rules hold. Repeated rows and null ids are judged like
