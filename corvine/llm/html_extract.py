@@ -1,12 +1,15 @@
 """Main-text extraction by composite text density (Sun, Song and Liao, "DOM based content extraction via text density", 2011).
 
-The page is parsed into a tree. Nodes that by tag or by class, id or role are menus, headers, footers,
-sidebars, notices, adverts, forms, scripts, styles or reader comments carry no text. For every other node,
-the composite text density is its characters for each tag, adjusted by the characters and tags of links
-within it; its density sum is the sum over its children. The node of greatest density sum is the core of
-the article. The least density on its path up to the body is the threshold: the nodes of the path, and what
-hangs on them with at least that density, belong to the article too, up to the nearest article or main
-element if the core lies in one.
+The page is parsed into a tree. Menus, footers, sidebars, forms, scripts, styles and the like carry no text by
+their tag or role. Classes and ids are only a prior: they may name a notice, an advert or reader comments, but
+also a wrapper around everything, so a named node counts unless it holds the article (see _settle_priors).
+
+For every node that is left, the composite text density is its characters for each tag, adjusted by the
+characters and tags of links within it; its density sum is the sum over its children. The node of greatest
+density sum is the core of the article. The least density on its path up to the body is the threshold: the
+nodes of the path, and what hangs on them with at least that density, belong to the article too, up to the
+nearest article or main element if the core lies in one. Within the core, blocks that are mostly links and
+below the threshold do not.
 """
 
 from __future__ import annotations
@@ -36,36 +39,39 @@ SCOPES = frozenset("button caption table td th html body object template".split(
 LEAVES = HEADINGS | frozenset("p pre li dt dd td th figcaption caption summary address".split())
 NOT_TEXT = RAW | frozenset("head nav header footer aside form button input select option menu dialog object embed applet canvas audio video map".split())
 ROLES = frozenset("navigation banner contentinfo complementary search form dialog alertdialog alert menu menubar toolbar".split())
-NOT_MAIN = re.compile(
-    r"(?:^|[\s_-])(?:ad|ads|adv|advert|adverts|advertisement|advertising|adsense|banner|sponsor|sponsored|promo|promotion|nav|navbar|navigation|menu|menubar|breadcrumb|breadcrumbs|header|masthead|footer|sidebar|side|aside|widget"
-    r"|related|recommended|share|sharing|social|cookie|cookies|consent|gdpr|notice|notices|notification|popup|modal|overlay|newsletter|subscribe|signup|login|search|form|comment|comments|commentlist|disqus|respond|replies|reply|pagination|pager|skip|toolbar|copyright)(?:$|[\s_-])",
-    re.I,
-)
+NAMES = (
+    "ad ads adv advert adverts advertisement advertising adsense banner sponsor sponsored promo promotion nav navbar navigation menu menubar breadcrumb breadcrumbs header masthead footer sidebar side aside widget"
+    " related recommended share sharing social cookie cookies consent gdpr notice notices notification popup modal overlay newsletter subscribe signup login search form comment comments commentlist disqus respond replies"
+    " reply pagination pager skip toolbar copyright"
+).split()
+#: A class or id that begins with such a name says what the node is; one that has it further on may be a wrapper's or a title's.
+STRONG = re.compile(rf"(?:^|\s)(?:{'|'.join(NAMES)})(?:$|[\s_-])", re.I)
+WEAK = re.compile(rf"[_-](?:{'|'.join(NAMES)})(?:$|[\s_-])", re.I)
 SAME = {"li": ({"li"}, {"ul", "ol", "menu"}), "dt": ({"dt", "dd"}, {"dl"}), "dd": ({"dt", "dd"}, {"dl"}), "tr": ({"tr", "td", "th"}, {"table"}), "td": ({"td", "th"}, {"tr", "table"}), "th": ({"td", "th"}, {"tr", "table"}), "option": ({"option"}, {"select"})}
 
 
 class Node:
-    __slots__ = ("tag", "parent", "children", "skip", "link", "chars", "tags", "link_chars", "link_tags", "density", "total")
+    __slots__ = ("tag", "parent", "children", "skip", "prior", "link", "chars", "tags", "link_chars", "link_tags", "density", "total")
 
     def __init__(self, tag: str, parent: Node | None, skip: bool) -> None:
         self.tag, self.parent, self.skip = tag, parent, skip
         self.children: list[Node | str] = []
+        self.prior = 0
         self.link = tag == "a" or (parent is not None and parent.link)
         self.chars = self.tags = self.link_chars = self.link_tags = 0
         self.density = self.total = 0.0
 
 
-def _not_main(tag: str, attributes: str) -> bool:
-    if tag in NOT_TEXT:
-        return True
-    if "=" not in attributes and "hidden" not in attributes:
-        return False
+def _names(tag: str, attributes: str) -> tuple[bool, int]:
+    """(hidden, prior) of a node: prior 2 if a class or id begins with a name of NAMES, 1 if it has one further on."""
+    if tag in ("body", "html") or "=" not in attributes and "hidden" not in attributes:
+        return False, 0
     found = {m[1].lower(): m[2] or m[3] or m[4] or "" for m in ATTRIBUTE.finditer(attributes)}
-    if tag in ("body", "html", "article", "main"):
-        return False
-    if found.get("role", "").lower() in ROLES or re.search(r"display\s*:\s*none", found.get("style", ""), re.I) or found.get("aria-hidden") == "true":
-        return True
-    return any(NOT_MAIN.search(found.get(k, "")) for k in ("class", "id"))
+    hidden = found.get("role", "").lower() in ROLES or found.get("aria-hidden") == "true" or re.search(r"display\s*:\s*none", found.get("style", ""), re.I) is not None
+    named = [found.get("class", ""), found.get("id", "")]
+    if any(STRONG.search(x) for x in named):
+        return hidden, 2
+    return hidden, int(tag not in ("article", "main") and any(WEAK.search(x) for x in named))
 
 
 def parse(page: str) -> Node:
@@ -109,7 +115,11 @@ def parse(page: str) -> Node:
             continue
         if tag == "body":
             leave({"head"}, ())
-        node = Node(tag, stack[-1], stack[-1].skip or _not_main(tag, m[3]))
+        hidden, prior = _names(tag, m[3])
+        # The header of an article holds its title.
+        titles = tag == "header" and any(n.tag in ("article", "main") for n in stack)
+        node = Node(tag, stack[-1], stack[-1].skip or hidden or tag in NOT_TEXT and not titles)
+        node.prior = prior
         stack[-1].children.append(node)
         if tag in RAW:
             end = re.compile(rf"</{re.escape(tag)}(?=[\s/>])[^>]*>", re.I).search(page, at)
@@ -122,6 +132,41 @@ def parse(page: str) -> Node:
     return root
 
 
+def _settle_priors(body: Node) -> None:
+    """Named nodes are skipped, but not if they hold the page's first article or main element that is not named
+    itself, nor, if the name is not at the front, a heading of the first level or more than half of the text."""
+    order = [body]
+    for n in order:
+        order += [c for c in n.children if isinstance(c, Node) and not c.skip]
+    if not any(n.prior for n in order):
+        return
+    chars: dict[int, int] = {}
+    titled = set()
+    for n in reversed(order):
+        own = [c for c in n.children if isinstance(c, Node) and not c.skip]
+        chars[id(n)] = sum(chars[id(c)] for c in own) + sum(len("".join(c.split())) for c in n.children if isinstance(c, str))
+        if n.tag == "h1" or any(id(c) in titled for c in own):
+            titled.add(id(n))
+
+    def place(n: Node) -> list[int]:
+        out = []
+        while n.parent is not None:
+            out.append(next(k for k, c in enumerate(n.parent.children) if c is n))
+            n = n.parent
+        return out[::-1]
+
+    holders = set()
+    if firsts := [n for n in order if n.tag in ("article", "main") and not n.prior]:
+        n = min(firsts, key=place)
+        while n is not None:
+            holders.add(id(n))
+            n = n.parent
+    for n in order:
+        wrapper = n.prior == 1 and (id(n) in titled or 2 * chars[id(n)] > chars[id(body)])
+        if n.parent is not None and n.parent.skip or n.prior and id(n) not in holders and not wrapper:
+            n.skip = n is not body
+
+
 def _count(node: Node, order: list[Node]) -> None:
     """Characters and tags of every node, children first."""
     todo = [node]
@@ -190,6 +235,7 @@ def main_text(page: str | None) -> str:
             body = n
             break
         todo += [c for c in n.children if isinstance(c, Node)]
+    _settle_priors(body)
     order: list[Node] = []
     _count(body, order)
     _weigh(order)
@@ -205,10 +251,12 @@ def main_text(page: str | None) -> str:
     on_path = set(map(id, path))
 
     def chosen(n: Node) -> bool:
-        """The path itself, all within the core, short leaves beside it, and other parts that are dense enough."""
-        if id(n) in on_path or n.tag in INLINE or n.tag in LEAVES or id(n.parent) not in on_path or n.parent is core:
+        """The path itself, short leaves beside it, other parts that are dense enough, and what the core holds but lists of links."""
+        if id(n) in on_path or n.tag in INLINE or n.tag in LEAVES:
             return True
-        return n.density >= threshold or top is not body
+        if id(n.parent) in on_path and n.parent is not core:
+            return n.density >= threshold
+        return 2 * n.link_chars <= n.chars or n.density >= threshold
 
     return "\n\n".join(_blocks(top, chosen))
 
