@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import contextlib
 import ctypes
+import re
 import tempfile
 import uuid
 from collections.abc import Callable, Iterable, Iterator
@@ -208,25 +209,43 @@ def bounded(batches: Iterator[pd.DataFrame], column: str, chars: int = 2_000_000
 def scratch(spark: SparkSession, name: str) -> str:
     """A new path in the folder that driver and executors share (spark.checkpoint.dir).
 
-    Where the setting is missing (tests on one machine) a temporary folder becomes the checkpoint folder.
+    Only where driver and executors are one process (tests) may the setting be missing: a temporary folder
+    becomes the checkpoint folder then.
     """
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        base = spark.sparkContext.getCheckpointDir()
+    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not base:
+        if not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir has to name a folder that driver and executors share")
         spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="corvine-"))
         base = spark.sparkContext.getCheckpointDir()
     return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
-def written(df: DataFrame, name: str) -> DataFrame:
-    """The frame, written to the shared folder and read again: its lineage ends there."""
+#: Paths of the tables written in each open cleaned().
+_OPEN: list[list[str]] = []
+
+
+def written(df: DataFrame, name: str, keep: bool = False) -> DataFrame:
+    """The frame, written to the shared folder and read again: its lineage ends there. An open cleaned() deletes it, unless keep."""
     spark = df.sparkSession
     path = scratch(spark, name)
+    if _OPEN and not keep:
+        _OPEN[-1].append(path)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+@contextlib.contextmanager
+def cleaned(spark: SparkSession) -> Iterator[None]:
+    """Deletes the tables that are written within, at its end. What goes out has to be written with keep."""
+    _OPEN.append([])
+    try:
+        yield
+    finally:
+        for path in _OPEN.pop():
+            removed(spark, path)
+
+
 def removed(spark: SparkSession, path: str) -> None:
     """Deletes a folder of a store that Spark reads."""
     at = spark._jvm.org.apache.hadoop.fs.Path(path)

@@ -35,7 +35,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import (
-    BASES, bounded, free_name, groups, guarded, hashed_words, low, lower_words_of, mix, partitions, planes, small_batches, trim, unplanes, wide, window_hashes, window_starts, written,
+    BASES, bounded, cleaned, free_name, groups, guarded, hashed_words, low, lower_words_of, mix, partitions, planes, small_batches, trim, unplanes, wide, window_hashes, window_starts, written,
 )
 
 SKETCH = 1 << 22
@@ -391,7 +391,8 @@ def jaccard_groups(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFr
     null. Further columns are ignored. An empty table gives an empty result. Sets are compared by hashes:
     64 bits of each n-gram tell those of one row apart, 48 bits those of a pair.
     """
-    return Join(docs, width, percent).documents()
+    with cleaned(docs.sparkSession):
+        return written(Join(docs, width, percent).documents(), "components", keep=True)
 
 
 def keep_one(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:

@@ -128,11 +128,11 @@ def _plan(frame: pd.DataFrame) -> pd.DataFrame:
 
 
 def mix_plan(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, share: float = SHARE, most: float = MOST, seed: int = 17) -> DataFrame:
-    """docs(doc_id, text, source, ...) -> doc_id, size, source, source_size, target, copies, taken, tie.
+    """docs(doc_id, text, source, ...) -> doc_id, row_key, size, source, source_size, target, copies, taken.
 
     One row per input row; size: words [^\\x20\\x09-\\x0D]+ (null: 0); taken = copies * size. A document of no
     words is never taken. Null sources are one source, last in order; a null doc_id is drawn like any other.
-    Rows that repeat are drawn one by one (tie: number among rows of equal doc_id and text). An empty table
+    row_key is a hash of doc_id and text; rows that repeat share it and are drawn one by one. An empty table
     gives an empty result. Reruns give the same rows.
     """
     spark = docs.sparkSession

@@ -425,6 +425,32 @@ def test_pipeline(spark, docs):
     assert corpus_pipeline.STAGES[-1][1](spark, rows, SF).count() == rows.count()
 
 
+def test_pipeline_run(spark, docs):
+    """run() gives what its stages give one after the other, by plain reading of each one's verdicts."""
+    rows = {r.doc_id: r for r in docs.collect()}
+    kept = {r.doc_id for r in quality(docs).collect() if r.kept}
+    groups = brute_groups([(i, rows[i].text) for i in sorted(kept)], 5, 80)
+    texts = {i: rows[i].text for i in kept if groups[i] == i}
+    bench = spark.read.parquet(f"{SF}/benchmark.parquet")
+    clean = decontaminated(spark.createDataFrame(sorted(texts.items()), "doc_id long, text string"), bench)
+    source = spark.createDataFrame([(i, rows[i].source) for i in texts], "doc_id long, source string")
+    plan = mix_plan(clean.join(source, "doc_id")).collect()
+    want = collections.Counter({r.doc_id: r.copies for r in plan if r.copies})
+    got = corpus_pipeline.run(spark, SF).collect()
+    assert collections.Counter(r.doc_id for r in got) == want and all(0 <= r.shard < 8 for r in got)
+
+
+def test_pipeline_odd(spark, odd, none):
+    """Each stage takes nulls, empty texts, repeated rows, clashing columns and an empty table."""
+    for df in (odd, none):
+        for name, stage in corpus_pipeline.STAGES:
+            out = stage(spark, df, SF)
+            if name != "sharding":
+                assert out.columns == df.columns
+            assert out.count() <= 2 * df.count()
+
+
+
 PAGES = {
     # No class names and no telling tags: only density tells the parts apart.
     "bare": (
