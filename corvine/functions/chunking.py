@@ -24,19 +24,28 @@ def char_chunks(text: Column, size: int = 1000, overlap: int = 200) -> Column:
     return F.filter(F.transform(F.sequence(F.lit(0), last), lambda k: strip(F.substr(text, k * step + 1, F.lit(size)))), lambda x: x != "")
 
 
+def let(value: Column, use) -> Column:
+    """use(value), with the value computed once: an expression that a lambda mentions is evaluated again for each element."""
+    return F.element_at(F.transform(F.array(value), use), 1)
+
+
 def token_chunks(text: Column, most: int, overlap: int) -> Column:
     """Windows of `most` raw tokens; short texts whole, texts without tokens by characters; white space normalised."""
-    units, raw = token_units(text), raw_tokens(text)
-    n, step = F.size(raw), most - overlap
-    last = F.ceil((n - most) / step).cast("int")
+    step = most - overlap
+
+    def pieces(found: Column) -> Column:
+        units, raw = found["units"], found["raw"]
+        n = F.size(raw)
+
+        def window(k: Column) -> Column:
+            end = F.least(k * step + most, n)
+            return normalize_ws(F.concat(F.array_join(F.slice(units, k * step + 1, end - k * step - 1), ""), F.element_at(raw, end)))
 
-    def window(k: Column) -> Column:
-        end = F.least(k * step + most, n)
-        return normalize_ws(F.concat(F.array_join(F.slice(units, k * step + 1, end - k * step - 1), ""), F.element_at(raw, end)))
+        last = F.greatest(F.ceil((n - most) / step).cast("int"), F.lit(0))
+        whole = F.filter(F.array(normalize_ws(text)), lambda x: x != "")
+        return F.when(n == 0, char_chunks(text, max(600, 6 * most), 6 * overlap)).when(n <= most, whole).otherwise(F.transform(F.sequence(F.lit(0), last), window))
 
-    whole = F.filter(F.array(normalize_ws(text)), lambda x: x != "")
-    windows = F.transform(F.sequence(F.lit(0), F.greatest(last, F.lit(0))), window)
-    return F.when(n == 0, char_chunks(text, max(600, 6 * most), 6 * overlap)).when(n <= most, whole).otherwise(windows)
+    return let(F.struct(token_units(text).alias("units"), raw_tokens(text).alias("raw")), pieces)
 
 
 def chunked(df: DataFrame, chunks: Column) -> DataFrame:

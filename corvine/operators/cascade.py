@@ -12,17 +12,17 @@ from ..functions.text import looks_like_table, normalize_ws, poison_signals, tex
 
 
 def low_pages(chunks: DataFrame, files: DataFrame, least_chars: int = 450, most_short: float = 0.55, sample: int = 8) -> DataFrame:
-    """chunks(source, page, ord, text), files(source, total_pages) -> one row for each page of the scope 1..total_pages.
+    """chunks(source, page, ord, text, is_table), files(source, total_pages) -> one row for each page of the scope 1..total_pages.
 
     chars, n_chunks, short_ratio (no chunks: 1), table_like (of its first `sample` texts, 2000 characters each),
-    poisoned, and low: too few characters, too many short chunks, like a table, or poisoned. Chunks without a
+    has_table (a table element), poisoned, and low: too few characters, too many short chunks, a table that is no element, or poisoned. Chunks without a
     page or outside the scope do not count.
     """
     scope = files.select("source", F.explode(F.expr("sequence(1, cast(total_pages as int))")).alias("page"))
     clean = chunks.where("page is not null").withColumn("t", F.btrim(F.coalesce("text", F.lit("")), F.lit(" \t\n\r")))
     signals = poison_signals(F.col("text"))
     sums = clean.groupBy("source", "page").agg(
-        F.sum(F.length("t")).alias("chars"), F.count(F.lit(1)).alias("n_chunks"), F.count_if(F.length("t") < 120).alias("n_short"),
+        F.sum(F.length("t")).alias("chars"), F.count(F.lit(1)).alias("n_chunks"), F.count_if(F.length("t") < 120).alias("n_short"), F.bool_or(F.coalesce("is_table", F.lit(False))).alias("has_table"),
         *[F.max(c).alias(n) for n, c in signals.items()],
     )
     # Only the first texts of a page are ranked: the limit is applied before the shuffle.
@@ -34,9 +34,9 @@ def low_pages(chunks: DataFrame, files: DataFrame, least_chars: int = 450, most_
     out = joined.select(
         "source", "page", F.coalesce("chars", F.lit(0)).alias("chars"), F.coalesce("n_chunks", F.lit(0)).alias("n_chunks"),
         F.round(F.coalesce(F.col("n_short") / F.col("n_chunks"), F.lit(1.0)), 6).alias("short_ratio"),
-        F.coalesce("table_like", F.lit(False)).alias("table_like"), F.coalesce(poisoned, F.lit(False)).alias("poisoned"),
+        F.coalesce("has_table", F.lit(False)).alias("has_table"), F.coalesce("table_like", F.lit(False)).alias("table_like"), F.coalesce(poisoned, F.lit(False)).alias("poisoned"),
     )
-    return out.withColumn("low", (F.col("chars") < least_chars) | (F.col("short_ratio") > most_short) | F.col("table_like") | F.col("poisoned"))
+    return out.withColumn("low", (F.col("chars") < least_chars) | (F.col("short_ratio") > most_short) | (F.col("table_like") & ~F.col("has_table")) | F.col("poisoned"))
 
 
 def _merge(batches: Iterator[pd.DataFrame], least: int) -> Iterator[pd.DataFrame]:

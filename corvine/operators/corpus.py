@@ -2,28 +2,35 @@
 
 from __future__ import annotations
 
-import tempfile
-
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.text import looks_like_table, poison_signals, tokens
+from ..functions.text import poison_signals, tokens
+from ..sources.scratch import shared_folder
 
 
 def extraction_stats(chunks: DataFrame, total_pages: Column, short: int = 120) -> DataFrame:
-    """chunks(source, page, text) -> one row a source: counts, ratios and page coverage."""
-    chars = F.length(F.trim("text"))
+    """chunks(source, page, text, is_table) -> one row a source: counts, ratios and page coverage.
+
+    A file whose chunks have no page counts as one page if they have characters, else as none; its empty ratio
+    is 0 or 1 by the same. A file without chunks has no row here.
+    """
+    text = F.coalesce("text", F.lit(""))
     pages = chunks.groupBy("source", "page").agg(
-        F.count(F.lit(1)).alias("n"), F.sum(F.length("text")).alias("chars"), F.sum((chars < short).cast("int")).alias("n_short"), F.max(looks_like_table(F.col("text"))).alias("table"),
+        F.count(F.lit(1)).alias("n"), F.sum(F.length(text)).alias("chars"), F.count_if(F.length(F.btrim(text, F.lit(" \t\n\r"))) < short).alias("n_short"),
+        F.bool_or(F.btrim(text, F.lit(" \t\n\r")) != "").alias("worded"), F.bool_or(F.coalesce("is_table", F.lit(False))).alias("table"),
     )
     sums = pages.groupBy("source").agg(
-        F.sum("n").alias("n_chunks"), F.sum("chars").alias("n_chars"), F.count("page").alias("pages_seen"), F.sum("n_short").alias("n_short"),
-        F.sum((F.col("chars") == 0).cast("int")).alias("n_empty"), F.max("table").alias("has_table"),
+        F.sum("n").alias("n_chunks"), F.sum("chars").alias("n_chars"), F.count("page").alias("paged"), F.sum("n_short").alias("n_short"),
+        F.count_if(F.col("page").isNotNull() & ~F.col("worded")).alias("n_empty"), F.bool_or("table").alias("has_table"),
     )
+    some = F.col("n_chars") > 0
+    seen = F.when(F.col("paged") > 0, F.col("paged")).otherwise(some.cast("long"))
+    empty = F.when(F.col("paged") > 0, F.col("n_empty") / F.col("paged")).otherwise((~some).cast("double"))
     return sums.select(
-        "source", "n_chunks", "n_chars", "pages_seen", "has_table", F.round(F.col("n_chars") / F.greatest("pages_seen", F.lit(1)), 6).alias("chars_per_page"),
-        F.round(F.col("n_short") / F.greatest("n_chunks", F.lit(1)), 6).alias("short_ratio"), F.round(F.col("n_empty") / F.greatest("pages_seen", F.lit(1)), 6).alias("empty_ratio"),
-        F.round(F.least(F.lit(1.0), F.col("pages_seen") / total_pages), 6).alias("coverage"),
+        "source", "n_chunks", "n_chars", seen.alias("pages_seen"), "has_table", F.round(F.col("n_chars") / F.greatest(seen, F.lit(1)), 6).alias("chars_per_page"),
+        F.round(F.col("n_short") / F.greatest("n_chunks", F.lit(1)), 6).alias("short_ratio"), F.round(empty, 6).alias("empty_ratio"),
+        F.round(F.least(F.lit(1.0), seen / F.greatest(total_pages, F.lit(1.0))), 6).alias("coverage"),
     )
 
 
@@ -36,32 +43,53 @@ def poisoned_pages(chunks: DataFrame, escaped: float = 10, slashes: float = 20,
     return out.withColumn("ratio", F.round(F.col("poisoned") / F.col("pages"), 4))
 
 
-def routing(stats: DataFrame, poison: DataFrame) -> DataFrame:
-    """Extraction verdict of each source: hard_fail, soft_fail or pass, with its reasons in order."""
-    joined = stats.join(poison.select("source", "poisoned", "ratio"), "source", "left").fillna({"poisoned": 0, "ratio": 0.0})
-    hard = [("chunks==0", F.col("n_chunks") == 0), ("page_coverage", F.col("coverage") < 0.85), ("poison_ratio", F.col("ratio") >= 0.35)]
-    soft = [("chars_per_page", F.col("chars_per_page") < 450), ("empty_ratio", F.col("empty_ratio") > 0.25), ("short_ratio", F.col("short_ratio") > 0.55), ("poisoned_pages", F.col("poisoned") > 0)]
-    reasons = lambda rules: F.concat_ws("; ", *[F.when(c, n) for n, c in rules])
-    hit = lambda rules: F.greatest(*[F.coalesce(c, F.lit(False)) for _, c in rules])
-    status = F.when(hit(hard), "hard_fail").when(hit(soft), "soft_fail").otherwise("pass")
-    return joined.select("source", status.alias("status"), F.when(hit(hard), reasons(hard)).when(hit(soft), reasons(soft)).otherwise("").alias("reason"))
+def told(value: Column, digits: int = 4) -> Column:
+    return F.round(value, digits).cast("double").cast("string")
+
+
+def routing(stats: DataFrame, pages: DataFrame) -> DataFrame:
+    """Extraction verdict of each file: source, status (hard_fail, soft_fail, pass) and its reasons, with their values, in order.
+
+    stats: extraction_stats(); pages: cascade.low_pages(), whose scope decides coverage, empty pages, tables that
+    were lost and poisoned pages. A file without chunks is in pages only.
+    """
+    scope = pages.groupBy("source").agg(
+        F.count(F.lit(1)).alias("scope"), F.count_if(F.col("n_chunks") > 0).alias("seen"), F.count_if(F.col("chars") == 0).alias("empty"),
+        F.count_if("table_like").alias("tables"), F.count_if("poisoned").alias("poisoned"),
+    )
+    rows = scope.join(stats.select("source", F.col("n_chunks").alias("chunks"), "chars_per_page", "short_ratio", "has_table"), "source", "left")
+    rows = rows.fillna({"chunks": 0, "chars_per_page": 0.0, "short_ratio": 1.0, "has_table": False})
+    coverage, empty, poison = (F.col(c) / F.col("scope") for c in ("seen", "empty", "poisoned"))
+    rule = lambda hit, *parts: F.when(hit, F.concat(*[p if isinstance(p, Column) else F.lit(p) for p in parts]))
+    hard = F.concat_ws("; ", rule(F.col("chunks") == 0, "chunks==0"), rule(coverage < 0.85, "page_coverage<", told(coverage), "<0.85"), rule(poison >= 0.35, "poisoned_text_ratio:", told(poison), ">=thr:0.35"))
+    soft = F.concat_ws(
+        "; ", rule(F.col("chars_per_page") < 450, "chars_per_page<", told(F.col("chars_per_page"), 2), "<450"), rule(empty > 0.25, "empty_page_ratio>", told(empty), ">0.25"),
+        rule(F.col("short_ratio") > 0.55, "short_chunk_ratio>", told(F.col("short_ratio")), ">0.55"),
+        rule((F.col("tables") >= F.greatest(F.lit(2), F.ceil(F.col("scope") * 0.12))) & ~F.col("has_table"), "table_loss"),
+        rule(F.col("poisoned") > 0, "poisoned_text_detected:", F.col("poisoned").cast("string"), "/", F.col("scope").cast("string")),
+    )
+    named = rows.select("source", F.round(coverage, 6).alias("coverage"), hard.alias("hard"), soft.alias("soft"))
+    status = F.when(F.col("hard") != "", "hard_fail").when(F.col("soft") != "", "soft_fail").otherwise("pass")
+    return named.select("source", "coverage", status.alias("status"), F.when(F.col("hard") != "", F.col("hard")).otherwise(F.col("soft")).alias("reason"))
 
 
 def best_attempt(attempts: DataFrame, gap: float = 0.15) -> DataFrame:
-    """attempts(source, attempt_no, extractor, coverage, short_ratio, chars_per_page, n_chunks) -> the chosen row of each source.
+    """attempts(source, attempt_no, extractor, status, coverage, short_ratio, chars_per_page, n_chunks) -> the chosen row of each source.
 
-    Greatest coverage, least short ratio (0 and null count as 1), most characters and chunks, first attempt; a
+    Only usable attempts count: of status pass or soft_fail, with chunks. A source without one has no row. Greatest coverage, least short ratio (0 and null count as 1), most characters and chunks, first attempt; a
     window fallback gives way to the best other attempt of at least its coverage plus gap. Aggregates alone, so
-    a file of very many attempts is combined before the shuffle. Null measures are the worst.
+    a file of very many attempts is combined before the shuffle. Null measures are the worst. With a gap above 0
+    the window rule has no effect, since the greatest coverage leads the order; a gap below 0 lets others win.
     """
+    attempts = attempts.where(F.col("status").isin("pass", "soft_fail") & (F.col("n_chunks") > 0))
     last = lambda c: -F.coalesce(F.col(c).cast("double"), F.lit(float("-inf")))
     ratio = F.when(F.coalesce("short_ratio", F.lit(0.0)) == 0, 1.0).otherwise(F.col("short_ratio"))
     key = F.struct(last("coverage").alias("k1"), ratio.alias("k2"), last("chars_per_page").alias("k3"), last("n_chunks").alias("k4"), F.col("attempt_no").alias("k5"))
-    row, other = F.struct(*attempts.columns), ~F.col("extractor").eqNullSafe("window")
+    row, other = F.struct(*attempts.columns), ~F.coalesce(F.col("extractor").contains("window"), F.lit(False))
     best = attempts.groupBy("source").agg(
         F.min_by(row, key).alias("best"), F.min_by(F.when(other, row), F.when(other, key)).alias("other"), F.max(F.when(other, F.col("coverage"))).alias("other_cov"),
     )
-    swap = F.col("best.extractor").eqNullSafe("window") & (F.col("other_cov") >= F.col("best.coverage") + gap)
+    swap = F.coalesce(F.col("best.extractor").contains("window"), F.lit(False)) & (F.col("other_cov") >= F.col("best.coverage") + gap)
     chosen = best.select(F.when(F.coalesce(swap, F.lit(False)), F.col("other")).otherwise(F.col("best")).alias("c"))
     return chosen.select(*[F.col(f"c.{c}").alias(c) for c in attempts.columns])
 
@@ -83,22 +111,70 @@ def chunk_id(path: Column, file_hash: Column, page: Column, kind: Column, conten
 
 
 def dedup_within(chunks: DataFrame, by: str, content: str, order: list[str]) -> DataFrame:
-    """First chunk of equal content within each file; equal content of other files stays."""
-    return chunks.withColumn("rn", F.row_number().over(Window.partitionBy(by, content).orderBy(*order))).where("rn = 1").drop("rn")
+    """First chunk of equal content within each file; equal content of other files stays. Combined before the shuffle."""
+    first = chunks.groupBy(by, content).agg(F.min_by(F.struct(*chunks.columns), F.struct(*order)).alias("c"))
+    return first.select("c.*")
 
 
-def latest_by(log: DataFrame, key: str, order: list[str]) -> DataFrame:
-    return log.where(F.col(key).isNotNull()).withColumn("rn", F.row_number().over(Window.partitionBy(key).orderBy(*[F.desc(o) for o in order]))).where("rn = 1").drop("rn")
+def latest_by(log: DataFrame, key: str | list[str], order: list[str]) -> DataFrame:
+    """The row of greatest order of each key; rows with a null in the key are left out. Combined before the shuffle."""
+    keys = [key] if isinstance(key, str) else key
+    last = log.dropna(subset=keys).groupBy(*keys).agg(F.max_by(F.struct(*log.columns), F.struct(*order)).alias("c"))
+    return last.select("c.*")
 
 
-def provider_summary(log: DataFrame) -> DataFrame:
-    """log(provider, query_id, status, metric) -> counts, sorted failed ids, mean metric of successes, verdict."""
+def provider_summary(log: DataFrame, metrics: list[str], total: int | None = None) -> DataFrame:
+    """log(provider, query_id, status, metrics ...), one row a query -> counts, mean of each metric over successes, verdict.
+
+    A mean without values is null. complete: as many successes as there are queries (total, or the rows of the
+    log). The ids behind the counts are rows of provider_runs(), since a log of any size may have as many.
+    """
     ok = F.col("status") == "success"
     out = log.groupBy("provider").agg(
-        F.count(F.lit(1)).alias("total"), F.count_if(ok).alias("completed"), F.array_join(F.array_sort(F.collect_list(F.when(F.col("status") == "failed", F.col("query_id")))), ",").alias("failed_ids"),
-        F.count_if(F.col("status") == "timeout").alias("timed_out"), F.round(F.avg(F.when(ok, F.col("metric"))), 6).alias("mean_metric"),
+        F.count(F.lit(1)).alias("total"), F.count_if(ok).alias("completed"), F.count_if(~ok).alias("failed"), F.count_if(F.col("status") == "timeout").alias("timed_out"),
+        *[F.round(F.avg(F.when(ok, F.col(m))), 6).alias(m) for m in metrics],
     )
-    return out.withColumn("verdict", F.when(F.col("completed") == F.col("total"), "complete").otherwise("incomplete"))
+    wanted = F.col("total") if total is None else F.lit(total)
+    return out.withColumn("verdict", F.when(F.col("completed") == wanted, "complete").otherwise("incomplete"))
+
+
+def provider_runs(log: DataFrame) -> DataFrame:
+    """(provider, list, query_id): the members of the lists completed, failed and timed_out (which are failed, too)."""
+    kinds = F.when(F.col("status") == "success", F.array(F.lit("completed"))).when(F.col("status") == "timeout", F.array(F.lit("failed"), F.lit("timed_out"))).otherwise(F.array(F.lit("failed")))
+    return log.select("provider", F.explode(kinds).alias("list"), "query_id")
+
+
+def provider_delta(summary: DataFrame, left: str, right: str, metrics: list[str]) -> DataFrame:
+    """One row: left less right of each metric, rounded to 4 digits; null where either has none. No row unless both are there."""
+    side = lambda p, m: F.max(F.when(F.col("provider") == p, F.col(m)))
+    there = summary.agg(F.count_distinct(F.when(F.col("provider").isin(left, right), F.col("provider"))).alias("n"), *[F.round(side(left, m) - side(right, m), 4).alias(m) for m in metrics])
+    return there.where("n = 2").drop("n")
+
+
+def zero_warning(summary: DataFrame, left: str, right: str, metrics: list[str]) -> DataFrame:
+    """One row: all_ragas_zero_both_judges if both providers have all these metrics, and all of them are 0; else null."""
+    both = summary.where(F.col("provider").isin(left, right))
+    zero = F.lit(True)
+    for m in metrics:
+        zero = zero & F.coalesce(F.abs(F.col(m)) <= 1e-12, F.lit(False))
+    return both.agg(F.when((F.count(F.lit(1)) == 2) & F.bool_and(zero), "all_ragas_zero_both_judges").alias("warning"))
+
+
+def top_disagreements(log: DataFrame, left: str, right: str, metrics: list[str], n: int = 5) -> DataFrame:
+    """log, one row a provider and query -> the n queries of greatest sum of absolute differences (4 digits), ties by query_id; both sides have to succeed."""
+    ok = log.where(F.col("status") == "success").dropna(subset=metrics)
+    side = lambda p, m: F.max(F.when(F.col("provider") == p, F.col(m)))
+    pairs = ok.where(F.col("provider").isin(left, right)).groupBy("query_id").agg(F.count_distinct("provider").alias("n"), *[(F.abs(side(left, m) - side(right, m))).alias(m) for m in metrics]).where("n = 2")
+    total = sum((F.col(m) for m in metrics[1:]), F.col(metrics[0]))
+    return pairs.select("query_id", F.round(total, 4).alias("abs_delta_sum")).orderBy(F.desc("abs_delta_sum"), "query_id").limit(n)
+
+
+def report(rows: DataFrame, filters: list[Column] | None = None, order: list[str] | None = None) -> DataFrame:
+    """All rows that every filter keeps (null: not), sorted by the named columns (`-` in front: descending, nulls last)."""
+    for f in filters or []:
+        rows = rows.where(f)
+    by = [F.col(c[1:]).desc_nulls_last() if c.startswith("-") else F.col(c).asc_nulls_last() for c in order or []]
+    return rows.orderBy(*by) if by else rows
 
 
 def top_terms(docs: DataFrame, k: int = 12) -> DataFrame:
@@ -113,10 +189,7 @@ def running_sum(rows: DataFrame, order: list[Column], value: str, name: str) ->
     Rows are cut into ranges, each range is summed in its own task and starts from the sums of the ranges before
     it (one number a range). The ranges are checkpointed: a lost task must not draw their borders anew.
     """
-    context = rows.sparkSession.sparkContext
-    if not context.getCheckpointDir():
-        shared = rows.sparkSession.conf.get("spark.checkpoint.dir", None)
-        context.setCheckpointDir(shared or tempfile.mkdtemp(prefix="corvine-"))
+    shared_folder(rows.sparkSession)
     parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     ranged = rows.repartitionByRange(parts, *order).withColumn("_range", F.spark_partition_id()).checkpoint()
     sums = ranged.groupBy("_range").agg(F.sum(value).alias("_sum"))

@@ -6,9 +6,9 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions import chunking, text
-from ..operators import cascade, retrieval
+from ..operators import cascade, corpus, retrieval
 from . import registry as r
-from .registry import documents, query, table
+from .registry import ORACLES, documents, query, table
 
 # --- lists of several rewrites -----------------------------------------------------------------------------
 
@@ -34,15 +34,23 @@ def merge_last(spark, sf):
 _REWRITES = "(SELECT item_id * 2 + n AS item_id, CASE n WHEN 0 THEN text ELSE array_to_string(string_split(text, ' ')[1:greatest(1, len(string_split(text, ' ')) // 2)], ' ') END AS text FROM benchmark, range(2) t(n))"
 
 
+def _rewritten(spark, sf):
+    """(query_id, rewrite, list_no, item, rank, score): lexical and dense lists of both rewrites; they share the dense one."""
+    words = F.split("query", " ")
+    half = F.array_join(F.slice(words, F.lit(1), F.greatest(F.lit(1), F.floor(F.size(words) / 2).cast("int"))), " ")
+    asked = r._asked(spark, sf).select("query_id", F.posexplode(F.array("query", half)).alias("n", "query"))
+    found = retrieval.bm25_topk(r.lexical(spark, sf), asked.select((F.col("query_id") * 2 + F.col("n")).alias("query_id"), "query"))
+    lexical = found.select(F.expr("query_id div 2").alias("query_id"), (F.col("query_id") % 2).cast("int").alias("rewrite"), F.lit(0).alias("list_no"), F.col("doc_id").alias("item"), "rank", "score")
+    dense = r._dense(spark, sf).select("query_id", F.explode(F.array(F.lit(0), F.lit(1))).alias("rewrite"), F.lit(1).alias("list_no"), F.col("vec_id").alias("item"), "rank", "score")
+    return lexical.unionByName(dense)
+
+
 @query(f"""WITH {r._BM25.replace("AS tok FROM benchmark", f"AS tok FROM {_REWRITES}")},
 fused AS (SELECT query_id // 2 AS query_id, doc_id AS item, round(sum(1.0::DOUBLE / (60 + rank)), 9) AS score, min(query_id % 2 * 1000 + rank) AS first FROM best GROUP BY ALL)
 SELECT query_id, item, score, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, first) AS INT) AS pos FROM fused""")
 def multi_query_fusion(spark, sf):
-    words = F.split("query", " ")
-    half = F.array_join(F.slice(words, F.lit(1), F.greatest(F.lit(1), F.floor(F.size(words) / 2).cast("int"))), " ")
-    asked = r._asked(spark, sf).select("query_id", F.posexplode(F.array("query", half)).alias("n", "query"))
-    found = retrieval.bm25_topk(documents(spark, sf), asked.select((F.col("query_id") * 2 + F.col("n")).alias("query_id"), "query"))
-    return retrieval.rrf(found.select(F.expr("query_id div 2").alias("query_id"), (F.col("query_id") % 2).alias("list_no"), F.col("doc_id").alias("item"), "rank")).select("query_id", "item", "score", "pos")
+    lists = _rewritten(spark, sf).where("list_no = 0").select("query_id", F.col("rewrite").alias("list_no"), "item", "rank")
+    return retrieval.rrf(lists).select("query_id", "item", "score", "pos")
 
 
 @query(f"""WITH {r._BM25}, g AS (SELECT query_id, rank, doc_id % 4 AS grade, row_number() OVER (PARTITION BY query_id ORDER BY doc_id % 4 DESC, rank) AS ideal FROM best)
@@ -68,42 +76,24 @@ def rewrite_list(spark, sf):
 
 @query("SELECT provider, item_id AS query_id, format('q{:02d}', row_number() OVER (PARTITION BY provider ORDER BY item_id)) AS name FROM benchmark, (VALUES ('left'), ('right')) v(provider)")
 def gold_runs(spark, sf):
-    names = spark.createDataFrame([("left",), ("right",)], "provider string")
-    rows = table(spark, sf, "benchmark").select(F.col("item_id").alias("query_id")).crossJoin(F.broadcast(names))
-    number = F.row_number().over(Window.partitionBy("provider").orderBy("query_id"))
-    return rows.select("provider", "query_id", F.format_string("q%02d", number).alias("name"))
+    numbered = corpus.running_sum(table(spark, sf, "benchmark").select(F.col("item_id").alias("query_id"), F.lit(1).alias("one")), [F.col("query_id")], "one", "number")
+    return numbered.select(F.explode(F.array(F.lit("left"), F.lit("right"))).alias("provider"), "query_id", F.format_string("q%02d", "number").alias("name"))
 
 
 # --- pages, fragments, recovery ------------------------------------------------------------------------------
 
 
-def _pages(spark, sf):
-    rows = r._files(spark, sf)
-    return rows.select("source", "page", F.col("doc_id").alias("ord"), "text"), rows.select("source", r._total_pages().alias("total_pages")).distinct()
-
-
-_LINES = "list_filter(string_split({0}, chr(10)), lambda x: trim(x) <> '')"
-_TABLE = "len({0}) >= 5 AND len(list_filter({0}[1:60], lambda x: contains(x, '|') OR contains(x, chr(9)) OR len(list_filter(string_split_regex(trim(x), ' {{2,}}'), lambda p: p <> '')) >= 3)) >= 4"
-
-
-@query(rf"""WITH {r._FILES}, sc AS (SELECT source, unnest(range(1, 11 + ascii(right(source, 1)) % 4)) AS page FROM (SELECT DISTINCT source FROM f)),
-c AS (SELECT *, regexp_replace(coalesce(text, ''), '^[ \t\n\r]+|[ \t\n\r]+$', '', 'g') AS t, coalesce(text, '') AS raw FROM f),
-s AS (SELECT source, page, CAST(sum(length(t)) AS BIGINT) AS chars, count(*) AS n, count(*) FILTER (length(t) < 120) AS short, max(len(regexp_extract_all(raw, '\\[nrt]|\\x[0-9a-fA-F]{{2}}|\\u[0-9a-fA-F]{{4}}')) * 1000.0 / greatest(1, length(raw))) AS e,
-  max((length(raw) - length(replace(raw, chr(92), ''))) * 1000.0 / greatest(1, length(raw))) AS b, max(len(regexp_extract_all(raw, '[\x00-\x08\x0B\x0C\x0E-\x1F\x7F]')) / CAST(greatest(1, length(raw)) AS DOUBLE)) AS k FROM c GROUP BY ALL),
-x AS (SELECT source, page, {_LINES.format("string_agg(left(t, 2000), chr(10) ORDER BY doc_id)")} AS l FROM (SELECT * FROM c WHERE t <> '' QUALIFY row_number() OVER (PARTITION BY source, page ORDER BY doc_id) <= 8) GROUP BY ALL),
-p AS (SELECT sc.source, CAST(sc.page AS INT) AS page, coalesce(chars, 0) AS chars, coalesce(n, 0) AS n_chunks, round(coalesce(short / CAST(n AS DOUBLE), 1), 6) AS short_ratio,
-  coalesce({_TABLE.format("l")}, false) AS table_like, coalesce(e >= 10 OR b >= 20 OR k >= 0.01, false) AS poisoned FROM sc LEFT JOIN s USING (source, page) LEFT JOIN x USING (source, page))
-SELECT *, chars < 450 OR short_ratio > 0.55 OR table_like OR poisoned AS low FROM p""")
+@query(f"WITH {r._PARTS}, {r.LOW} SELECT *, chars < 450 OR short_ratio > 0.55 OR (table_like AND NOT has_table) OR poisoned AS low FROM p")
 def low_quality_pages(spark, sf):
-    return cascade.low_pages(*_pages(spark, sf))
+    return cascade.low_pages(*r.pages_of(spark, sf))
 
 
 @query()
 def fragment_merging(spark, sf):
-    return cascade.merge_fragments(_pages(spark, sf)[0])
+    return cascade.merge_fragments(r._files(spark, sf).select("source", "page", F.col("doc_id").alias("ord"), "text"))
 
 
-@query(f"WITH {r._FILES}, {r._TABLE_LIKE}, {r._PAGES} SELECT source, chars_per_page < 450 OR empty_ratio > 0.25 OR short_ratio > 0.55 AS poor FROM stats")
+@query(f"WITH {r._PARTS}, {r._PAGES} SELECT source, chars_per_page < 450 OR empty_ratio > 0.25 OR short_ratio > 0.55 AS poor FROM stats")
 def quality_poor(spark, sf):
     return r.QUERIES["extraction_stats"](spark, sf).select("source", cascade.quality_poor(F.col("chars_per_page"), F.col("empty_ratio"), F.col("short_ratio")).alias("poor"))
 
@@ -178,10 +168,10 @@ def token_limit_items(spark, sf):
 # --- runs and verdicts ------------------------------------------------------------------------------------------
 
 
-@query(f"WITH {r._LOG} SELECT provider, count(*) AS processed, count(*) FILTER (status = 'success') AS ok, count(*) FILTER (status <> 'success') AS failed, count(DISTINCT user_id) AS users FROM log GROUP BY provider")
+@query(f"WITH {r._LOG} SELECT provider, count(*) AS processed, count(*) FILTER (status = 'success') AS ok, count(*) FILTER (status <> 'success') AS failed, count(DISTINCT user_id) AS users, 1000000 - count(*) AS remaining FROM log GROUP BY provider")
 def run_summary(spark, sf):
     ok = F.col("status") == "success"
-    return r._events(spark, sf).groupBy("provider").agg(F.count(F.lit(1)).alias("processed"), F.count_if(ok).alias("ok"), F.count_if(~ok).alias("failed"), F.count_distinct("user_id").alias("users"))
+    return r._events(spark, sf).groupBy("provider").agg(F.count(F.lit(1)).alias("processed"), F.count_if(ok).alias("ok"), F.count_if(~ok).alias("failed"), F.count_distinct("user_id").alias("users"), (F.lit(1_000_000) - F.count(F.lit(1))).alias("remaining"))
 
 
 @query(f"WITH {r._LATEST} SELECT provider, query_id, status FROM lat WHERE status <> 'success'")
@@ -213,10 +203,33 @@ def source_union(spark, sf):
     return demo.unionByName(table(spark, sf, "pages").select(F.lit("upload").alias("origin"), F.col("url").alias("path")).distinct())
 
 
-@query("""SELECT source, n_docs, round(quality, 6) AS quality, CAST(row_number() OVER (ORDER BY quality DESC NULLS LAST, source) AS INT) AS pos FROM (SELECT source, count(*) AS n_docs, avg(quality) AS quality FROM documents LEFT JOIN labels USING (doc_id) WHERE lang IN ('en', 'de') GROUP BY source)
-ORDER BY quality DESC NULLS LAST, source LIMIT 20""")
+@query("""SELECT source, n_docs, round(quality, 6) AS quality FROM (SELECT source, count(*) AS n_docs, avg(quality) AS quality FROM documents LEFT JOIN labels USING (doc_id) GROUP BY source)""")
 def stats_table(spark, sf):
-    """The report's first 20 files by quality, of two languages."""
-    sums = documents(spark, sf).join(table(spark, sf, "labels"), "doc_id", "left").where(F.col("lang").isin("en", "de")).groupBy("source").agg(F.count(F.lit(1)).alias("n_docs"), F.avg("quality").alias("q"))
-    best = sums.orderBy(F.col("q").desc_nulls_last(), "source").limit(20)
-    return best.select("source", "n_docs", F.round("q", 6).alias("quality"), F.row_number().over(Window.orderBy(F.col("q").desc_nulls_last(), "source")).alias("pos"))
+    """The report on all files; its page sorts and filters by any column, by default by none."""
+    rows = documents(spark, sf).join(table(spark, sf, "labels"), "doc_id", "left").groupBy("source").agg(F.count(F.lit(1)).alias("n_docs"), F.avg("quality").alias("q"))
+    return corpus.report(rows.select("source", "n_docs", F.round("q", 6).alias("quality")))
+
+
+@query("""SELECT source, n_docs, round(quality, 6) AS quality FROM (SELECT source, count(*) AS n_docs, avg(quality) AS quality FROM documents LEFT JOIN labels USING (doc_id) GROUP BY source) WHERE n_docs >= 2 AND contains(lower(source), '1')""")
+def stats_table_filtered(spark, sf):
+    rows = documents(spark, sf).join(table(spark, sf, "labels"), "doc_id", "left").groupBy("source").agg(F.count(F.lit(1)).alias("n_docs"), F.avg("quality").alias("q"))
+    return corpus.report(rows.select("source", "n_docs", F.round("q", 6).alias("quality")), [F.col("n_docs") >= 2, F.lower("source").contains("1")], ["-quality", "source"])
+
+
+@query(f"""WITH {r._BM25.replace("AS tok FROM benchmark", f"AS tok FROM {_REWRITES}")}, {r._DENSE},
+l AS MATERIALIZED (SELECT query_id // 2 AS query_id, query_id % 2 AS rewrite, 0 AS list_no, doc_id AS item, rank, score FROM best UNION ALL SELECT query_id, n, 1, vec_id, rank, score FROM dense, range(2) t(n)),
+i1 AS (SELECT query_id, rewrite, item, round(sum(1.0::DOUBLE / (60 + rank)), 9) AS s, min((rewrite * 2 + list_no) * 1000 + rank) AS first FROM l GROUP BY ALL),
+i2 AS (SELECT query_id, rewrite, item FROM i1 QUALIFY row_number() OVER (PARTITION BY query_id, rewrite ORDER BY s DESC, first) <= 10),
+kept AS (SELECT query_id, item, coalesce(max(score) FILTER (list_no = 0), 0) AS bm25_score, coalesce(max(score) FILTER (list_no = 1), 0) AS dense_score FROM l SEMI JOIN i2 ON l.query_id = i2.query_id AND l.rewrite = i2.rewrite AND l.item = i2.item GROUP BY ALL),
+o1 AS (SELECT query_id, item, round(sum(1.0::DOUBLE / (60 + rank)), 9) AS score, min((rewrite * 2 + list_no) * 1000 + rank) AS first FROM l GROUP BY ALL), o2 AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, first) AS p FROM o1 QUALIFY p <= 10)
+SELECT query_id, item, score, bm25_score, dense_score, CAST(row_number() OVER (PARTITION BY query_id ORDER BY p) AS INT) AS pos FROM o2 JOIN kept USING (query_id, item)""")
+def ask_candidates(spark, sf):
+    return retrieval.two_level(_rewritten(spark, sf))
+
+
+ORACLES["rehydrated_candidates"] = ORACLES["ask_candidates"].replace("SELECT query_id, item, score, bm25_score, dense_score,", "SELECT query_id, item, score, coalesce(bm25_score, 0) AS bm25_score, coalesce(dense_score, 0) AS dense_score,").replace("o2 JOIN kept", "o2 LEFT JOIN kept")
+
+
+@query()
+def rehydrated_candidates(spark, sf):
+    return retrieval.two_level(_rewritten(spark, sf), drop=False)

@@ -39,13 +39,6 @@ def test_admit(spark):
     assert sorted(map(tuple, got)) == [("s", 1), ("s", 3), ("t", 1)]
 
 
-def test_best_attempt_gives_way(spark):
-    schema = "source string, attempt_no int, extractor string, coverage double, short_ratio double, chars_per_page double, n_chunks int"
-    rows = [("f", 1, "window", 0.5, 0.1, 10.0, 1), ("f", 2, "docling", 0.7, 0.1, 10.0, 1), ("g", 1, "docling", 0.5, 0.0, 10.0, 1), ("g", 2, "other", 0.5, 0.4, 10.0, 1), ("h", 1, None, None, None, None, None)]
-    got = {r.source: r.attempt_no for r in corpus.best_attempt(spark.createDataFrame(rows, schema)).collect()}
-    assert got == {"f": 2, "g": 2, "h": 1}
-
-
 def _halves(s):
     s = (s or "").strip()
     if len(s) <= 2:
