@@ -653,3 +653,4 @@ def targeted_merge(spark, sf):
 
 
 from . import cascade as _cascade  # noqa: E402, F401  registers its queries here
+from . import indexing as _indexing  # noqa: E402, F401

@@ -137,8 +137,16 @@ def test_sources_and_stream(spark, tmp_path):
     (tmp_path / "in" / "c.bin").write_text("no")
     found = files.plain_text(files.discover(spark, str(tmp_path / "in"))).orderBy("path").collect()
     assert [r.text for r in found] == ["café  end", "one two three"]
-    ingest(spark, str(tmp_path / "in" / "deep"), str(tmp_path / "ix"), str(tmp_path / "state")).awaitTermination(60)
-    assert spark.read.parquet(str(tmp_path / "ix")).select("chunk").collect()[0][0] == "one two three"
+    from corvine import index
+
+    run = lambda: ingest(spark, str(tmp_path / "in"), str(tmp_path / "ix"), str(tmp_path / "state")).awaitTermination(60)
+    run()
+    assert sorted(r.text for r in index.load(spark, str(tmp_path / "ix"))[1].collect()) == ["café end", "one two three"]
+    (tmp_path / "in" / "deep" / "c.md").write_text("four")
+    run()
+    listed, chunks = index.load(spark, str(tmp_path / "ix"))
+    assert sorted(r.text for r in chunks.collect()) == ["café end", "four", "one two three"]
+    assert {r.source.rpartition("/")[2]: r.status for r in listed.collect()} == {"a.TXT": "pass", "b.md": "pass", "c.md": "pass", "c.bin": "hard_fail"}
 
 
 def test_entry(spark):
