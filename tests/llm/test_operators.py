@@ -17,7 +17,7 @@ from corvine.llm.html_extract import extracted, main_text
 from corvine.llm.jaccard_join import Join, jaccard_groups, keep_one
 from corvine.llm.language_id import identify, train
 from corvine.llm.line_dedup import line_dedup, line_dedup_report
-from corvine.llm.mixing import fit, knapsack, mix_plan, mixed
+from corvine.llm.mixing import fit, knapsack, mix_plan, mixed, targets
 from corvine.llm.quality import kept_rows, quality
 from corvine.llm.sharding import sharded
 from corvine.llm.substring_dedup import read_index, substring_dedup, update_index
@@ -157,6 +157,42 @@ def test_mixing_targets(spark):
     assert ((by.target - by.taken).abs() <= 2).all() and (by.target <= 2 * by["size"] + 1e-9).all()
 
 
+def brute_targets(sizes):
+    """{source: target} by resharing, in rounds, what is above twice a source's size."""
+    order = sorted(sizes, key=lambda x: (x is None, (x or "").encode()))
+    weight = {x: (5, 2, 1)[k % 3] for k, x in enumerate(order)}
+    left, out, free = 1.5 * sum(sizes.values()), {}, set(order)
+    while free:
+        total = sum(weight[x] for x in free)
+        over = {x for x in free if left * weight[x] / total > 2 * sizes[x]}
+        if not over:
+            return out | {x: left * weight[x] / total for x in free}
+        for x in over:
+            out[x] = 2.0 * sizes[x]
+        left, free = left - sum(out[x] for x in over), free - over
+    return out
+
+
+@pytest.mark.parametrize("sizes", [{"a": 10, "b": 10, "c": 10}, {"a": 1, "b": 1, "c": 100, None: 40}, {"é": 7, "z": 900, "Z": 30, "a": 0, "b": 55, "c": 13, "d": 200}, {"a": 5}])
+def test_targets_brute(spark, sizes):
+    got = {r.source: r.target for r in targets(spark.createDataFrame(list(sizes.items()), "source string, source_size long")).collect()}
+    assert got == pytest.approx(brute_targets(sizes))
+
+
+def test_mixing_draws(spark):
+    """Every document is taken as often as its source's whole copies, or once more; sums come within one shortest document of the target."""
+    rows = mix_plan(spark.read.parquet("/root/testdata/sf0.01/documents.parquet")).toPandas()
+    sizes = rows.groupby("source", dropna=False)["size"].sum().to_dict()
+    want = brute_targets({None if x != x else x: v for x, v in sizes.items()})
+    for source, part in rows.groupby("source", dropna=False):
+        target = part.target.iloc[0]
+        assert target == pytest.approx(want[None if source != source else source])
+        whole = int(target // part["size"].sum())
+        assert set(part[part["size"] > 0].copies) <= {whole, whole + 1} and (part.copies <= 2).all()
+        spare = part[(part.copies == whole) & (part["size"] > 0)]["size"]
+        assert abs(target - part.taken.sum()) <= max(1, spare.min() if len(spare) else 1)
+
+
 def test_knapsack():
     import itertools
 
