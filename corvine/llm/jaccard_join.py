@@ -404,4 +404,4 @@ def keep_one(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
     grouped = jaccard_groups(docs.select("doc_id", "text"), width, percent)
     name = free_name(docs)
     gone = grouped.where("doc_id <> component_id").select(F.col("doc_id").alias(name)).distinct()
-    return docs.join(gone, F.col("doc_id") == F.col(name), "left_anti")
+    return docs.join(Join.small(gone), F.col("doc_id") == F.col(name), "left_anti")
