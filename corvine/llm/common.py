@@ -270,6 +270,11 @@ def blocks_of(docs: DataFrame, chars: int) -> int:
     return max(partitions(docs.sparkSession), 1 + (docs.agg(F.sum(F.length("text"))).first()[0] or 0) // chars)
 
 
+def spread(df: DataFrame, n: int, column: str) -> DataFrame:
+    """The rows dealt by the column to n partitions, if that is more than the session's shuffles have: a task's share stays the same however much there is."""
+    return df.repartition(n, column) if n > partitions(df.sparkSession) else df
+
+
 def free_name(*frames: DataFrame) -> str:
     """A column name that none of the frames has (Spark does not tell cases apart)."""
     taken = {c.lower() for df in frames for c in df.columns}

@@ -10,14 +10,16 @@ Windows are equal here if 48 bits of one hash and 24 of another are, and further
 choose the bucket: 78 bits with 64 buckets, 92 with a million.
 
 A window that repeats inside one batch is sent once, so a passage that a third of all documents share
-costs a bucket one entry for each batch and never one for each document.
+costs a bucket one entry for each batch and never one for each document. What a bucket gets is sorted into runs
+of many batches at a time, and a repeated window is noted once, however many runs met it: a bucket's work
+follows its windows, not the number of batches. Buckets, and the tasks that hold them, follow the text.
 """
 
 from __future__ import annotations
 
 import hashlib
 import uuid
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator, Sequence
 
 import numpy as np
 import pandas as pd
@@ -26,17 +28,19 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import (
-    HOMED, blocks_of, bounded, by_home, covered, gathered, groups, guarded, hashed_words, low, packed, partitions, removed, restored, small_batches, trim, unpacked, unplanes, wide, window_hashes, window_starts, words_of,
+    HOMED, blocks_of, bounded, by_home, covered, gathered, groups, guarded, hashed_words, low, packed, partitions, removed, restored, small_batches, spread, trim, unpacked, unplanes, wide, window_hashes, window_starts, words_of,
 )
 
 RUN = "bucket int, keys binary, counts binary, places binary, prints binary, checks binary"
 INDEX = "bucket int, prints binary, checks binary"
 #: Characters of text for each bucket.
 BUCKET_CHARS = 16_000_000
+#: Windows that a bucket sorts into one run.
+RUN_WINDOWS = 1 << 17
 
 
 class Run:
-    """Hashes in order, each with its check."""
+    """Hashes in order, each with its check. sorted() has the checks of an equal hash in order too."""
 
     def __init__(self, prints: np.ndarray, checks: np.ndarray) -> None:
         self.prints, self.checks = prints, checks
@@ -46,12 +50,17 @@ class Run:
 
     @classmethod
     def sorted(cls, prints: np.ndarray, checks: np.ndarray) -> Run:
-        order = np.argsort(prints)
-        return cls(prints[order], checks[order])
+        # One sort by 64 of the 72 bits; rarely, it leaves checks of an equal hash to be put in order.
+        order = np.argsort(prints << np.uint64(16) | checks.astype(np.uint64) >> np.uint64(8))
+        out = cls(prints[order], checks[order])
+        if ((out.prints[1:] == out.prints[:-1]) & (out.checks[1:] < out.checks[:-1])).any():
+            order = np.lexsort((checks, prints))
+            out = cls(prints[order], checks[order])
+        return out
 
     @classmethod
-    def read(cls, prints: bytes, checks: bytes) -> Run:
-        return cls.sorted(wide(prints, 6), wide(checks, 3).astype(np.uint32))
+    def read(cls, prints: Iterable[bytes], checks: Iterable[bytes]) -> Run:
+        return cls.sorted(wide(b"".join(prints), 6), wide(b"".join(checks), 3).astype(np.uint32))
 
     def bytes(self) -> tuple[bytes, bytes]:
         return low(self.prints, 6), low(self.checks.astype(np.uint64), 3)
@@ -59,6 +68,12 @@ class Run:
     def part(self, which: np.ndarray) -> Run:
         return Run(self.prints[which], self.checks[which])
 
+    def split(self) -> tuple[Run, Run]:
+        """Each window of a sorted() run once, and the further copies."""
+        first = np.ones(len(self), bool)
+        first[1:] = (self.prints[1:] != self.prints[:-1]) | (self.checks[1:] != self.checks[:-1])
+        return self.part(first), self.part(~first)
+
     def found(self, prints: np.ndarray, checks: np.ndarray) -> np.ndarray:
         """Which of some windows the run has: met by the hash, verified by the check of each entry with that hash."""
         out = np.zeros(len(prints), bool)
@@ -95,8 +110,17 @@ class RunIndex:
         if n > 1:
             self.runs[-n:] = [joined(self.runs[-n:])]
 
+    def fill(self, rows: Sequence) -> None:
+        """The prints and checks of some rows become one run; what several of them have is repeated."""
+        run, again = Run.read((r.prints for r in rows), (r.checks for r in rows)).split()
+        if len(again):
+            self.repeated.append(again)
+        self.add(run)
+
     def repeats(self) -> Run:
-        return joined(self.repeated)
+        """Each repeated window once, however often it was met: found() goes over all entries of an equal hash."""
+        met = joined(self.repeated)
+        return Run.sorted(met.prints, met.checks).split()[0]
 
 
 def joined(runs: list[Run]) -> Run:
@@ -105,6 +129,19 @@ def joined(runs: list[Run]) -> Run:
     return Run(prints[order], checks[order])
 
 
+def _tables(rows: Iterable) -> Iterator[list]:
+    """The rows again, in lists of about RUN_WINDOWS windows (or one larger row)."""
+    held, size = [], 0
+    for row in rows:
+        held.append(row)
+        size += len(row.prints) // 6
+        if size >= RUN_WINDOWS:
+            yield held
+            held, size = [], 0
+    if held:
+        yield held
+
+
 def _runs(batches: Iterator[pd.DataFrame], width: int, buckets: int) -> Iterator[pd.DataFrame]:
     """Rows with prints go to their bucket. Rows without are marks, settled already; they go along for the ride."""
     for frame in bounded(batches, "text"):
@@ -147,17 +184,18 @@ def _probe(frame: pd.DataFrame, homes: int) -> pd.DataFrame:
             keys.append(key)
             places.append(place)
         else:
-            index.add(Run.read(row.prints, row.checks))
-            if row.keys:
-                held.append(row)
+            held.append(row)
+    for rows in _tables(held):
+        index.fill(rows)
     repeated = index.repeats()
     del index
-    for row in held if len(repeated) else ():
-        hit = repeated.found(wide(row.prints, 6), wide(row.checks, 3).astype(np.uint32))
-        if hit.any():
-            key, place = unpacked(row.keys, row.counts, row.places)
-            keys.append(key[hit])
-            places.append(place[hit])
+    for rows in _tables(r for r in held if r.keys) if len(repeated) else ():
+        hit = repeated.found(wide(b"".join(r.prints for r in rows), 6), wide(b"".join(r.checks for r in rows), 3).astype(np.uint32))
+        for row, own in zip(rows, np.split(hit, np.cumsum([len(r.prints) // 6 for r in rows[:-1]])), strict=True):
+            if own.any():
+                key, place = unpacked(row.keys, row.counts, row.places)
+                keys.append(key[own])
+                places.append(place[own])
     out = by_home(keys, places, homes)
     trim()
     return out
@@ -187,21 +225,22 @@ def _dealt(docs: DataFrame, width: int, buckets: int) -> DataFrame:
     return _keyed(docs).select("key", "text").mapInPandas(lambda it: _runs(it, width, buckets), RUN)
 
 
-def repeated_windows(docs: DataFrame, width: int = 35, index: DataFrame | None = None) -> DataFrame:
+def repeated_windows(docs: DataFrame, width: int = 35, index: DataFrame | None = None, blocks: int | None = None) -> DataFrame:
     """(key, places) of all windows of docs(doc_id, text) that also start elsewhere, or that `index` holds.
 
     key is xxhash64(doc_id, text) and has one row; places are the window's starts, by byte planes of "<u4".
-    index: read_index(); an empty one is as none.
+    index: read_index(); an empty one is as none. blocks: blocks_of(docs, BUCKET_CHARS), where it is known.
     """
     small_batches(docs.sparkSession)
-    homes = partitions(docs.sparkSession)
+    blocks = blocks or blocks_of(docs, BUCKET_CHARS)
+    homes = max(partitions(docs.sparkSession), blocks // 2)
     held = index.first() if index is not None else None
-    if held is None:
-        runs = _dealt(docs, width, blocks_of(docs, BUCKET_CHARS))
-    else:
-        runs = _dealt(docs, width, held.buckets).unionByName(index.select("bucket", "prints", "checks"), allowMissingColumns=True)
-    marks = runs.groupBy("bucket").applyInPandas(lambda f: _probe(f, homes), HOMED)
-    return marks.groupBy("home").applyInPandas(gathered, "key long, places binary")
+    buckets = held.buckets if held else blocks
+    runs = _dealt(docs, width, buckets)
+    if held:
+        runs = runs.unionByName(index.select("bucket", "prints", "checks"), allowMissingColumns=True)
+    marks = spread(runs, buckets, "bucket").groupBy("bucket").applyInPandas(lambda f: _probe(f, homes), HOMED)
+    return spread(marks, homes, "home").groupBy("home").applyInPandas(gathered, "key long, places binary")
 
 
 def _manifest(spark: SparkSession, path: str) -> tuple[int, int, list[str]]:
@@ -232,8 +271,8 @@ def update_index(docs: DataFrame, path: str, width: int = 35, keep_runs: int = 8
 
     def merged(frame: pd.DataFrame) -> pd.DataFrame:
         index = RunIndex()
-        for row in frame.itertuples():
-            index.add(Run.read(row.prints, row.checks))
+        for rows in _tables(frame.itertuples()):
+            index.fill(rows)
         index.compact(len(index.runs))
         prints, checks = index.runs[0].bytes()
         return pd.DataFrame({"bucket": [int(frame["bucket"].iloc[0])], "prints": [prints], "checks": [checks]})
@@ -272,7 +311,8 @@ def substring_dedup(docs: DataFrame, width: int = 35, index: DataFrame | None =
     they lose their windows. A null doc_id is kept as it is. Further columns are ignored. An empty table
     gives an empty result.
     """
-    marks = repeated_windows(docs, width, index)
-    joined = _keyed(docs).join(marks.hint("shuffle_hash"), "key", "left").select("doc_id", "no_id", "text", "places")
+    blocks = blocks_of(docs, BUCKET_CHARS)
+    marks = spread(repeated_windows(docs, width, index, blocks), blocks, "key")
+    joined = spread(_keyed(docs), blocks, "key").join(marks.hint("shuffle_hash"), "key", "left").select("doc_id", "no_id", "text", "places")
     schema = "doc_id long, no_id boolean, n_words long, n_removed long, kept_sha256 string" + ", kept_text string" * with_text
     return restored(joined.mapInPandas(lambda it: _cut(it, width, with_text), schema))

@@ -143,6 +143,50 @@ def test_substring_verified():
     assert sorted(zip(again.prints.tolist(), again.checks.tolist())) == [(5, 2), (5, 3), (9, 1)]
 
 
+def test_substring_hot_windows():
+    """A window that many batches send is noted once, and a bucket's runs follow its windows, not the batches."""
+    import numpy as np
+    import pandas as pd
+
+    from corvine.llm import substring_dedup as S
+    from corvine.llm.common import low, packed, unpacked
+
+    class Counted(S.RunIndex):
+        made = []
+
+        def repeats(self):
+            self.made.append((super().repeats(), len(self.runs)))
+            return self.made[-1][0]
+
+    n, rows = 300, []
+    for k in range(n):
+        # Windows 1 and 2 share a hash and are in all batches; 3 is in none but this and the next one.
+        prints, checks = np.array([1000 + k, 7, 7, 8 + (k // 2)], np.uint64), np.array([1, 2, 1, 3], np.uint64)
+        rows.append((5, *packed(np.full(4, k), np.zeros(4, int), np.arange(4)), low(prints, 6), low(checks, 3)))
+    with pytest.MonkeyPatch.context() as patch:
+        patch.setattr(S, "RunIndex", Counted)
+        for least in (1 << 17, 10):
+            patch.setattr(S, "RUN_WINDOWS", least)
+            got = S._probe(pd.DataFrame(rows, columns=["bucket", "keys", "counts", "places", "prints", "checks"]), 3)
+            marks = [x for r in got.itertuples() for x in zip(*(v.tolist() for v in unpacked(r.keys, r.counts, r.places)), strict=True)]
+            assert sorted(marks) == [(k, p) for k in range(n) for p in (1, 2, 3)]
+    assert [len(x) for x, _ in Counted.made] == [2 + n // 2] * 2 and Counted.made[0][1] == 1
+
+
+def test_substring_spread(spark, docs, monkeypatch):
+    """More buckets than shuffle partitions and many runs in each: the same rows, in as many tasks."""
+    from corvine.llm import substring_dedup as S
+
+    want = sorted(map(repr, substring_dedup(docs, width=5).collect()))
+    chars = docs.selectExpr("sum(length(text))").first()[0]
+    for name, value in (("BUCKET_CHARS", chars // 20), ("RUN_WINDOWS", 100)):
+        monkeypatch.setattr(S, name, value)
+    seen = []
+    monkeypatch.setattr(S, "spread", lambda df, n, column, real=S.spread: seen.append((column, real(df, n, column).rdd.getNumPartitions())) or real(df, n, column))
+    assert sorted(map(repr, substring_dedup(docs, width=5).collect())) == want
+    assert seen[0] == ("bucket", 21) and ("key", 21) in seen
+
+
 def test_mixing_edges(spark, odd):
     rows = mix_plan(odd).collect()
     assert len(rows) == 9 and all(0 <= r.taken <= 2 * r["size"] for r in rows)
