@@ -18,7 +18,8 @@ no pair of lines is ever formed. Keys are two independent hashes of 64 bits.
 
 One edit leaves the first or the last half of the shorter line as it is. So a first pass joins hashes of these
 halves (four a line: first and last, by the line's length and by one less), and only lines that share one
-with another line emit variants. No near or equal line is lost by that.
+with another line emit variants. No near or equal line is lost by that. This pass reads every word, so its words
+are hashed in numpy, for all of a batch at once; a hash that two words share would only let more lines through.
 
 Each batch sends only its earliest copy of an equal line, so a frequent line costs a bucket one entry a batch.
 """
@@ -30,6 +31,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -48,6 +50,38 @@ BUCKET_CHARS = 16_000_000
 CHARS, SUFFIX = np.uint64(0xD6E8FEB86659FD93), np.uint64(0xA5A5A5A5F0F0F0F1)
 
 
+#: Bytes that end a word, and the masks of the first 0 to 8 bytes of eight.
+SPACE = np.isin(np.arange(256), [*b" \t\n\v\f\r"])
+HEAD = np.array([(1 << 8 * k) - 1 for k in range(9)], np.uint64)
+#: Longer words (bytes) are hashed one by one.
+WORD_BYTES = 64
+
+
+def spans(data: bytes) -> tuple[np.ndarray, np.ndarray]:
+    """(start, end) of each word, as bytes.split() finds them."""
+    inside = np.zeros(len(data) + 2, bool)
+    np.logical_not(SPACE[np.frombuffer(data, np.uint8)], out=inside[1:-1])
+    edges = np.flatnonzero(inside[1:] != inside[:-1])
+    return edges[::2], edges[1::2]
+
+
+def span_hashes(data: bytes, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """A hash of each word, eight bytes at a time; not the one that hashed_words() gives."""
+    size = end - start
+    out = mix(size.astype(np.uint64) + CHARS)
+    eight = np.ndarray((len(data),), "<u8", data + bytes(8), strides=(1,))
+    live = np.flatnonzero(size <= WORD_BYTES)
+    done = 0
+    while len(live):
+        part = eight[start[live] + done] & HEAD[np.minimum(size[live] - done, 8)]
+        out[live] = mix(out[live] * np.uint64(BASES[0]) ^ part)
+        done += 8
+        live = live[size[live] > done]
+    for k in np.flatnonzero(size > WORD_BYTES).tolist():
+        out[k] = xxhash.xxh3_64_intdigest(data[start[k] : end[k]])
+    return out
+
+
 class Lines:
     """The lines with a word of some texts: doc and number of each, its units' hashes and how many these are."""
 
@@ -71,6 +105,39 @@ class Lines:
         self.fuzzy = kind < 2
         self.salt = np.where(kind > 0, CHARS, np.uint64(0))
 
+    @classmethod
+    def scanned(cls, texts: list[str | None], min_words: int, min_chars: int) -> Lines:
+        """All lines of the texts, as from Lines(texts, None, ...) but for other hashes of words; only characters of short lines are taken one by one."""
+        out = cls([], None, min_words, min_chars)
+        parts = [utf8(t) if t else b"" for t in texts]
+        data = b"\n".join(parts)
+        start, end = spans(data)
+        if not len(start):
+            return out
+        breaks = np.flatnonzero(np.frombuffer(data, np.uint8) == 10)
+        begin = np.cumsum([0, *(len(p) + 1 for p in parts[:-1])])
+        row = np.searchsorted(breaks, start)
+        at = np.flatnonzero(np.r_[True, row[1:] != row[:-1]])
+        words = np.diff(np.append(at, len(row)))
+        out.doc = np.searchsorted(begin, start[at], "right") - 1
+        out.number = row[at] - np.searchsorted(breaks, begin)[out.doc]
+        out.hashes, out.lens = span_hashes(data, start, end), words
+        short = words < min_words
+        out.fuzzy, out.salt = np.ones(len(at), bool), np.where(short, CHARS, np.uint64(0))
+        if short.any():
+            last = at + words - 1
+            units = [[utf8(c) for c in b" ".join(data[a:b].split()).decode("utf-8", "surrogatepass")] for a, b in zip(start[at[short]].tolist(), end[last[short]].tolist(), strict=True)]
+            chars, count = hashed_words(units, list)
+            out.fuzzy[short] = count >= min_chars
+            out.lens = words.copy()
+            out.lens[short] = count
+            hashes = np.empty(out.lens.sum(), np.uint64)
+            of_short = np.repeat(short, out.lens)
+            hashes[of_short] = chars
+            hashes[~of_short] = out.hashes[~np.repeat(short, words)]
+            out.hashes = hashes
+        return out
+
     def halves(self) -> tuple[np.ndarray, np.ndarray]:
         """(line, hash): the four halves of each line, or the whole of one that must be equal."""
         n = len(self.hashes)
@@ -112,7 +179,7 @@ def variants(hashes: np.ndarray, lens: np.ndarray, which: int, salt: np.ndarray)
 def _halves(batches: Iterator[pd.DataFrame], min_words: int, min_chars: int, buckets: int) -> Iterator[pd.DataFrame]:
     """Rows with prints go to their bucket. Rows without are lines that share a half within the batch; they go along for the ride."""
     for frame in bounded(batches, "text", 1_000_000):
-        lines = Lines(list(frame["text"]), None, min_words, min_chars)
+        lines = Lines.scanned(list(frame["text"]), min_words, min_chars)
         if not len(lines.lens):
             continue
         line, prints = lines.halves()

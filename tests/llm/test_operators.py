@@ -421,6 +421,30 @@ def test_line_dedup(spark, docs, odd):
     assert line_dedup(odd).count() == 9 and line_dedup_report(odd).where("doc_id = 2 and n_removed = 1").count() == 1
 
 
+def test_line_dedup_scanned(monkeypatch):
+    """The first pass sees the lines that the second one does, equal words alike, and hashes no word of longer lines one by one."""
+    import random
+
+    import numpy as np
+
+    from corvine.llm import line_dedup as L
+
+    rng, bits = random.Random(1), ["a", "b", "é", "\x1c", "\x85", "\xa0", "\ud800", "\0", "x" * 64, "x" * 65, "y" * 65, "abcdefgh", "abcdefghi", "😀", *[" ", "\n", "\t", "\x0b", "\r", "  "] * 3]
+    texts = [None, "", " ", "\n\n", "a\n", " a b\n\nc ", *("".join(rng.choices(bits, k=rng.randrange(150))) for _ in range(300))]
+    rng.shuffle(texts)
+    for some in (texts, texts[:1], [None], ["\n"], [None, "a"], ["a", None]):
+        one, other = L.Lines(some, None, 8, 16), L.Lines.scanned(some, 8, 16)
+        assert all(np.array_equal(getattr(one, c), getattr(other, c)) for c in ("doc", "number", "lens", "fuzzy", "salt"))
+        kind = np.repeat(one.salt, one.lens).tolist()
+        both = set(zip(kind, one.hashes.tolist(), other.hashes.tolist(), strict=True))
+        assert len(both) == len({x[:2] for x in both}) == len({x[::2] for x in both})
+    seen = []
+    monkeypatch.setattr(L, "hashed_words", lambda units, split, real=L.hashed_words: seen.extend(units) or real(units, split))
+    long = " ".join(f"w{k}" for k in range(20))
+    lines = L.Lines.scanned([f"{long}\nab cd\n{long} more"], 8, 16)
+    assert seen == [[b"a", b"b", b" ", b"c", b"d"]] and lines.lens.tolist() == [20, 5, 21] and (lines.hashes[:20] == lines.hashes[25:45]).all()
+
+
 def test_line_dedup_shared_ids(spark):
     """Of many documents without an id, and many of one id, each loses its own repeated line and no other."""
     own = {k: [f"own {k} {j}" for j in range(k % 7 + 1)] for k in range(4000)}
