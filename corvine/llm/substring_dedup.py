@@ -13,6 +13,10 @@ A window that repeats inside one batch is sent once, so a passage that a third o
 costs a bucket one entry for each batch and never one for each document. What a bucket gets is sorted into runs
 of many batches at a time, and a repeated window is noted once, however many runs met it: a bucket's work
 follows its windows, not the number of batches. Buckets, and the tasks that hold them, follow the text.
+
+A window's place is counted through its batch, as the step from the one before it in the bucket. A batch has the
+hash of its documents' keys for a name and sends their list once, to the home that gathers its places: with many
+buckets few windows of a document meet in one, so that keys beside them would cost almost as much as the hashes.
 """
 
 from __future__ import annotations
@@ -23,15 +27,19 @@ from collections.abc import Iterable, Iterator, Sequence
 
 import numpy as np
 import pandas as pd
+import xxhash
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import (
-    HOMED, blocks_of, bounded, by_home, covered, gathered, groups, guarded, hashed_words, low, packed, partitions, removed, restored, small_batches, spread, trim, unpacked, unplanes, wide, window_hashes, window_starts, words_of,
+    HOMED, blocks_of, bounded, by_home, covered, groups, guarded, hashed_words, low, partitions, planes, removed, restored, small_batches, spread, trim, unpacked, unplanes, wide, window_hashes, window_starts, words_of,
 )
 
-RUN = "bucket int, keys binary, counts binary, places binary, prints binary, checks binary"
+#: A batch's windows in one bucket, by their places in the batch; or its documents and the places settled already.
+RUN = "bucket int, batch binary, docs binary, lens binary, places binary, prints binary, checks binary"
+#: Places of several batches (as of HOMED, with batches for keys), or the documents of one.
+PLACED = f"{HOMED}, docs binary, lens binary"
 INDEX = "bucket int, prints binary, checks binary"
 #: Characters of text for each bucket.
 BUCKET_CHARS = 16_000_000
@@ -142,18 +150,24 @@ def _tables(rows: Iterable) -> Iterator[list]:
         yield held
 
 
+def _steps(places: np.ndarray) -> bytes | None:
+    return planes(np.diff(places, prepend=0), "<u4") if len(places) else None
+
+
+def _places(steps: bytes) -> np.ndarray:
+    return np.cumsum(unplanes(steps, "<u4").astype(np.int64))
+
+
 def _runs(batches: Iterator[pd.DataFrame], width: int, buckets: int) -> Iterator[pd.DataFrame]:
-    """Rows with prints go to their bucket. Rows without are marks, settled already; they go along for the ride."""
+    """Rows with prints go to their bucket. The one without lists the documents and what is settled already; it goes along for the ride."""
     for frame in bounded(batches, "text"):
         words, lens = hashed_words(frame["text"], words_of)
-        start, text = window_starts(lens, width)
+        start, _ = window_starts(lens, width)
         if not len(start):
             continue
         prints, second = window_hashes(words, width)[start] >> np.uint64(16), window_hashes(words, width, 1)[start]
         checks = second & np.uint64(0xFFFFFF)
         bucket = ((second >> np.uint64(24)) % np.uint64(buckets)).astype(np.int64)
-        place = start - (np.cumsum(lens) - lens)[text]
-        keys = frame["key"].to_numpy(np.int64)
         # 72 bits in one order: the hash, then the check among windows of an equal hash (rarely more than one).
         order = np.argsort(prints << np.uint64(16) | checks >> np.uint64(8), kind="stable")
         same = np.zeros(len(prints), bool)
@@ -162,45 +176,67 @@ def _runs(batches: Iterator[pd.DataFrame], width: int, buckets: int) -> Iterator
         first[order] = ~same
         twice[order] = same | np.append(same[1:], False)
         # Windows met twice in this batch are settled here; others still have to know that they exist.
-        settled = np.flatnonzero(twice)
+        keys = frame["key"].to_numpy(np.int64).tobytes()
+        batch = xxhash.xxh3_64_digest(keys)
         sent = np.flatnonzero(first)
         sent = sent[np.argsort(bucket[sent], kind="stable")]
-        rows = []
+        rows = [(int(bucket[0]), batch, keys, planes(lens, "<u4"), _steps(start[twice]), None, None)]
         for a, b in groups(bucket[sent]):
             at = sent[a:b]
-            rows.append((int(bucket[at[0]]), *packed(keys[text[at]], text[at], place[at]), low(prints[at], 6), low(checks[at], 3)))
-        if len(settled):
-            rows.append((int(bucket[settled[0]]), *packed(keys[text[settled]], text[settled], place[settled]), None, None))
+            rows.append((int(bucket[at[0]]), batch, None, None, _steps(start[at]), low(prints[at], 6), low(checks[at], 3)))
         yield pd.DataFrame(rows, columns=[c.split()[0] for c in RUN.split(", ")])
 
 
 def _probe(frame: pd.DataFrame, homes: int) -> pd.DataFrame:
-    """All runs of one bucket -> places of the repeated windows, packed by the home of their documents."""
-    index, keys, places = RunIndex(), [], []
-    held = []
+    """All runs of one bucket -> places of the repeated windows, packed by the home of their batches, and the lists of documents."""
+    index, batches, places = RunIndex(), [], []
+    held, lists = [], []
+
+    def note(row: tuple, found: np.ndarray) -> None:
+        batches.append(np.repeat(np.frombuffer(row.batch, np.int64), len(found)))
+        places.append(found)
+
     for row in frame.itertuples():
         if row.prints is None:
-            key, place = unpacked(row.keys, row.counts, row.places)
-            keys.append(key)
-            places.append(place)
+            lists.append((int(np.frombuffer(row.batch, np.int64)[0] % homes), row.batch, None, None, row.docs, row.lens))
+            if row.places:
+                note(row, _places(row.places))
         else:
             held.append(row)
     for rows in _tables(held):
         index.fill(rows)
     repeated = index.repeats()
     del index
-    for rows in _tables(r for r in held if r.keys) if len(repeated) else ():
+    for rows in _tables(r for r in held if r.batch) if len(repeated) else ():  # not those of an index on disk
         hit = repeated.found(wide(b"".join(r.prints for r in rows), 6), wide(b"".join(r.checks for r in rows), 3).astype(np.uint32))
         for row, own in zip(rows, np.split(hit, np.cumsum([len(r.prints) // 6 for r in rows[:-1]])), strict=True):
             if own.any():
-                key, place = unpacked(row.keys, row.counts, row.places)
-                keys.append(key[own])
-                places.append(place[own])
-    out = by_home(keys, places, homes)
+                note(row, _places(row.places)[own])
+    marks = by_home(batches, places, homes)
+    out = pd.DataFrame([*((*r, None, None) for r in marks.itertuples(index=False, name=None)), *lists], columns=[c.split()[0] for c in PLACED.split(", ")])
     trim()
     return out
 
 
+def _placed(frame: pd.DataFrame) -> pd.DataFrame:
+    """All PLACED rows of one home -> (key, places) of each document with marks; a key once for each of its rows, with equal places."""
+    docs = {r.keys: r for r in frame.itertuples() if r.docs is not None}
+    marks = [unpacked(r.keys, r.counts, r.places) for r in frame.itertuples() if r.docs is None]
+    batch, place = (np.concatenate([m[k] for m in marks]) if marks else np.zeros(0, np.int64) for k in range(2))
+    order = np.lexsort((place, batch))
+    batch, place = batch[order], place[order]
+    rows = []
+    for a, b in groups(batch):
+        if (of := docs.get(batch[a : a + 1].tobytes())) is None:
+            raise RuntimeError("a batch of documents changed while it was read again: its list is missing")
+        keys, end = np.frombuffer(of.docs, np.int64), np.cumsum(lens := unplanes(of.lens, "<u4").astype(np.int64))
+        at = np.unique(place[a:b])
+        text = np.searchsorted(end, at, "right")
+        at -= (end - lens)[text]
+        rows += [(int(keys[text[c]]), planes(at[c:d], "<u4")) for c, d in groups(text)]
+    return pd.DataFrame(rows, columns=["key", "places"])
+
+
 def _cut(batches: Iterator[pd.DataFrame], width: int, with_text: bool) -> Iterator[pd.DataFrame]:
     for frame in batches:
         rows = []
@@ -239,8 +275,10 @@ def repeated_windows(docs: DataFrame, width: int = 35, index: DataFrame | None =
     runs = _dealt(docs, width, buckets)
     if held:
         runs = runs.unionByName(index.select("bucket", "prints", "checks"), allowMissingColumns=True)
-    marks = spread(runs, buckets, "bucket").groupBy("bucket").applyInPandas(lambda f: _probe(f, homes), HOMED)
-    return spread(marks, homes, "home").groupBy("home").applyInPandas(gathered, "key long, places binary")
+    marks = spread(runs, buckets, "bucket").groupBy("bucket").applyInPandas(lambda f: _probe(f, homes), PLACED)
+    places = spread(marks, homes, "home").groupBy("home").applyInPandas(_placed, "key long, places binary")
+    # Rows that repeat lie in several batches; what repeats in one of them repeats in each.
+    return spread(places, blocks, "key").groupBy("key").agg(F.max("places").alias("places"))
 
 
 def _manifest(spark: SparkSession, path: str) -> tuple[int, int, list[str]]:
@@ -312,7 +350,7 @@ def substring_dedup(docs: DataFrame, width: int = 35, index: DataFrame | None =
     gives an empty result.
     """
     blocks = blocks_of(docs, BUCKET_CHARS)
-    marks = spread(repeated_windows(docs, width, index, blocks), blocks, "key")
+    marks = repeated_windows(docs, width, index, blocks)
     joined = spread(_keyed(docs), blocks, "key").join(marks.hint("shuffle_hash"), "key", "left").select("doc_id", "no_id", "text", "places")
     schema = "doc_id long, no_id boolean, n_words long, n_removed long, kept_sha256 string" + ", kept_text string" * with_text
     return restored(joined.mapInPandas(lambda it: _cut(it, width, with_text), schema))

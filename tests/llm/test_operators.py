@@ -149,7 +149,7 @@ def test_substring_hot_windows():
     import pandas as pd
 
     from corvine.llm import substring_dedup as S
-    from corvine.llm.common import low, packed, unpacked
+    from corvine.llm.common import low, unpacked
 
     class Counted(S.RunIndex):
         made = []
@@ -162,17 +162,51 @@ def test_substring_hot_windows():
     for k in range(n):
         # Windows 1 and 2 share a hash and are in all batches; 3 is in none but this and the next one.
         prints, checks = np.array([1000 + k, 7, 7, 8 + (k // 2)], np.uint64), np.array([1, 2, 1, 3], np.uint64)
-        rows.append((5, *packed(np.full(4, k), np.zeros(4, int), np.arange(4)), low(prints, 6), low(checks, 3)))
+        rows.append((5, np.int64(k).tobytes(), None, None, S._steps(np.arange(4)), low(prints, 6), low(checks, 3)))
     with pytest.MonkeyPatch.context() as patch:
         patch.setattr(S, "RunIndex", Counted)
         for least in (1 << 17, 10):
             patch.setattr(S, "RUN_WINDOWS", least)
-            got = S._probe(pd.DataFrame(rows, columns=["bucket", "keys", "counts", "places", "prints", "checks"]), 3)
+            got = S._probe(pd.DataFrame(rows, columns=[c.split()[0] for c in S.RUN.split(", ")]), 3)
             marks = [x for r in got.itertuples() for x in zip(*(v.tolist() for v in unpacked(r.keys, r.counts, r.places)), strict=True)]
             assert sorted(marks) == [(k, p) for k in range(n) for p in (1, 2, 3)]
     assert [len(x) for x, _ in Counted.made] == [2 + n // 2] * 2 and Counted.made[0][1] == 1
 
 
+def test_substring_sent_bytes():
+    """What a batch sends for a window does not grow with the number of buckets."""
+    import zlib
+
+    import numpy as np
+    import pandas as pd
+
+    from corvine.llm import substring_dedup as S
+
+    rng = np.random.default_rng(3)
+    texts = [None, "", *(" ".join(map(str, rng.integers(0, 1 << 40, 300))) for _ in range(400))]
+    frame = pd.DataFrame({"key": rng.integers(-(1 << 62), 1 << 62, len(texts)), "text": texts})
+    size = []
+    for buckets in (8, 600):
+        (out,) = S._runs(iter([frame]), 35, buckets)
+        of = out[out["prints"].notna()]
+        size.append(sum(len(x) for c in ("prints", "checks") for x in of[c]) + len(zlib.compress(b"".join(of["places"]), 1)))
+        assert len(out) == buckets + 1 and out["docs"].notna().sum() == 1
+        marks = of.assign(bucket=0)
+        assert not len(S._placed(S._probe(out, 1)))
+        # The same batch once more: all its windows repeat, at their places in their own texts.
+        got = S._placed(S._probe(pd.concat([out, marks]), 1)).set_index("key")["places"]
+        assert sorted(got.index) == sorted(frame["key"][2:]) and all(S.unplanes(x, "<u4").tolist() == list(range(266)) for x in got)
+    assert size[1] < 1.2 * size[0]
+
+
+def test_substring_repeated_rows(spark):
+    """Rows that repeat, in one batch and in several, come out once each."""
+    p = " ".join(f"x{k}" for k in range(50))
+    rows = [(1, p), (1, p), (2, "a " + p), (3, " ".join(f"y{k}" for k in range(50))), (4, None)]
+    got = substring_dedup(spark.createDataFrame(rows * 2, "doc_id long, text string").repartition(5)).collect()
+    assert sorted((r.doc_id, r.n_removed) for r in got) == sorted([(1, 50), (1, 50), (2, 51), (3, 50), (4, 0)] * 2)
+
+
 def test_substring_spread(spark, docs, monkeypatch):
     """More buckets than shuffle partitions and many runs in each: the same rows, in as many tasks."""
     from corvine.llm import substring_dedup as S
