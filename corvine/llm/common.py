@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import contextlib
 import ctypes
+import itertools
 import re
 import tempfile
 import uuid
@@ -123,6 +124,34 @@ def unplanes(data: bytes, kind: str) -> np.ndarray:
     return np.ascontiguousarray(np.frombuffer(data, np.uint8).reshape(width, -1).T).reshape(-1).view(kind)
 
 
+def planes_of(values: np.ndarray, kind: str, cuts: np.ndarray) -> list[bytes]:
+    """planes() of each run of the values, all at once; cuts are the starts of the runs and the end of the last."""
+    width, size = np.dtype(kind).itemsize, np.diff(cuts)
+    raw = np.ascontiguousarray(values.astype(kind)).view(np.uint8).reshape(-1, width)
+    at = np.arange(len(values)) + np.repeat(cuts[:-1] * (width - 1), size)
+    out, size = np.empty(raw.size, np.uint8), np.repeat(size, size)
+    for k in range(width):
+        out[at + k * size] = raw[:, k]
+    return pieces(out.tobytes(), width, cuts)
+
+
+def unplanes_of(parts: Iterable[bytes], kind: str) -> tuple[np.ndarray, np.ndarray]:
+    """The values that planes_of() took, and the number of each part."""
+    parts, width = list(parts), np.dtype(kind).itemsize
+    size = np.array([len(x) // width for x in parts], np.int64)
+    data = np.frombuffer(b"".join(parts), np.uint8)
+    at = np.arange(len(data) // width) + np.repeat((np.cumsum(size) - size) * (width - 1), size)
+    out, of = np.empty((len(at), width), np.uint8), np.repeat(size, size)
+    for k in range(width):
+        out[:, k] = data[at + k * of]
+    return out.reshape(-1).view(kind), size
+
+
+def pieces(data: bytes, width: int, cuts: np.ndarray) -> list[bytes]:
+    """The bytes of each run of values of that width."""
+    return [data[a:b] for a, b in itertools.pairwise((cuts * width).tolist())]
+
+
 def low(values: np.ndarray, n: int) -> bytes:
     """The lower n bytes of each 64-bit value, one after the other."""
     return np.ascontiguousarray(values).view(np.uint8).reshape(-1, 8)[:, :n].tobytes()
@@ -168,15 +197,6 @@ def by_home(keys: list[np.ndarray], places: list[np.ndarray], homes: int) -> pd.
     return pd.DataFrame([(int(key[a] % homes), *packed(key[a:b], key[a:b], place[a:b])) for a, b in groups(key % homes)], columns=["home", "keys", "counts", "places"])
 
 
-def gathered(frame: pd.DataFrame) -> pd.DataFrame:
-    """All HOMED rows of one home -> (key, places): the distinct places of each key in order, as planes of "<u4"."""
-    pairs = [unpacked(r.keys, r.counts, r.places) for r in frame.itertuples()]
-    key, place = np.concatenate([k for k, _ in pairs]), np.concatenate([p for _, p in pairs])
-    order = np.lexsort((place, key))
-    key, place = key[order], place[order]
-    return pd.DataFrame([(int(key[a]), planes(np.unique(place[a:b]), "<u4")) for a, b in groups(key)], columns=["key", "places"])
-
-
 def trim() -> None:
     """Gives memory that a worker has freed back to the system: idle workers stay, and count, beside the executor."""
     pa.default_memory_pool().release_unused()

@@ -16,12 +16,17 @@ equal variants with different places are two edits apart, unless another key sho
 edit distance is verified from the places, and the earliest line of a key settles all its other lines:
 no pair of lines is ever formed. Keys are two independent hashes of 64 bits.
 
-One edit leaves the first or the last half of the shorter line as it is. So a first pass joins hashes of these
-halves (four a line: first and last, by the line's length and by one less), and only lines that share one
-with another line emit variants. No near or equal line is lost by that. This pass reads every word, so its words
-are hashed in numpy, for all of a batch at once; a hash that two words share would only let more lines through.
+Two passes keep most lines from emitting variants; no near or equal line is lost by them.
+
+The first joins hashes of whole lines and of their halves. Of equal lines all but the earliest go at once: what
+is near to one of them is near to the earliest. One edit leaves the first or the last half of the shorter line as
+it is, so of the lines left only those that share a half (four a line: first and last, by the line's length and
+by one less) with another line emit variants, in the second pass. The first pass reads every word, so its words
+are hashed in numpy, for all of a batch at once.
 
 Each batch sends only its earliest copy of an equal line, so a frequent line costs a bucket one entry a batch.
+What a batch sends to all its buckets is packed at once: there are about as many buckets as tasks, and few lines
+of a batch in each.
 """
 
 from __future__ import annotations
@@ -36,14 +41,19 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import (
-    BASES, HOMED, INVERSES, blocks_of, bounded, by_home, gathered, groups, guarded, hashed_words, low, mix, packed, partitions, planes, powers, restored, small_batches, trim, unpacked, unplanes, utf8, wide, words_of, written,
+    BASES, INVERSES, blocks_of, bounded, guarded, hashed_words, low, mix, partitions, pieces, planes_of, powers, restored, small_batches, trim, unplanes, unplanes_of, utf8, wide, words_of, written,
 )
 
-HALVES = "bucket int, keys binary, counts binary, places binary, prints binary"
-SENT = "bucket int, docs binary, keys binary, counts binary, lines binary, places binary, prints binary, checks binary"
-GONE = "home int, docs binary, keys binary, counts binary, lines binary"
-#: Places of an entry that is a whole line: one that only equals others, and one that may be near others.
-FULL, FULL_LONG = 0xFFFFFFFE, 0xFFFFFFFF
+#: Lines, as packed_lines() has them.
+LINES = "docs binary, keys binary, counts binary, lines binary"
+FOUND = f"bucket int, kind int, {LINES}, prints binary, checks binary"
+#: Kinds of FOUND: lines by halves or whole, and what is known within a batch: lines with a half in common, and later copies.
+HALF, WHOLE, NEAR, COPY = range(4)
+HOMED = f"home int, copies boolean, {LINES}"
+SENT = f"bucket int, {LINES}, entries binary, places binary, prints binary, checks binary"
+GONE = f"home int, {LINES}"
+#: Place of an entry that is a whole line.
+FULL = 0xFFFFFFFF
 LAST = np.iinfo(np.int64).max
 #: Characters of text for each bucket of the first pass.
 BUCKET_CHARS = 16_000_000
@@ -138,23 +148,30 @@ class Lines:
             out.hashes = hashes
         return out
 
-    def halves(self) -> tuple[np.ndarray, np.ndarray]:
-        """(line, hash): the four halves of each line, or the whole of one that must be equal."""
+    def sums(self, which: int) -> tuple[np.ndarray, np.ndarray]:
+        """Sums of the hashes by powers of a base, and the inverse powers: the hash of any run of units is a difference of the first times one of the second."""
         n = len(self.hashes)
-        up, down = powers(BASES[0], n + 1), powers(INVERSES[0], n + 1)
         sums = np.zeros(n + 1, np.uint64)
-        np.cumsum(self.hashes * up[:n], out=sums[1:])
+        np.cumsum(self.hashes * powers(BASES[which], n), out=sums[1:])
+        return sums, powers(INVERSES[which], n + 1)
+
+    def wholes(self, sums: np.ndarray, down: np.ndarray) -> np.ndarray:
+        """A hash of each line, from one of the two sums()."""
         end = np.cumsum(self.lens)
         begin = end - self.lens
-        lines, prints = [], []
-        for shorter in (self.lens - 1, self.lens):
-            half = np.where(self.fuzzy, np.maximum(shorter - 1, 0) // 2, self.lens)
-            size = shorter.astype(np.uint64) * np.uint64(BASES[1]) + self.salt
-            first = mix((sums[begin + half] - sums[begin]) * down[begin] + size)
-            last = mix((sums[end] - sums[end - half]) * down[end - half] + size + SUFFIX)
-            lines += [np.arange(len(self.lens)), np.flatnonzero(self.fuzzy)]
-            prints += [first, last[self.fuzzy]]
-        return np.concatenate(lines), np.concatenate(prints)
+        return mix((sums[end] - sums[begin]) * down[begin] + self.lens.astype(np.uint64) * np.uint64(BASES[1]) + self.salt)
+
+    def halves(self, sums: np.ndarray, down: np.ndarray, some: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(line, hash): the four halves of some of the lines, from sums(0)."""
+        lens, salt, end = self.lens[some], self.salt[some], np.cumsum(self.lens)[some]
+        begin = end - lens
+        prints = []
+        for shorter in (lens - 1, lens):
+            half = np.maximum(shorter - 1, 0) // 2
+            size = shorter.astype(np.uint64) * np.uint64(BASES[1]) + salt
+            prints.append(mix((sums[begin + half] - sums[begin]) * down[begin] + size))
+            prints.append(mix((sums[end] - sums[end - half]) * down[end - half] + size + SUFFIX))
+        return np.tile(some, 4), np.concatenate(prints)
 
 
 def variants(hashes: np.ndarray, lens: np.ndarray, which: int, salt: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -176,165 +193,218 @@ def variants(hashes: np.ndarray, lens: np.ndarray, which: int, salt: np.ndarray)
     return full, mix(left + right + (size[line] - np.uint64(1)) * np.uint64(BASES[1 - which]) + salt[line])
 
 
-def _halves(batches: Iterator[pd.DataFrame], min_words: int, min_chars: int, buckets: int) -> Iterator[pd.DataFrame]:
-    """Rows with prints go to their bucket. Rows without are lines that share a half within the batch; they go along for the ride."""
+def changes(*columns: np.ndarray) -> np.ndarray:
+    """Which rows differ from the one before in any of the columns; the first does."""
+    out = np.ones(len(columns[0]), bool)
+    out[1:] = np.logical_or.reduce([c[1:] != c[:-1] for c in columns])
+    return out
+
+
+def cuts_of(*columns: np.ndarray) -> np.ndarray:
+    """Starts of the runs of rows that are equal in all columns, and the end."""
+    return np.append(np.flatnonzero(changes(*columns)), len(columns[0]))
+
+
+def packed_lines(order: np.ndarray, key: np.ndarray, number: np.ndarray, cuts: np.ndarray) -> list[list[bytes]]:
+    """LINES of each run of lines: steps between its documents' orders, their keys, how many lines each has, and the numbers of these."""
+    fresh = changes(order, key)
+    fresh[cuts[:-1]] = True
+    begins = np.flatnonzero(fresh)
+    docs = np.searchsorted(begins, cuts)
+    step = np.diff(order[begins], prepend=0)
+    step[docs[:-1]] = order[cuts[:-1]]
+    count = np.diff(np.append(begins, len(order)))
+    return [planes_of(step, "<i8", docs), pieces(key[begins].tobytes(), 8, docs), planes_of(count, "<u4", docs), planes_of(number, "<u4", cuts)]
+
+
+def unpacked_lines(frame: pd.DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(order, key, number) of all lines of LINES rows."""
+    step, size = unplanes_of(frame["docs"], "<i8")
+    sums = np.cumsum(step)
+    order = sums - np.repeat(np.append(0, sums)[np.cumsum(size) - size], size)
+    count = unplanes_of(frame["counts"], "<u4")[0]
+    number = unplanes_of(frame["lines"], "<u4")[0].astype(np.int64)
+    return np.repeat(order, count), np.repeat(np.frombuffer(b"".join(frame["keys"]), np.int64), count), number
+
+
+def homed(lines: list[tuple[np.ndarray, np.ndarray, np.ndarray]], homes: int) -> tuple[list[int], list[list[bytes]]]:
+    """Lines (order, key, number), by the home of their document: the homes and LINES of each."""
+    order, key, number = (np.concatenate(x) for x in zip(*lines, strict=True))
+    by = np.lexsort((number, key, order, key % homes))
+    order, key, number = order[by], key[by], number[by]
+    cuts = cuts_of(key % homes)
+    return (key[cuts[:-1]] % homes).tolist(), packed_lines(order, key, number, cuts)
+
+
+def table_of(schema: str, *columns: list) -> pd.DataFrame:
+    return pd.DataFrame(dict(zip((c.split()[0] for c in schema.split(", ")), columns, strict=True)))
+
+
+def _found(batches: Iterator[pd.DataFrame], min_words: int, min_chars: int, buckets: int) -> Iterator[pd.DataFrame]:
+    """The earliest copy of each line of a batch goes to the buckets of its hashes, whole and by halves. What is known within the batch goes along for the ride."""
     for frame in bounded(batches, "text", 1_000_000):
+        frame = frame.sort_values(["order", "key"], kind="stable").drop_duplicates(["order", "key"])
         lines = Lines.scanned(list(frame["text"]), min_words, min_chars)
         if not len(lines.lens):
             continue
-        line, prints = lines.halves()
-        order = np.lexsort((line, prints))
-        line, prints = line[order], prints[order]
-        same = prints[1:] == prints[:-1]
-        other = same & (line[1:] != line[:-1])
-        twice = np.unique(np.r_[line[1:][other], line[:-1][other]])
-        first = np.r_[True, ~same]
-        line, prints = line[first], prints[first]
-        bucket = ((prints >> np.uint64(40)) % np.uint64(buckets)).astype(np.int64)
-        by = np.lexsort((line, bucket))
-        line, prints, bucket = line[by], prints[by], bucket[by]
-        keys = frame["key"].to_numpy(np.int64)
-        pack = lambda at: packed(keys[lines.doc[at]], lines.doc[at], lines.number[at])
-        rows = [(int(bucket[a]), *pack(line[a:b]), low(prints[a:b], 5)) for a, b in groups(bucket)]
-        if len(twice):
-            rows.append((int(bucket[0]), *pack(twice), None))
-        yield pd.DataFrame(rows, columns=[c.split()[0] for c in HALVES.split(", ")])
-        del lines
-        trim()
+        orders, keys = frame["order"].to_numpy(np.int64), frame["key"].to_numpy(np.int64)
+        sums, down = lines.sums(0)
+        whole, check = lines.wholes(sums, down), lines.wholes(*lines.sums(1))
+        # The frame is in order, so the first of equal lines is the earliest.
+        by = np.lexsort((check, whole))
+        once = np.zeros(len(whole), bool)
+        once[by[changes(whole[by], check[by])]] = True
+        own = np.flatnonzero(once)
+        line, prints = lines.halves(sums, down, np.flatnonzero(once & lines.fuzzy))
+        by = np.lexsort((line, prints))
+        line, prints = line[by], prints[by]
+        fresh = changes(prints)
+        other = ~fresh[1:] & (line[1:] != line[:-1])
+        near = np.unique(np.r_[line[1:][other], line[:-1][other]])
+        line, prints = line[fresh], prints[fresh]
+
+        def rows(kind: int, bucket: np.ndarray, line: np.ndarray, prints: bytes | None = None, checks: bytes | None = None) -> pd.DataFrame:
+            cuts = cuts_of(bucket)
+            n = len(cuts) - 1
+            of = lines.doc[line]  # noqa: B023
+            packed = packed_lines(orders[of], keys[of], lines.number[line], cuts)  # noqa: B023
+            parts = [[None] * n if x is None else pieces(x, len(x) // len(line), cuts) for x in (prints, checks)]
+            return table_of(FOUND, bucket[cuts[:-1]], [kind] * n, *packed, *parts)
+
+        place = (prints >> np.uint64(40)) % np.uint64(buckets)
+        by = np.lexsort((line, place))
+        out = [rows(HALF, place[by].astype(np.int64), line[by], low(prints[by], 5))] if len(line) else []
+        place = (check[own] >> np.uint64(20)) % np.uint64(buckets)
+        by = np.lexsort((own, place))
+        place, own = place[by].astype(np.int64), own[by]
+        out.append(rows(WHOLE, place, own, whole[own].tobytes(), check[own].tobytes()))
+        out += [rows(kind, np.full(len(x), place[0]), x) for kind, x in ((NEAR, near), (COPY, np.flatnonzero(~once))) if len(x)]
+        yield pd.concat(out, ignore_index=True)
+    trim()
 
 
 def _shared(frame: pd.DataFrame, homes: int) -> pd.DataFrame:
-    """All halves of a bucket -> the lines of those that several lines have, packed by home.
+    """All hashes of a bucket -> the lines that share a half with others, and those that have an earlier copy, by home.
 
     Halves are compared by 40 bits and the bucket; a chance match only sends a line to the second pass.
     """
-    keys, places, held = [], [], []
-    for row in frame.itertuples():
-        key, place = unpacked(row.keys, row.counts, row.places)
-        if row.prints is None:
-            keys.append(key)
-            places.append(place)
-        else:
-            held.append((key, place, wide(row.prints, 5)))
-    if held:
-        key, place, prints = (np.concatenate([h[k] for h in held]) for k in range(3))
-        order = np.argsort(prints, kind="stable")
-        same = prints[order][1:] == prints[order][:-1]
-        some = order[np.r_[same, False] | np.r_[False, same]]
-        keys.append(key[some])
-        places.append(place[some])
-    return by_home(keys, places, homes)
+    parts = dict(list(frame.groupby("kind")))
+    near, copies = ([unpacked_lines(parts[k])] if k in parts else [] for k in (NEAR, COPY))
+    if (part := parts.get(HALF)) is not None:
+        prints = wide(b"".join(part["prints"]), 5)
+        by = np.argsort(prints)
+        same = ~changes(prints[by])[1:]
+        some = by[np.r_[same, False] | np.r_[False, same]]
+        near.append(tuple(x[some] for x in unpacked_lines(part)))
+    if (part := parts.get(WHOLE)) is not None:
+        prints, checks = (np.frombuffer(b"".join(part[c]), np.uint64) for c in ("prints", "checks"))
+        by = np.argsort(prints)
+        same = ~changes(prints[by])[1:]
+        some = by[np.r_[same, False] | np.r_[False, same]]
+        order, key, number = (x[some] for x in unpacked_lines(part))
+        by = np.lexsort((number, key, order, checks[some], prints[some]))
+        order, key, number, some = order[by], key[by], number[by], some[by]
+        fresh = changes(prints[some], checks[some])
+        first = np.flatnonzero(fresh)[np.cumsum(fresh) - 1]
+        # A document that repeats has each of its lines once.
+        later = (order != order[first]) | (key != key[first]) | (number != number[first])
+        copies.append((order[later], key[later], number[later]))
+    out = [(flag, *homed(x, homes)) for flag, x in ((False, near), (True, copies)) if x]
+    return pd.concat([table_of(HOMED, at, [flag] * len(at), *packed) for flag, at, packed in out], ignore_index=True)
+
+
+def _gathered(frame: pd.DataFrame) -> pd.DataFrame:
+    """All HOMED rows of one home -> each of its documents with the numbers of its lines that may be near others, and of its copies."""
+    parts = [(flag, *unpacked_lines(rows)) for flag, rows in frame.groupby("copies")]
+    copy = np.concatenate([np.full(len(p[1]), p[0]) for p in parts])
+    order, key, number = (np.concatenate([p[k] for p in parts]) for k in (1, 2, 3))
+    by = np.lexsort((~copy, number, key, order))
+    by = by[changes(order[by], key[by], number[by])]  # a copy is gone, whatever its halves are
+    order, key, number, copy = order[by], key[by], number[by], copy[by]
+    cuts = cuts_of(order, key)
+    kinds = [planes_of(number[x], "<u4", np.append(0, np.cumsum(x))[cuts]) for x in (~copy, copy)]
+    return pd.DataFrame({"order": order[cuts[:-1]], "key": key[cuts[:-1]], "places": kinds[0], "copies": kinds[1]})
 
 
 def _send(batches: Iterator[pd.DataFrame], min_words: int, min_chars: int, buckets: int) -> Iterator[pd.DataFrame]:
-    """Lines and their variants go to their buckets. Rows without prints are lines removed already, which go along for the ride."""
+    """Lines and their variants go to their buckets. Rows without prints are copies, which go along for the ride."""
     for frame in bounded(batches, "text", 1_000_000):
         frame = frame.sort_values(["order", "key"], kind="stable").drop_duplicates(["order", "key"])
+        keys, orders = frame["key"].to_numpy(np.int64), frame["order"].to_numpy(np.int64)
+        number, count = unplanes_of(frame["copies"], "<u4")
+        if len(number):
+            packed = packed_lines(np.repeat(orders, count), np.repeat(keys, count), number, np.array([0, len(number)]))
+            yield table_of(SENT, [int(keys[0] % buckets)], *packed, *[[None]] * 4)
         lines = Lines(list(frame["text"]), [unplanes(x, "<u4") for x in frame["places"]], min_words, min_chars)
         lens = lines.lens
         if not len(lens):
             continue
-        keys, orders = frame["key"].to_numpy(np.int64), frame["order"].to_numpy(np.int64)
         full, cut = variants(lines.hashes, lens, 0, lines.salt)
         full2, cut2 = variants(lines.hashes, lens, 1, lines.salt)
-        # Later copies of an equal line go here and now; the frame is in order, so the first one is the earliest.
-        by = np.lexsort((np.arange(len(full)), full2, full))
-        once = np.zeros(len(full), bool)
-        once[by[np.r_[True, (np.diff(full[by]) != 0) | (np.diff(full2[by]) != 0)]]] = True
         line = np.repeat(np.arange(len(lens)), lens)
         place = np.arange(len(line)) - (np.cumsum(lens) - lens)[line]
-        fuzzy = (once & lines.fuzzy)[line]
-        own = np.flatnonzero(once)
-        line = np.concatenate([own, line[fuzzy]])
-        place = np.concatenate([np.where(lines.fuzzy[own], FULL_LONG, FULL), place[fuzzy]])
-        prints, checks = np.concatenate([full[own], cut[fuzzy]]), np.concatenate([full2[own], cut2[fuzzy]])
+        line = np.concatenate([np.arange(len(lens)), line])
+        place = np.concatenate([np.full(len(lens), FULL), place])
+        prints, checks = np.concatenate([full, cut]), np.concatenate([full2, cut2])
         bucket = ((checks >> np.uint64(20)) % np.uint64(buckets)).astype(np.int64)
-
-        def lines_of(at: np.ndarray) -> tuple[bytes, bytes, bytes]:
-            of = lines.doc[at]  # noqa: B023
-            return planes(np.diff(orders[of], prepend=0), "<i8"), planes(keys[of], "<i8"), planes(lines.number[at], "<u4")  # noqa: B023
-
-        rows = []
-        again = np.flatnonzero(~once)
-        if len(again):
-            docs_, keys_, numbers_ = lines_of(again)
-            rows.append((int(bucket[0]), docs_, keys_, None, numbers_, None, None, None))
         sent = np.lexsort((line, bucket))
-        for a, b in groups(bucket[sent]):
-            at = sent[a:b]
-            of = line[at]
-            begins = np.flatnonzero(np.r_[True, of[1:] != of[:-1]])
-            docs_, keys_, numbers_ = lines_of(of[begins])
-            count = planes(np.diff(np.append(begins, len(at))), "<u4")
-            rows.append((int(bucket[at[0]]), docs_, keys_, count, numbers_, planes(place[at], "<u4"), prints[at].tobytes(), checks[at].tobytes()))
-        yield pd.DataFrame(rows, columns=[c.split()[0] for c in SENT.split(", ")])
+        line, place, bucket = line[sent], place[sent], bucket[sent]
+        cuts = cuts_of(bucket)
+        begins = np.flatnonzero(changes(bucket, line))
+        of = np.searchsorted(begins, cuts)
+        own = line[begins]
+        packed = packed_lines(orders[lines.doc[own]], keys[lines.doc[own]], lines.number[own], of)
+        entries = planes_of(np.diff(np.append(begins, len(line))), "<u4", of)
+        hashes = [pieces(x[sent].tobytes(), 8, cuts) for x in (prints, checks)]
+        yield table_of(SENT, bucket[cuts[:-1]], *packed, entries, planes_of(place, "<u4", cuts), *hashes)
     trim()
 
 
 def _settle(frame: pd.DataFrame, homes: int) -> pd.DataFrame:
     """All entries of a bucket -> the lines to remove, packed by the home of their document."""
-
-    def joined(rows: list, name: str, kind: str) -> np.ndarray:
-        return np.concatenate([unplanes(getattr(r, name), kind) for r in rows])
-
-    def documents(rows: list) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        order = np.concatenate([np.cumsum(unplanes(r.docs, "<i8")) for r in rows])
-        return order, joined(rows, "keys", "<i8"), joined(rows, "lines", "<u4").astype(np.int64)
-
     found = []
-    if marks := [r for r in frame.itertuples() if r.prints is None]:
-        found.append(documents(marks))
-    if rows := [r for r in frame.itertuples() if r.prints is not None]:
-        count = joined(rows, "counts", "<u4")
-        line = np.repeat(np.arange(len(count)), count)
-        doc, key, number = documents(rows)
-        place = joined(rows, "places", "<u4")
-        prints, checks = (np.concatenate([np.frombuffer(getattr(r, c), np.uint64) for r in rows]) for c in ("prints", "checks"))
+    rides = frame["prints"].isna()
+    if rides.any():
+        found.append(unpacked_lines(frame[rides]))
+    if not rides.all():
+        rows = frame[~rides]
+        doc, key, number = unpacked_lines(rows)
+        line = np.repeat(np.arange(len(doc)), unplanes_of(rows["entries"], "<u4")[0])
+        place = unplanes_of(rows["places"], "<u4")[0]
+        prints, checks = (np.frombuffer(b"".join(rows[c]), np.uint64) for c in ("prints", "checks"))
         # Rank of each line in the order (document, its key, line): equal documents that repeat have equal ranks.
         order = np.lexsort((number, key, doc))
-        new = np.r_[True, (np.diff(doc[order]) != 0) | (np.diff(key[order]) != 0) | (np.diff(number[order]) != 0)]
         rank = np.empty(len(doc), np.int64)
-        rank[order] = np.cumsum(new)
+        rank[order] = np.cumsum(changes(doc[order], key[order], number[order]))
         gone = np.zeros(len(doc), bool)
         by = np.lexsort((place, checks, prints))
         line, place, prints, checks = line[by], place[by], prints[by], checks[by]
         ranks = rank[line]
-        fresh = np.r_[True, (prints[1:] != prints[:-1]) | (checks[1:] != checks[:-1])]
+        fresh = changes(prints, checks)
         group = np.cumsum(fresh) - 1
-        same = np.cumsum(fresh | np.r_[True, place[1:] != place[:-1]]) - 1
-        # The two kinds of whole lines of equal units differ in no group: equal units are equally many.
-        earliest = np.minimum.reduceat(ranks, np.flatnonzero(np.r_[True, same[1:] != same[:-1]]))
-        gone[line[ranks > earliest[same]]] = True  # equal lines, or one unit replaced
-        whole = place >= FULL
+        again = fresh | changes(place)
+        earliest = np.minimum.reduceat(ranks, np.flatnonzero(again))
+        gone[line[ranks > earliest[np.cumsum(again) - 1]]] = True  # one unit replaced
+        whole = place == FULL
         n = group[-1] + 1
         first_whole, first_cut = np.full(n, LAST), np.full(n, LAST)
-        long_whole = place == FULL_LONG
-        np.minimum.at(first_whole, group[long_whole], ranks[long_whole])
+        np.minimum.at(first_whole, group[whole], ranks[whole])
         np.minimum.at(first_cut, group[~whole], ranks[~whole])
         gone[line[~whole & (ranks > first_whole[group])]] = True  # one unit inserted
-        gone[line[long_whole & (ranks > first_cut[group])]] = True  # one unit deleted
+        gone[line[whole & (ranks > first_cut[group])]] = True  # one unit deleted
         found.append((doc[gone], key[gone], number[gone]))
-    doc, key, number = (np.concatenate(x) for x in zip(*found, strict=True))
-    home = key % homes
-    by = np.lexsort((number, key, doc, home))
-    doc, key, number, home = doc[by], key[by], number[by], home[by]
-    out = []
-    for a, b in groups(home):
-        begins = np.flatnonzero(np.r_[True, (np.diff(doc[a:b]) != 0) | (np.diff(key[a:b]) != 0)])
-        count = planes(np.diff(np.append(begins, b - a)), "<u4")
-        out.append((int(home[a]), doc[a:b][begins].tobytes(), key[a:b][begins].tobytes(), count, planes(number[a:b], "<u4")))
-    return pd.DataFrame(out, columns=[c.split()[0] for c in GONE.split(", ")])
+    at, packed = homed(found, homes)
+    return table_of(GONE, at, *packed)
 
 
 def _collected(frame: pd.DataFrame) -> pd.DataFrame:
     """All lines to remove of one home -> one row for each document."""
-    count = np.concatenate([unplanes(x, "<u4") for x in frame["counts"]])
-    doc, key = (np.repeat(np.concatenate([np.frombuffer(x, np.int64) for x in frame[c]]), count) for c in ("docs", "keys"))
-    number = np.concatenate([unplanes(x, "<u4") for x in frame["lines"]])
-    by = np.lexsort((number, key, doc))
-    doc, key, number = doc[by], key[by], number[by]
-    cut = np.cumsum(np.r_[True, (np.diff(doc) != 0) | (np.diff(key) != 0)][: len(doc)])
-    return pd.DataFrame([(int(doc[a]), int(key[a]), planes(np.unique(number[a:b]), "<u4")) for a, b in groups(cut)], columns=["order", "key", "lines"])
+    order, key, number = unpacked_lines(frame)
+    by = np.lexsort((number, key, order))
+    by = by[changes(order[by], key[by], number[by])]
+    order, key, number = order[by], key[by], number[by]
+    cuts = cuts_of(order, key)
+    return pd.DataFrame({"order": order[cuts[:-1]], "key": key[cuts[:-1]], "lines": planes_of(number, "<u4", cuts)})
 
 
 def _keyed(docs: DataFrame) -> DataFrame:
@@ -346,9 +416,11 @@ def removed_lines(keyed: DataFrame, min_words: int = 8, min_chars: int = 16) ->
     """(order, key, lines): for each document of _keyed() that loses lines, their numbers from 0 as planes of "<u4"."""
     small_batches(keyed.sparkSession)
     homes, buckets = partitions(keyed.sparkSession), blocks_of(keyed, BUCKET_CHARS)
-    halves = keyed.select("key", "text").mapInPandas(lambda it: _halves(it, min_words, min_chars, buckets), HALVES)
-    shared = halves.groupBy("bucket").applyInPandas(lambda f: _shared(f, homes), HOMED).groupBy("home").applyInPandas(gathered, "key long, places binary")
-    some = keyed.select("key", "order", "text").join(shared.hint("shuffle_hash"), "key")
+    found = keyed.select("key", "order", "text").mapInPandas(lambda it: _found(it, min_words, min_chars, buckets), FOUND)
+    shared = found.groupBy("bucket").applyInPandas(lambda f: _shared(f, homes), HOMED)
+    lines = shared.groupBy("home").applyInPandas(_gathered, "order long, key long, places binary, copies binary")
+    joined = keyed.select("key", "order", "text").join(lines.hint("shuffle_hash"), ["order", "key"])
+    some = joined.withColumn("text", F.when(F.length("places") > 0, F.col("text")))
     sent = some.mapInPandas(lambda it: _send(it, min_words, min_chars, 4 * buckets), SENT)
     settled = sent.groupBy("bucket").applyInPandas(lambda f: _settle(f, homes), GONE)
     return written(settled.groupBy("home").applyInPandas(_collected, "order long, key long, lines binary"), "lines")

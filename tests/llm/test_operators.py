@@ -455,6 +455,69 @@ def test_line_dedup(spark, docs, odd):
     assert line_dedup(odd).count() == 9 and line_dedup_report(odd).where("doc_id = 2 and n_removed = 1").count() == 1
 
 
+def test_line_dedup_copies(spark):
+    """Lines that are only equal to others are settled by the hash of the whole line: but for the earliest copy, none sends its variants."""
+    import random
+
+    rng = random.Random(3)
+    shared = [" ".join(f"{rng.getrandbits(20):x}" for _ in range(300)) for _ in range(40)]
+    rows = [(k - 5, "\n".join([f"only here {k} {k}", *rng.sample(shared, 40)])) for k in range(12)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(12).cache()
+    assert df.count() == 12
+
+    def moved():
+        sc = spark.sparkContext
+        stages = sc._jsc.sc().statusStore().stageList(sc._jvm.java.util.ArrayList(), False, False, sc._gateway.new_array(sc._jvm.double, 0), sc._jvm.java.util.ArrayList())
+        return sum(stages.apply(k).shuffleWriteBytes() for k in range(stages.size()))
+
+    before = moved()
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")  # else all copies are in one task
+    try:
+        assert {r.doc_id: r.n_removed for r in line_dedup_report(df).collect()} == {i: 40 * (i > -5) for i, _ in rows}
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    # Texts are moved once; the variants of 40 lines have 40 * 301 * 16 bytes of hashes, and several times these if more than one task sends them.
+    sent, texts = moved() - before, sum(len(t) for _, t in rows)
+    df.unpersist()
+    assert sent < texts + 2 * 40 * 301 * 20
+
+
+def test_line_dedup_copies_brute(spark):
+    """Copies and near copies of few lines, many times over many partitions, ids below 0, rows that repeat."""
+    import random
+
+    rng = random.Random(11)
+    pool = []
+    for n in (3, 8, 9, 14):
+        base = [f"word{n}x{k}" for k in range(n)]
+        pool += [" ".join(base), "  ".join(base), " ".join([*base, "more"]), " ".join(base[1:]), " ".join(["other", *base[1:]]), " ".join([*base[:-1], "last"]), " ".join([*base[:-2], "two", "changes"])]
+    pool += ["short", "short line", " ", ""]
+    for _ in range(4):
+        rows = [(i, "\n".join(rng.choices(pool, k=rng.randrange(1, 9)))) for i in rng.sample(range(-(10**12), 10**12), 40)]
+        want = brute_lines(sorted(rows))
+        again = [*rows, *rng.sample(rows, 5)]
+        rng.shuffle(again)
+        report = line_dedup_report(spark.createDataFrame(again, "doc_id long, text string").repartition(9)).collect()
+        assert len(report) == 45
+        assert all((r.n_removed, r.removed_sha256) == (len(x := want[r.doc_id]), hashlib.sha256(",".join(map(str, x)).encode()).hexdigest()) for r in report)
+
+
+def test_planes_of_runs():
+    import numpy as np
+
+    from corvine.llm.common import planes, planes_of, unplanes_of
+
+    rng = np.random.default_rng(2)
+    for size in ([], [0], [3], [0, 5, 0, 1, 7, 0], [1] * 50):
+        cuts = np.append(0, np.cumsum(size, dtype=np.int64))
+        for kind, low, high in (("<u4", 0, 2**32), ("<i8", -(2**63), 2**63)):
+            values = rng.integers(low, high, cuts[-1], dtype=np.int64)
+            parts = planes_of(values, kind, cuts)
+            assert parts == [planes(values[a:b], kind) if a < b else b"" for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
+            back, sizes = unplanes_of(parts, kind)
+            assert back.tolist() == values.tolist() and sizes.tolist() == size
+
+
 def test_line_dedup_scanned(monkeypatch):
     """The first pass sees the lines that the second one does, equal words alike, and hashes no word of longer lines one by one."""
     import random
