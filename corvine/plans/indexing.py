@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from .. import index, plugins
-from ..operators import flow
+from ..operators import corpus, flow
 from ..settings import load
 from ..sources.files import source_path
+from ..sources.scratch import written
 from . import registry as r
 from .registry import documents, query, table
 
@@ -81,10 +83,21 @@ def incremental_build(spark, sf):
     return files.select("source", "file_hash", "extractor", "status", "reason")
 
 
+#: Characters of a book's row, at most but for the last of its documents.
+PART_CHARS = 2_000_000
+
+
 def _books(spark, sf):
-    """Each source is a page file: its documents, by id, are its pages."""
-    pages = documents(spark, sf).groupBy("source").agg(F.array_sort(F.collect_list(F.struct("doc_id", F.coalesce("text", F.lit("")).alias("t")))).alias("d"))
-    return pages.select(F.concat(F.lit("/"), "source", F.lit(".pdf")).alias("source"), F.array_join(F.transform("d", lambda x: x["t"]), "\f").cast("binary").alias("content"))
+    """Each source is a page file: its documents, by id, are its pages. Its rows have about PART_CHARS characters each, with pages `first` to `last`, so that no task holds a whole file."""
+    docs = documents(spark, sf).where("source is not null").select("source", "doc_id", F.coalesce("text", F.lit("")).alias("t"))
+    sizes = docs.groupBy("source", "doc_id").agg(F.sum(F.length("t")).alias("chars"), F.sum(F.length("t") - F.length(F.replace("t", F.lit("\f"), F.lit(""))) + 1).alias("n"))
+    placed = written(corpus.running_sum(sizes, [F.col("source"), F.col("doc_id")], "chars", "upto").withColumn("part", F.floor(F.col("upto") / PART_CHARS)), "placed")
+    upto = F.sum("n").over(Window.partitionBy("source").orderBy("part"))
+    pages = placed.groupBy("source", "part").agg(F.sum("n").alias("n")).select(F.col("source").alias("of"), F.col("part").alias("at"), (upto - F.col("n") + 1).cast("int").alias("first"), upto.cast("int").alias("last"))
+    where = placed.select(F.col("source").alias("s"), F.col("doc_id").alias("d"), "part")
+    listed = docs.join(where, F.col("source").eqNullSafe(F.col("s")) & F.col("doc_id").eqNullSafe(F.col("d"))).groupBy("source", "part").agg(F.array_sort(F.collect_list(F.struct("doc_id", "t"))).alias("d"))
+    parts = listed.join(pages, (F.col("source") == F.col("of")) & (F.col("part") == F.col("at")))
+    return written(parts.select(F.concat(F.lit("/"), "source", F.lit(".pdf")).alias("source"), "first", "last", F.array_join(F.transform("d", lambda x: x["t"]), "\f").cast("binary").alias("content")), "books")
 
 
 @query()

@@ -197,3 +197,35 @@ def test_files(spark, tmp_path):
     assert files.sources({"demo": one, "uploads": one.limit(0)}).count() == 1
     with pytest.raises(ValueError):
         files.sources({"demo": one.limit(0), "uploads": one.limit(0)})
+
+
+def test_files_in_rows(spark, s, monkeypatch):
+    """A file whose pages come in several rows has the results of the whole one; no row grows with the file, and a row that fails is a failed file."""
+    pages = [f"Part {k}. {PROSE}" for k in range(8)]
+    pages[5] = "short"
+    whole = [("/a.pdf", 1, 8, bytearray(book(*pages))), ("/b.pdf", 1, 8, bytearray(book(*([""] * 6), *pages[6:]))), ("/c.pdf", 1, 2, bytearray(book(*pages[:2])))]
+    cut = [(n, k, min(k + 2, last), bytearray(b"\f".join(bytes(c).split(b"\f")[k - 1 : k + 2]))) for n, _, last, c in whole for k in range(1, last + 1, 3)]
+    schema = "source string, first int, last int, content binary"
+    one, many = (spark.createDataFrame(rows, schema) for rows in (whole, cut))
+    (a, b), (c, d) = flow.extract(one.drop("first", "last"), s, "full-quality"), flow.extract(many, s, "full-quality")
+    assert sorted(map(tuple, a.collect())) == sorted(map(tuple, c.collect()))
+    line = lambda rows: sorted((r.source, r.page, r.text) for r in rows.collect())
+    assert line(b) == line(d)
+    some = many.withColumn("only", F.array(F.lit(2), F.lit(6)))
+    assert sorted((r.source, r.page) for r in flow.read_blocks(some, "form_feed").collect()) == [("/a.pdf", 2), ("/a.pdf", 6), ("/c.pdf", 2)]
+    broken = many.withColumn("content", F.when((F.col("source") == "/a.pdf") & (F.col("first") == 4), None).otherwise(F.col("content")))
+    tried = flow.attempt(flow.counted(broken, "form_feed"), "form_feed", 0, settings=s)
+    assert {r.source: r.status for r in tried.verdicts.collect()}["/a.pdf"] == "hard_fail" and tried.chunks.where("source = '/a.pdf'").count() == 0
+    from corvine.plans import indexing
+
+    monkeypatch.setattr(indexing, "PART_CHARS", 20_000)
+    books = indexing._books(spark, "/root/testdata/sf0.001")
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").where("source is not null")
+    want = {f"/{n}.pdf": "\f".join(t or "" for _, t in sorted(rows)) for n, rows in __import__("itertools").groupby(sorted((r.source, (r.doc_id, r.text)) for r in docs.collect()), lambda x: x[0]) for rows in [[x[1] for x in rows]]}
+    got = {}
+    for r in books.orderBy("source", "first").collect():
+        held = got.setdefault(r.source, [])
+        assert r.first == 1 + sum(x.count("\f") + 1 for x in held) and r.last == r.first + bytes(r.content).count(b"\f")
+        held.append(bytes(r.content).decode())
+    assert {k: "\f".join(v) for k, v in got.items()} == want
+    assert books.agg(F.max(F.length("content"))).first()[0] < 20_000 + 4 * docs.agg(F.max(F.length("text"))).first()[0]
