@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import chunking, text
 from ..operators import cascade, corpus, retrieval
+from ..sources.scratch import written
 from . import registry as r
 from .registry import ORACLES, documents, query, table
 
@@ -42,7 +43,7 @@ def _rewritten(spark, sf):
     found = retrieval.bm25_topk(r.lexical(spark, sf), asked.select((F.col("query_id") * 2 + F.col("n")).alias("query_id"), "query"))
     lexical = found.select(F.expr("query_id div 2").alias("query_id"), (F.col("query_id") % 2).cast("int").alias("rewrite"), F.lit(0).alias("list_no"), F.col("doc_id").alias("item"), "rank", "score")
     dense = r._dense(spark, sf).select("query_id", F.explode(F.array(F.lit(0), F.lit(1))).alias("rewrite"), F.lit(1).alias("list_no"), F.col("vec_id").alias("item"), "rank", "score")
-    return lexical.unionByName(dense)
+    return written(lexical.unionByName(dense), "lists")  # fusions read them several times
 
 
 @query(f"""WITH {r._BM25.replace("AS tok FROM benchmark", f"AS tok FROM {_REWRITES}")},
