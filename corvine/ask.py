@@ -32,7 +32,7 @@ def rewritten(queries: DataFrame, n: int, rewriter: str = "halves") -> DataFrame
 
 
 def candidates(chunks: DataFrame, queries: DataFrame, settings: Settings, k: int, embedder: str = "hashed", rewriter: str = "halves", drop: bool = True) -> DataFrame:
-    """(query_id, pos, item, score, bm25_score, dense_score, and the chunk's columns): two fusions over the rewrites' lists."""
+    """chunks is read several times, so it should be a stored table. (query_id, pos, item, score, bm25_score, dense_score, and the chunk's columns): two fusions over the rewrites' lists."""
     asked = rewritten(queries, settings.rewrite_n, rewriter).withColumn("turn", F.xxhash64("query_id", "rewrite"))
     # Chunks are numbered by the digits of their ids: dense search takes numbers.
     numbered = chunks.withColumn("item", F.conv(F.substring("chunk_id", 1, 15), 16, 10).cast("long"))
@@ -40,7 +40,7 @@ def candidates(chunks: DataFrame, queries: DataFrame, settings: Settings, k: int
     vectors = asked.select(F.col("turn").alias("query_id"), plugins.embedded(F.col("query"), embedder).alias("qvec"))
     dense = retrieval.dense_topk(numbered.select(F.col("item").alias("vec_id"), "embedding"), vectors, k).select(F.col("query_id").alias("turn"), F.lit(1).alias("list_no"), F.col("vec_id").alias("item"), "rank", "score")
     lists = written(lexical.unionByName(dense).join(asked.select("turn", "query_id", "rewrite"), "turn").drop("turn"), "lists")
-    found = retrieval.two_level(lists, k, settings.rrf_k, drop)
+    found = retrieval.small(written(retrieval.two_level(lists, k, settings.rrf_k, drop), "candidates"))  # so that texts are not shuffled for them
     return found.join(numbered.select("item", "chunk_id", "source", "page", "kind", "text"), "item")
 
 

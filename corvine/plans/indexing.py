@@ -6,6 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from .. import index, plugins
+from ..functions import text
 from ..operators import corpus, flow
 from ..settings import load
 from ..sources.files import source_path
@@ -115,9 +116,9 @@ def ask_answers(spark, sf):
     """Every benchmark passage is asked over all documents, each a chunk of its source."""
     from ..ask import ask
 
-    lexical = r.lexical(spark, sf)
-    rows = documents(spark, sf).select("doc_id", F.sha2(F.col("doc_id").cast("string"), 256).substr(1, 24).alias("chunk_id"), "source", F.lit(None).cast("int").alias("page"), F.lit("text").alias("kind"), "text")
-    chunks = rows.join(lexical, "doc_id").withColumn("embedding", plugins.embedded(F.col("text")))
+    rows = documents(spark, sf).select(F.sha2(F.col("doc_id").cast("string"), 256).substr(1, 24).alias("chunk_id"), "source", F.lit(None).cast("int").alias("page"), F.lit("text").alias("kind"), "text", text.tokens(F.col("text")).alias("toks"))
+    # Stored, as an index is: every search reads the columns that it needs, and nothing is joined.
+    chunks = written(rows.select("*", F.size("toks").alias("dl"), plugins.embedded(F.col("text")).alias("embedding")), "chunks")
     asked = r._asked(spark, sf)
     out = ask(chunks, asked, SETTINGS, "bge_m3")
     return out.select("query_id", "refused", F.sha2("answer", 256).alias("answer_sha256"), F.size("sources").alias("n_sources"))

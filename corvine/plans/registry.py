@@ -303,7 +303,8 @@ cand AS (SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY
 
 def _candidates(spark, sf):
     docs = documents(spark, sf).select(F.col("doc_id").alias("item"), "source", "text")
-    found = retrieval.rrf(_lists(spark, sf)).join(docs, "item")
+    # Broadcast if they are few, so that texts are not shuffled for them.
+    found = retrieval.small(written(retrieval.rrf(_lists(spark, sf)), "fused")).join(docs, "item")
     return found.select("query_id", F.row_number().over(Window.partitionBy("query_id").orderBy("pos")).alias("pos"), F.col("item").alias("doc_id"), "score", "source", "text", (2015 + F.col("item") % 10).alias("year"))
 
 

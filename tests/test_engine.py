@@ -204,3 +204,35 @@ def test_tokens_of_odd_texts(spark, duck):
     assert got == [[t for w in text._WORDS(x or "") if (t := text.token(w))] for x in texts]
     assert got[2:6] == [["елка"], ["a1"], [], []]  # 12ab3 has 3 digits of 5
     assert got[-1] == ["one", "two", "three-four_five"]
+
+
+def test_candidates_do_not_shuffle_texts(spark):
+    """Searches are not run again by what reads their lists, and the texts of all documents are not shuffled for a few candidates."""
+    from corvine.ask import candidates
+    from corvine.plans import indexing, registry
+    from corvine.plugins import embedded
+
+    plan = lambda df: df._jdf.queryExecution().executedPlan().toString()
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        docs, asked = spark.read.parquet(f"{SF}/documents.parquet"), registry._asked(spark, SF)
+        chunks = docs.select(F.sha2(F.col("doc_id").cast("string"), 256).substr(1, 24).alias("chunk_id"), "source", F.lit(None).cast("int").alias("page"), F.lit("text").alias("kind"), "text", text.tokens(F.col("text")).alias("toks"), embedded(F.col("text")).alias("embedding")).withColumn("dl", F.size("toks"))
+        for found in (registry._candidates(spark, SF), candidates(chunks, asked, indexing.SETTINGS, 5)):
+            assert "SortMergeJoin" not in plan(found) and "ShuffledHashJoin" not in plan(found)
+        assert "MapInPandas" not in plan(QUERIES["rehydrated_candidates"](spark, SF))
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+
+
+def test_hashed_embedding_counts_words():
+    import xxhash
+
+    from corvine.plugins import HashedEmbedder
+
+    want = np.zeros(8)
+    for w in ["a", "b", "b", "c"]:
+        h = xxhash.xxh3_64_intdigest(w)
+        want[h % 8] += 1 if h >> 63 else -1
+    got = HashedEmbedder(8).embed(["A b B c", "", "  "])
+    assert got[0] == (want / max(np.sqrt((want**2).sum()), 1e-12)).tolist() and got[1] == got[2] == [0.0] * 8
